@@ -153,7 +153,7 @@ def email_list(c: Column) -> Column:
 
 def recipients(c: Column) -> Column:
     """Recipient field split on ';' and ',', order kept, duplicates dropped."""
-    parts = F.transform(F.split(squash(c), "[;,]"), F.trim)
+    parts = F.transform(F.split(squash(c), "[;,]"), lambda p: F.trim(p))
     return F.array_distinct(F.filter(parts, lambda p: p.contains("@")))
 
 
@@ -204,13 +204,17 @@ def request_id(supplier: Column, kind: Column, body: Column, day: str) -> Column
 
 def simple_terms(c: Column, stop_words: Sequence[str], max_terms: int = 80) -> Column:
     """Candidate terms of 3..80 characters, stop phrases out, first spelling kept."""
-    parts = F.transform(F.split(html_text(c), r"[\n\r,/|;:()\[\]<>]+"), F.trim)
-    parts = F.filter(parts, lambda t: F.length(t).between(3, 80))
-    for word in stop_words:
-        parts = F.filter(parts, lambda t, word=word: ~F.lower(t).contains(word))
-    lowered = F.transform(parts, F.lower)
-    first = F.filter(parts, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
-    return F.slice(first, 1, max_terms)
+    stops = "|".join("\\Q" + w + "\\E" for w in stop_words)
+    parts = F.transform(F.split(html_text(c), r"[\n\r,/|;:()\[\]<>]+"), lambda t: F.trim(t))
+    parts = F.filter(parts, lambda t: F.length(t).between(3, 80) & ~F.lower(t).rlike(stops))
+
+    def first_spelling(kept: Column) -> Column:
+        return let(
+            F.transform(kept, lambda t: F.lower(t)),
+            lambda low: F.filter(kept, lambda t, i: F.array_position(low, F.lower(t)) == i + 1),
+        )
+
+    return F.slice(let(parts, first_spelling), 1, max_terms)
 
 
 def company_tokens(c: Column) -> Column:
