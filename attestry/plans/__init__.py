@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("projections", "filters", "reshaping")
+MODULES = ("projections", "filters", "reshaping", "aggregates", "ranking", "sources")
 
 
 def load_all() -> None:
