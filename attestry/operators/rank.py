@@ -104,3 +104,20 @@ def hard_negatives(lines: DataFrame, doc: str, positive: str, position: str, har
     rest = F.col("_n") - k - 1
     picked = (rest % stride == 0) & (F.floor(rest / stride) < strided)
     return ranked.filter((F.col(positive) == 1) | (F.col("_n") <= k) | picked).drop("_first", "_dist", "_n", "_left")
+
+
+def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, fields: Sequence[str]) -> DataFrame:
+    """``prev`` and ``next`` row (as structs of ``fields``) inside each group, in two levels.
+
+    Neighbours inside a bucket come from a window; the first and last row of a bucket take the
+    edge rows of the nearest bucket, of which there are few. A hot group spreads over buckets."""
+    record = F.struct(*fields)
+    keyed = df.withColumn("_b", bucket)
+    position = F.struct(*order)
+    edges = keyed.groupBy(*keys, "_b").agg(F.min_by(record, position).alias("_first"), F.max_by(record, position).alias("_last"))
+    across = W.partitionBy(*keys).orderBy("_b")
+    edges = edges.select(*keys, "_b", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    inside = W.partitionBy(*keys, "_b").orderBy(*order)
+    own = keyed.select("*", F.lag(record).over(inside).alias("_p"), F.lead(record).over(inside).alias("_n"))
+    joined = own.join(edges, [*keys, "_b"])
+    return joined.select(*df.columns, F.coalesce("_p", "_before").alias("prev"), F.coalesce("_n", "_after").alias("next"))
