@@ -104,8 +104,8 @@ def marker_windows(c: Column, markers: Sequence[str], before: int, after: int, m
     Texts that fit into ``max_chars`` stay whole, as does the opening of texts without markers."""
 
     def compact(text: Column) -> Column:
-        upper, size = F.upper(text), F.length(text)
-        hits = F.flatten(F.array(*[X.occurrences(upper, "\\Q" + m.upper() + "\\E") for m in _bounded(markers)]))
+        size = F.length(text)
+        hits = F.flatten(F.array(*[X.occurrences(text, "(?i)\\Q" + m + "\\E") for m in _bounded(markers)]))
         spans = F.transform(
             hits,
             lambda h: F.struct(
