@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("projections", "filters", "reshaping", "aggregates", "ranking", "sources", "decisions", "states", "extraction")
+MODULES = ("projections", "filters", "reshaping", "aggregates", "ranking", "sources", "decisions", "states", "extraction", "linking")
 
 
 def load_all() -> None:
