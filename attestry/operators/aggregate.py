@@ -125,6 +125,14 @@ def rank_pivot(df: DataFrame, keys: Sequence[str], order: Sequence[Column], valu
     return top.groupBy(*keys).agg(*[F.max(F.when(F.col("_n") == i, F.col(value))).alias(f"top{i}") for i in range(1, k + 1)])
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Several one-row frames as one row, by union and aggregate instead of a cross join."""
+    union = rows[0]
+    for row in rows[1:]:
+        union = union.unionByName(row, allowMissingColumns=True)
+    return union.agg(*[F.max(c).alias(c) for c in union.columns])
+
+
 def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
     """Row count per table."""
     parts = [df.agg(F.count("*").alias("rows_n")).select(F.lit(name).alias("store"), "rows_n") for name, df in frames.items()]

@@ -302,8 +302,14 @@ def confirm_gate(code: Column, requested: Column) -> tuple[Column, Column, Colum
     return F.when(error.isNull(), action), F.when(error.isNull(), status), error
 
 
-def structure(item_numbers: Column, document_numbers: Column) -> Column:
-    """Document structure from its distinct item numbers and document numbers."""
-    items = F.size(item_numbers)
-    own = F.size(F.array_except(document_numbers, item_numbers)) > 0
-    return rules.decide([((items >= 2) & own, "MIXED"), (items >= 2, "ITEM_LEVEL"), (own, "DOCUMENT_LEVEL")], "UNKNOWN")
+def structure(numbers: DataFrame, doc: str, number: str, is_item: str, is_document: str) -> DataFrame:
+    """Document structure from its distinct item numbers and document numbers.
+
+    Distinct numbers are found by an aggregate per (document, number), then counted; no number
+    list is ever built."""
+    each = numbers.groupBy(doc, number).agg(F.bool_or(is_item).alias("i"), F.bool_or(is_document).alias("d"))
+    counts = each.groupBy(doc).agg(F.count_if("i").alias("items"), F.count_if(F.col("d") & ~F.col("i")).alias("own"))
+    kind = rules.decide([
+        ((F.col("items") >= 2) & (F.col("own") > 0), "MIXED"), (F.col("items") >= 2, "ITEM_LEVEL"), (F.col("own") > 0, "DOCUMENT_LEVEL"),
+    ], "UNKNOWN")
+    return counts.select(doc, kind.alias("structure"))

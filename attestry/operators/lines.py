@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import text as X
+from attestry.operators import rank
 
 PAGE_MARKER = r"(?i)\[PAGE (\d+)\]"
 NEW_LINE = r"\r\n|\r|\n"
@@ -56,6 +57,21 @@ def document_lines(docs: DataFrame, text: str, keep: list[str], marker: str = PA
     return arrays.select(*keep, F.inline(rows))
 
 
+def page_lines(pages: DataFrame, doc: str, page: str, text: str, header_lines: int = 0, bucket: int = 1000) -> DataFrame:
+    """Lines of documents stored as one row per page: doc, global_index, page, line_no, line.
+
+    Pages are read where they lie. Only their line counts are summed along the document, in two
+    levels, so a document of any number of pages never meets in one task. ``header_lines`` counts
+    lines of a page, such as its marker, that the text column leaves out."""
+    rows = F.transform(F.split(F.col(text), NEW_LINE), lambda ln, i: F.struct((i + 1 + header_lines).alias("line_no"), X.squash(ln).alias("line")))
+    arrays = pages.select(doc, page, F.filter(rows, lambda r: r["line"] != "").alias("_l"))
+    counts = arrays.select(doc, page, F.size("_l").cast("bigint").alias("_n"))
+    ends = rank.running_sums(counts, [doc], [F.asc(page)], F.floor(F.col(page) / bucket), {"_end": F.col("_n")})
+    placed = arrays.join(ends.select(doc, page, (F.col("_end") - F.col("_n")).alias("_start")), [doc, page])
+    out = placed.select(doc, page, "_start", F.posexplode("_l").alias("_i", "_r"))
+    return out.select(doc, (F.col("_start") + F.col("_i")).alias("global_index"), page, "_r.line_no", "_r.line")
+
+
 def line_spans(docs: DataFrame, text: str, keep: list[str], longest: int = 3, max_chars: int = 500, marker: str = PAGE_MARKER) -> DataFrame:
     """Spans of 1..``longest`` lines of one page with the lines around them."""
     arrays = docs.select(*keep, lines_of(F.col(text), marker).alias("_lines"))

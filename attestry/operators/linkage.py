@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.similarity import METRICS
+from attestry.functions.similarity import METRICS, ladder
 from attestry.operators import rank
 from attestry.session import cut_lineage
 
@@ -36,7 +36,7 @@ def contains_join(texts: DataFrame, text_id: str, text: str, keys: DataFrame, ke
         text_id, F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col(text), n) for n in sizes])))).alias("_g")
     )
     candidates = spread.join(anchored, "_g").select(text_id, "_key")
-    checked = candidates.join(texts.select(text_id, F.col(text).alias("_t")), text_id)
+    checked = candidates.join(texts.select(F.col(text_id), F.col(text).alias("_t")), text_id)
     return checked.filter(F.contains(F.col("_t"), F.col("_key"))).select(text_id, F.col("_key").alias(key))
 
 
@@ -49,12 +49,13 @@ def _prefix(keys: DataFrame, counts: DataFrame, overlap: Column) -> DataFrame:
 
 
 def fuzzy_pairs(left: DataFrame, lkey: str, right: DataFrame, rkey: str, threshold: float = 0.82, metric: str = "levenshtein") -> DataFrame:
-    """All pairs of distinct keys with similarity >= ``threshold`` (at least 0.75): (left, right, score).
+    """All pairs of distinct keys with similarity >= ``threshold``: (left_key, right_key, score).
+    The bound on shared bigrams is exact from 0.70 (levenshtein) or 0.75 (gestalt) on.
 
     Bounds: with ratio 1 - d / max, keys of length n share at least (2t - 1) n - 1 bigrams with any
     partner; with the gestalt ratio at least (3t - 2) s - 1, s being the mean length."""
-    if threshold < 0.75:
-        raise ValueError("the gram bound needs a threshold of 0.75 or more")
+    if threshold < (0.70 if metric == "levenshtein" else 0.75):
+        raise ValueError("the gram bound does not hold for so low a threshold")
 
     def tagged(df: DataFrame, col: str) -> DataFrame:
         keys = df.select(F.col(col).alias("_k")).filter(F.length("_k") >= 2).distinct()
@@ -256,6 +257,20 @@ def deepest_folder(rows: DataFrame, number: str, folders: DataFrame) -> DataFram
     return found.select(number, level.alias("level"), F.coalesce(F.try_element_at("_f", level), F.lit("")).alias("folder"))
 
 
-def first_reference(hits: DataFrame, ident: str, order: str, value: str) -> DataFrame:
-    """The hit whose reference comes first."""
-    return hits.groupBy(ident).agg(F.min_by(value, order).alias(value), F.count("*").alias("hits_n"))
+def link_products(master: DataFrame, products: DataFrame, doc: str, mid: str, mname: str, line: str, name: str, threshold: float = 0.70) -> DataFrame:
+    """Best product line per master row of the same document, by the contained-or-similar ladder.
+
+    Names are compared once per distinct pair over all documents, and only pairs that can reach
+    ``threshold`` are made. Of equal names in one document two lines are enough for best and margin."""
+    near = fuzzy_pairs(master, mname, products, name, threshold).select(F.col("left_key").alias("_m"), F.col("right_key").alias("_n"))
+    mids = master.select(F.col(mname).alias("_m")).distinct()
+    names = products.select(F.col(name).alias("_n")).distinct()
+    inside = contains_join(mids, "_m", "_m", names, "_n", q=3, shortest=1)
+    around = contains_join(names, "_n", "_n", mids, "_m", q=3, shortest=1)
+    pairs = near.unionByName(inside.select("_m", "_n")).unionByName(around.select("_m", "_n")).distinct()
+    pairs = pairs.withColumn("score", F.round(ladder(F.col("_m"), F.col("_n"), base=0.86, span=0.14), 6)).filter(F.col("score") >= threshold)
+    two = rank.top_per_group(products.select(doc, F.col(line), F.col(name).alias("_n")), [doc, "_n"], [F.asc(line)], 2, "_k")
+    met = master.select(doc, mid, F.col(mname).alias("_m")).join(pairs, "_m").join(two, [doc, "_n"])
+    best = rank.top_two(met, [doc, mid], "score", line)
+    return master.select(doc, mid).join(best, [doc, mid], "left")
+

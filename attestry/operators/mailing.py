@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import text as X
+from attestry.operators import rank
 
 
 def file_name_parts(name: Column, marker: str) -> dict[str, Column]:
@@ -44,22 +45,22 @@ def target_names(
 
 
 def render_bodies(
-    items: DataFrame, keys: Sequence[str], order: str, path: str, fields: Mapping[str, str], template: str
+    items: DataFrame, keys: Sequence[str], order: str, path: str, fields: Mapping[str, str], template: str,
+    per_message: int = 500, bucket: int = 10000,
 ) -> DataFrame:
-    """One body per group: numbered item blocks in order, put into the template.
+    """Numbered item blocks in order, put into the template, one message per group.
 
-    A body is one message to one supplier, so its item list is as small as a message must be."""
-    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(path, *fields.values()).alias("r"))))
-
-    def block(x: Column, i: Column) -> Column:
-        parts = [F.concat((i + 1).cast("string"), F.lit(". "), x["r"][path])]
-        parts += [F.concat(F.lit(f"- {label}: "), F.coalesce(x["r"][col], F.lit("-"))) for label, col in fields.items()]
-        return F.concat_ws("\n", *parts)
-
-    grouped = items.groupBy(*keys).agg(lines.alias("rows"))
+    A group of more than ``per_message`` items is written as several messages (``part``) with running
+    numbers, so no task ever holds a whole large group. Items are numbered in two levels."""
+    numbered = rank.number_rows(items, list(keys), [F.asc(order)], F.floor(F.col(order) / bucket), "_no")
+    parted = numbered.withColumn("part", F.floor((F.col("_no") - 1) / per_message))
+    parts = [F.concat(F.col("_no").cast("string"), F.lit(". "), F.col(path))]
+    parts += [F.concat(F.lit(f"- {label}: "), F.coalesce(F.col(col), F.lit("-"))) for label, col in fields.items()]
+    blocks = parted.select(*keys, "part", "_no", F.concat_ws("\n", *parts).alias("_b"))
+    listed = blocks.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("_no", "_b"))).alias("rows"))
     body = F.replace(
         F.replace(F.lit(template), F.lit("[SUPPLIER]"), F.col(keys[0])),
         F.lit("[ITEMS]"),
-        F.array_join(F.transform("rows", block), "\n"),
+        F.array_join(F.transform("rows", lambda r: r["_b"]), "\n"),
     )
-    return grouped.select(*keys, F.size("rows").cast("bigint").alias("item_count"), body.alias("body"))
+    return listed.select(*keys, "part", F.size("rows").cast("bigint").alias("item_count"), body.alias("body"))

@@ -69,19 +69,13 @@ def insert_new(current: DataFrame, arriving: DataFrame, keys: Sequence[str], ord
     return first.join(current.select(*keys), list(keys), "left_anti")
 
 
-# Which state a candidate may enter from which.
-LIFECYCLE = {"VALIDATED": ("PENDING",), "APPLIED": ("VALIDATED",), "REJECTED": ("PENDING", "VALIDATED")}
-
-
 def lifecycle_state(events: DataFrame, ident: str, kind: str, order: Sequence[str]) -> DataFrame:
-    """State of each rule candidate: the first event decides between applied and rejected, and
-    applying needs an earlier validation. All from first times per event kind."""
+    """State of each rule candidate: PENDING, VALIDATED, APPLIED or REJECTED. Applying needs an earlier
+    validation and no earlier rejection. All from first times per event kind."""
     stamp = F.struct(*order)
     first = events.groupBy(ident).agg(
         F.min(F.when(F.col(kind) == "VALIDATE", stamp)).alias("validated"),
         F.min(F.when(F.col(kind) == "REJECT", stamp)).alias("rejected"),
-        F.max(F.when(F.col(kind) == "APPLY", stamp)).alias("last_apply"),
-        F.collect_set(F.when(F.col(kind).isin("VALIDATE", "REJECT", "APPLY"), F.col(kind))).alias("_k"),
     )
     # an apply counts if it comes after validation and before any rejection
     valid = events.join(first.select(ident, "validated", "rejected"), ident).filter(

@@ -285,7 +285,7 @@ def ranking_metrics(spark, d):
     cands = vector_candidates(spark, d)
     summary = metrics.ranking_summary(metrics.ranking_per_query(cands, "vec_id", "score", "positive", "cand"))
     areas = metrics.curve_areas(cands, "score", "positive", -F.floor(F.col("score") * 100))
-    return summary.withColumn("_k", F.lit(1)).join(areas.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return aggregate.side_by_side(summary, areas)
 
 
 def flagged_items(spark, d):

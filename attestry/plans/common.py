@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from attestry.operators.reshape import SUB_LEVELS, SUB_START, SUB_WIDTH
 from attestry.plans.registry import table
 
-PAGE_MARK = r"(?i)\[PAGE (\d+)\]"
-
 # One block per (order, line number 1..5): part|supplier|flag|ship date. The synthetic data
 # repeat line numbers, so the largest block text stands for the line.
 WIDE_SQL = """
@@ -75,13 +73,3 @@ lines AS (SELECT doc_id, lang, source, CAST(line_no AS BIGINT) AS line_no, line,
   FROM clean_lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
 """
 
-
-def turn_pages(spark, d) -> DataFrame:
-    """One paged document per conversation: every turn is a page. A conversation is one
-    document, so the list per key is as small as a document must be."""
-    turns = table(spark, d, "conversations")
-    pages = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    marked = F.transform(
-        pages, lambda p, i: F.concat(F.lit("[PAGE "), (p["turn"] + 1).cast("string"), F.lit("]\n"), p["text"])
-    )
-    return turns.groupBy("conv_id").agg(F.array_join(marked, "\n").alias("text"))

@@ -281,11 +281,10 @@ def confirm_gate(spark, d):
     """,
 )
 def structure(spark, d):
-    # an order is one document, so its number sets are bounded
-    sets = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_set(F.when(F.col("l_discount") >= 0.05, F.col("l_partkey"))).alias("items"), F.collect_set(F.when(F.col("l_linenumber") <= 2, F.col("l_partkey"))).alias("docs")
+    numbers = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", (F.col("l_discount") >= 0.05).alias("item"), (F.col("l_linenumber") <= 2).alias("doc")
     )
-    return sets.select("l_orderkey", DEC.structure(F.col("items"), F.col("docs")).alias("structure"))
+    return DEC.structure(numbers, "l_orderkey", "l_partkey", "item", "doc")
 
 
 @query(

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.functions import text as X
-from attestry.functions.similarity import ladder, match_grade
-from attestry.operators import extract as EX
 from attestry.operators import linkage as L
 from attestry.operators import rank, reshape, rules
 from attestry.plans.common import WIDE_SQL, wide_master
@@ -318,20 +316,21 @@ def inbound_matching(spark, d):
     m AS (SELECT doc, line, name || CASE WHEN line = 2 THEN ' extra' ELSE '' END AS name FROM p WHERE line <= 2),
     s AS (SELECT m.doc, m.line AS mline, p.line, CASE WHEN m.name = p.name THEN 1.0 WHEN contains(m.name, p.name) OR contains(p.name, m.name) THEN 0.86 + 0.14 * least(length(m.name), length(p.name)) / greatest(length(m.name), length(p.name)) ELSE 1 - levenshtein(m.name, p.name) / greatest(length(m.name), length(p.name)) END AS score FROM m JOIN p USING (doc)),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc, mline ORDER BY round(score, 6) DESC, line) AS rn FROM s),
-    t AS (SELECT doc, mline, max(CASE WHEN rn = 1 THEN line END) AS line, max(CASE WHEN rn = 1 THEN round(score, 6) END) AS a, coalesce(max(CASE WHEN rn = 2 THEN round(score, 6) END), 0) AS b FROM r WHERE rn <= 2 GROUP BY 1, 2)
-    SELECT doc, mline::BIGINT AS master_line, line::BIGINT AS product_line, round(a, 4)::DOUBLE AS similarity, CASE WHEN a >= 0.88 AND (round(a - b, 6) >= 0.08 OR a >= 0.96) THEN 'LINKED' WHEN a >= 0.7 THEN 'CANDIDATE' ELSE 'UNLINKED' END AS link_status FROM t
+    t AS (SELECT m.doc, m.line AS mline, max(CASE WHEN rn = 1 THEN r.line END) AS line, coalesce(max(CASE WHEN rn = 1 THEN round(score, 6) END), 0) AS a, coalesce(max(CASE WHEN rn = 2 THEN round(score, 6) END), 0) AS b FROM m LEFT JOIN r ON r.doc = m.doc AND r.mline = m.line AND rn <= 2 AND round(score, 6) >= 0.7 GROUP BY 1, 2)
+    SELECT doc, mline::BIGINT AS master_line, coalesce(line, -1)::BIGINT AS product_line, round(a, 4)::DOUBLE AS similarity, CASE WHEN a >= 0.88 AND (round(a - b, 6) >= 0.08 OR a >= 0.96) THEN 'LINKED' WHEN a >= 0.7 THEN 'CANDIDATE' ELSE 'UNLINKED' END AS link_status FROM t
     """,
 )
 def product_links(spark, d):
     li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     products = li.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line")).agg(F.max("p_name").alias("name"))
     master = products.filter("line <= 2").select("doc", F.col("line").alias("mline"), F.concat("name", F.when(F.col("line") == 2, F.lit(" extra")).otherwise(F.lit(""))).alias("mname"))
-    pairs = master.join(products, "doc").withColumn("score", F.round(ladder(F.col("mname"), F.col("name"), base=0.86, span=0.14), 6))
-    top = rank.top_two(pairs, ["doc", "mline"], "score", "line")
-    status = rules.decide([
-        ((F.col("top_score") >= 0.88) & ((F.round("margin", 6) >= 0.08) | (F.col("top_score") >= 0.96)), "LINKED"), (F.col("top_score") >= 0.7, "CANDIDATE"),
-    ], "UNLINKED")
-    return top.select("doc", F.col("mline").cast("bigint").alias("master_line"), F.col("line").cast("bigint").alias("product_line"), F.round("top_score", 4).alias("similarity"), status.alias("link_status"))
+    top = L.link_products(master, products, "doc", "mline", "mname", "line", "name")
+    score, margin = F.coalesce("top_score", F.lit(0.0)), F.round(F.coalesce("margin", F.lit(0.0)), 6)
+    status = rules.decide([((score >= 0.88) & ((margin >= 0.08) | (score >= 0.96)), "LINKED"), (score >= 0.7, "CANDIDATE")], "UNLINKED")
+    return top.select(
+        "doc", F.col("mline").cast("bigint").alias("master_line"), F.coalesce(F.col("line").cast("bigint"), F.lit(-1)).alias("product_line"),
+        F.round(score, 4).alias("similarity"), status.alias("link_status"),
+    )
 
 
 @query(

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestry.functions import dates as D
 from attestry.functions import text as X
-from attestry.operators import mailing, rules
+from attestry.operators import mailing, rank, rules
 from attestry.plans.registry import query, table
 
 TERM_STOPS = ("certificate", "request", "valid", "until")
@@ -406,7 +405,8 @@ def marker_windows(spark, d):
     """,
 )
 def weighted_text(spark, d):
-    turns = table(spark, d, "conversations")
+    # only the first five non-empty pages count, so five per document travel
+    turns = rank.top_per_group(table(spark, d, "conversations").filter(X.squash(F.col("text")) != ""), ["conv_id"], [F.asc("turn")], 5, "_n")
     pages = turns.groupBy("conv_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda p: p["text"]).alias("pages")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text as X
 from attestry.operators import lines, mailing, reshape
-from attestry.plans.common import LINES_SQL, WIDE_SQL, turn_pages, wide_master
+from attestry.plans.common import LINES_SQL, WIDE_SQL, wide_master
 from attestry.plans.registry import query, table
 
 BIG = lambda c: F.col(c).cast("bigint").alias(c)
@@ -101,10 +101,29 @@ def parse_items(spark, d):
     """,
 )
 def pages_and_lines(spark, d):
-    rows = lines.document_lines(turn_pages(spark, d), "text", ["conv_id"])
+    turns = table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), "text")
+    rows = lines.page_lines(turns, "conv_id", "page", "text", header_lines=1)
     return rows.select("conv_id", BIG("global_index"), BIG("page"), BIG("line_no"), "line")
 
 
+@query(
+    "rsh_6_marked_text",
+    r"""
+    WITH m AS (SELECT doc_id, regexp_split_to_array(text, '\. ') AS parts FROM documents),
+    p AS (SELECT doc_id, unnest(parts) AS t, generate_subscripts(parts, 1) AS page FROM m),
+    raw AS (SELECT doc_id, page, unnest(string_split(chr(10) || t, chr(10))) AS ln, generate_subscripts(string_split(chr(10) || t, chr(10)), 1) AS line_no FROM p),
+    ok AS (SELECT doc_id, page, line_no, trim(regexp_replace(ln, '\s+', ' ', 'g')) AS line FROM raw)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) - 1 AS BIGINT) AS global_index, CAST(page AS BIGINT) AS page, CAST(line_no AS BIGINT) AS line_no, md5(line) AS digest FROM ok WHERE line <> ''
+    """,
+)
+def marked_text(spark, d):
+    """Texts whose sentences are separate pages, told apart by page markers inside the text."""
+    parts = F.transform(F.split("text", r"\. "), lambda t, i: F.concat(F.lit("[PAGE "), (i + 1).cast("string"), F.lit("]\n"), t))
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(parts, "").alias("text"))
+    rows = lines.document_lines(docs, "text", ["doc_id"])
+    return rows.select("doc_id", BIG("global_index"), BIG("page"), BIG("line_no"), F.md5("line").alias("digest"))
+
+
 @query(
     "rsh_7_line_spans",
     rf"""
@@ -240,8 +259,9 @@ def page_choice(spark, d):
         "conv_id", "turn", F.col("text").alias("native"), F.when(F.col("turn") % 4 != 3, F.substring("text", 1, 100)).alias("scanned"),
         (F.length("text") % 100).cast("double").alias("conf"),
     )
-    docs = reshape.choose_pages(turns, "conv_id", "turn", "native", "scanned", "conf", 200, 400)
-    return docs.select(
+    pages, docs = reshape.choose_pages(turns, "conv_id", "turn", "native", "scanned", "conf", 200, 400)
+    text = reshape.join_pages(pages, "conv_id", "turn", "text").filter("part = 0").select("conv_id", "text")
+    return docs.join(text, "conv_id").select(
         "conv_id", "native_pages", "scanned_pages", "failed_pages", F.round(F.coalesce("mean_confidence", F.lit(-1.0)), 6).alias("mean_confidence"),
         "text_length", F.md5("text").alias("digest"), "status",
     )
