@@ -226,19 +226,21 @@ def apply_overrides(docs: DataFrame, text: str, issuer: str, override_rules: Seq
 def value_evidence(lines: Column, value: Column, field: Column) -> Column:
     """Best line for a value: struct(score, line_index, method). Parsed date or equal key 1, contained
     .96, else similarity (makers and products only); found from .72 on."""
-    key = X.norm_key(value)
+    def search(v: Column) -> Column:
+        def at(line: Column, i: Column) -> Column:
+            own = X.norm_key(line)
+            dated = (field == "expiry") & F.exists(D.dates_in(line), lambda d: d.cast("string") == v["raw"])
+            score = (
+                F.when(dated, F.lit(1.0)).when((v["key"] != "") & (own == v["key"]), F.lit(1.0)).when((v["key"] != "") & own.contains(v["key"]), F.lit(0.96))
+                .when(field.isin("maker", "product"), ladder(v["name"], X.product_key(line))).otherwise(F.lit(0.0))
+            )
+            return F.struct(F.round(score, 6).alias("score"), (-i).alias("neg"))
 
-    def at(line: Column, i: Column) -> Column:
-        own = X.norm_key(line)
-        dated = (field == "expiry") & F.exists(D.dates_in(line), lambda d: d.cast("string") == value)
-        score = (
-            F.when(dated, F.lit(1.0)).when((key != "") & (own == key), F.lit(1.0)).when((key != "") & own.contains(key), F.lit(0.96))
-            .when(field.isin("maker", "product"), ladder(X.product_key(value), X.product_key(line))).otherwise(F.lit(0.0))
-        )
-        return F.struct(F.round(score, 6).alias("score"), (-i).alias("neg"))
+        return F.array_max(F.transform(lines, at))
 
+    wanted = F.struct(value.alias("raw"), X.norm_key(value).alias("key"), X.product_key(value).alias("name"))
     return X.let(
-        F.array_max(F.transform(lines, at)),
+        X.let(wanted, search),
         lambda b: F.struct(b["score"].alias("score"), F.when(b["score"] > 0, -b["neg"]).alias("line_index"), (b["score"] >= 0.72).alias("found")),
     )
 

@@ -25,17 +25,33 @@ def grams(text: Column, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
+IN_ROW_KEYS = 500  # up to here a text is searched for every key inside its row
+
+
 def contains_join(texts: DataFrame, text_id: str, text: str, keys: DataFrame, key: str, q: int = 4, shortest: int = 3) -> DataFrame:
     """All pairs (text id, distinct key) where the key occurs in the text; keys below ``shortest``
-    characters are ignored. The key table is small against the texts as a rule; then Spark
-    broadcasts it (it checks the size) and no gram of the texts is shuffled."""
+    characters are ignored.
+
+    The keys are counted first. Few keys are searched inside each text row, so no text moves. Many
+    keys are found by their first q-gram: an equi join of the texts' grams with the keys, then the
+    exact test."""
     words = keys.select(F.col(key).alias("_key")).filter(F.length("_key") >= shortest).distinct()
+    few = [r[0] for r in words.limit(IN_ROW_KEYS + 1).collect()]
+    if len(few) <= IN_ROW_KEYS:
+        known = F.array(*[F.lit(k) for k in sorted(few)]).cast("array<string>")
+        found = F.filter(known, lambda k: F.contains(F.col(text), k))
+        return texts.select(text_id, F.explode(found).alias(key))
+    return gram_containment(texts, text_id, text, words, key, q, shortest)
+
+
+def gram_containment(texts: DataFrame, text_id: str, text: str, words: DataFrame, key: str, q: int = 4, shortest: int = 3) -> DataFrame:
+    """Containment for any number of keys (column ``_key``): grams of the texts meet the keys' first grams."""
     anchored = words.select("_key", F.substring("_key", 1, q).alias("_g"))
     sizes = range(min(shortest, q), q + 1)
-    spread = texts.select(
+    pieces = texts.select(
         text_id, F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col(text), n) for n in sizes])))).alias("_g")
     )
-    candidates = spread.join(anchored, "_g").select(text_id, "_key")
+    candidates = pieces.join(anchored, "_g").select(text_id, "_key")
     checked = candidates.join(texts.select(F.col(text_id), F.col(text).alias("_t")), text_id)
     return checked.filter(F.contains(F.col("_t"), F.col("_key"))).select(text_id, F.col("_key").alias(key))
 
@@ -200,19 +216,22 @@ def near_duplicates(features: DataFrame, cls: str, ident: str, feature: str, wei
     )
     total = F.aggregate("_a", F.lit(0.0), lambda acc, x: acc + x["_w2"])
     sized = vectors.withColumn("_n2", total)
-    start = F.struct(F.col("_n2").alias("left"), F.array().cast("array<string>").alias("out"))
+    rests = "array<struct<f:string,rest:double>>"
+    start = F.struct(F.col("_n2").alias("left"), F.array().cast(rests).alias("out"))
     bound = F.col("_n2") * (threshold * threshold) * (1 - 1e-9)
-    prefix = F.aggregate(
-        "_a", start,
-        lambda acc, x: F.struct(
-            (acc["left"] - x["_w2"]).alias("left"), F.when(acc["left"] >= bound, F.concat(acc["out"], F.array(x["_f"]))).otherwise(acc["out"]).alias("out")
-        ),
-        lambda acc: acc["out"],
-    )
-    heavy = sized.select(cls, ident, F.explode(prefix).alias("_f"))
-    pairs = heavy.alias("x").join(
-        heavy.alias("y"), (F.col(f"x.{cls}") == F.col(f"y.{cls}")) & (F.col("x._f") == F.col("y._f")) & (F.col(f"x.{ident}") < F.col(f"y.{ident}"))
-    ).select(F.col(f"x.{ident}").alias("a"), F.col(f"y.{ident}").alias("b")).distinct()
+
+    def step(acc: Column, x: Column) -> Column:
+        kept = F.concat(acc["out"], F.array(F.struct(x["_f"].alias("f"), F.sqrt(acc["left"] / F.col("_n2")).alias("rest"))))
+        return F.struct(
+            (acc["left"] - x["_w2"]).alias("left"), F.when(acc["left"] >= bound, kept).otherwise(acc["out"]).alias("out")
+        )
+
+    heavy = sized.select(cls, ident, F.inline(F.aggregate("_a", start, step, lambda acc: acc["out"])))
+    # at the first feature two vectors share, all they have in common lies behind: the product of the
+    # remaining lengths bounds their cosine
+    same = (F.col(f"x.{cls}") == F.col(f"y.{cls}")) & (F.col("x.f") == F.col("y.f")) & (F.col(f"x.{ident}") < F.col(f"y.{ident}"))
+    pairs = heavy.alias("x").join(heavy.alias("y"), same & (F.col("x.rest") * F.col("y.rest") >= threshold * (1 - 1e-9)))
+    pairs = pairs.select(F.col(f"x.{ident}").alias("a"), F.col(f"y.{ident}").alias("b")).distinct()
     own = features.select(F.col(ident).alias("a"), F.col(feature).alias("_f"), F.col(weight).alias("_wa"))
     other = features.select(F.col(ident).alias("b"), F.col(feature).alias("_f"), F.col(weight).alias("_wb"))
     norms = features.groupBy(ident).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("_norm"))

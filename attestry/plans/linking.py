@@ -9,6 +9,7 @@ from attestry.operators import linkage as L
 from attestry.operators import rank, reshape, rules
 from attestry.plans.common import WIDE_SQL, wide_master
 from attestry.plans.registry import query, table
+from attestry.session import cut_lineage
 
 
 @query(
@@ -356,15 +357,24 @@ def signature_class(spark, d):
 
 
 def word_counts(docs):
-    """Words of each distinct text of a language; exact copies are represented by their smallest id."""
+    """TF-IDF of the words of each distinct text of a language; exact copies are represented by their
+    smallest id. idf = ln((1 + n) / (1 + df)) + 1 over the texts of the language."""
     reps = docs.groupBy("lang", F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
     words = F.explode(F.filter(F.split("text", "[^A-Za-z0-9]+"), lambda w: w != ""))
-    return reps.select("lang", "doc_id", words.alias("word")).groupBy("lang", "doc_id", "word").agg(F.count("*").cast("double").alias("w"))
+    tf = reps.select("lang", "doc_id", words.alias("word")).groupBy("lang", "doc_id", "word").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("lang", "word").agg(F.count("*").alias("df"))
+    n = tf.groupBy("lang").agg(F.countDistinct("doc_id").alias("n"))
+    idf = df.join(n, "lang").select("lang", "word", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighted = tf.join(idf, ["lang", "word"]).select("lang", "doc_id", "word", (F.col("tf") * F.col("idf")).alias("w"))
+    # the weights are used four times below
+    return cut_lineage(weighted)
 
 
 DUP_SQL = r"""
 reps AS (SELECT lang, min(doc_id) AS doc_id, text FROM documents GROUP BY lang, text),
-wc AS (SELECT lang, doc_id, word, count(*)::DOUBLE AS w FROM (SELECT lang, doc_id, unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda x: x <> '')) AS word FROM reps) GROUP BY 1, 2, 3),
+tf AS (SELECT lang, doc_id, word, count(*) AS tf FROM (SELECT lang, doc_id, unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda x: x <> '')) AS word FROM reps) GROUP BY 1, 2, 3),
+nn AS (SELECT lang, count(DISTINCT doc_id) AS n FROM tf GROUP BY 1), df AS (SELECT lang, word, count(*) AS df FROM tf GROUP BY 1, 2),
+wc AS (SELECT tf.lang, doc_id, tf.word, tf.tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df ON df.lang = tf.lang AND df.word = tf.word JOIN nn ON nn.lang = tf.lang),
 nm AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM wc GROUP BY 1),
 dots AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS dot FROM wc x JOIN wc y ON x.lang = y.lang AND x.word = y.word AND x.doc_id < y.doc_id GROUP BY 1, 2),
 near AS (SELECT a, b, dot / (na.n * nb.n) AS cosine FROM dots JOIN nm na ON na.doc_id = a JOIN nm nb ON nb.doc_id = b WHERE dot / (na.n * nb.n) >= 0.97)

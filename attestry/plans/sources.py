@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,17 +10,10 @@ from attestry.operators import filters, reshape
 from attestry.operators.state import upsert
 from attestry.plans.common import WIDE_SQL, wide_master
 from attestry.plans.registry import query, table
-from attestry.session import shared_dir
+from attestry.session import shared_path as fresh
 from attestry.sources import readers, sinks
 
 
-def fresh(spark, name: str) -> str:
-    """A new folder under the cluster's shared folder."""
-    import uuid
-
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
-
-
 @query(
     "src_1_positional_sheet",
     f"WITH {WIDE_SQL} SELECT material_no, supplier, name, coalesce(org, '-') AS org, expiry FROM master WHERE depth = 0",
@@ -72,7 +63,6 @@ def strict_json(spark, d):
 
 @query("src_5_content_hash", "SELECT doc_id, sha256(text) AS sha256, length(text) AS size FROM documents")
 def content_hash(spark, d):
-    """Texts land as files, the manifest reads them back by extension with their hash."""
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("bigint").alias("size"))
 
 

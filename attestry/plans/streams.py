@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from attestry.plans.aggregates import JOBS_SQL
 from attestry.plans.registry import query, table
-from attestry.plans.sources import fresh
-from attestry.plans.states import EVENT_SQL, HIST_SQL  # noqa: F401
+from attestry.session import shared_path as fresh
 from attestry.streaming import feeds
 
 
