@@ -66,11 +66,12 @@ def _prefix(keys: DataFrame, counts: DataFrame, overlap: Column) -> DataFrame:
 
 def fuzzy_pairs(left: DataFrame, lkey: str, right: DataFrame, rkey: str, threshold: float = 0.82, metric: str = "levenshtein") -> DataFrame:
     """All pairs of distinct keys with similarity >= ``threshold``: (left_key, right_key, score).
-    The bound on shared bigrams is exact from 0.70 (levenshtein) or 0.75 (gestalt) on.
+    The bound on shared bigrams is exact from 0.70 on (levenshtein) or above 0.80 (gestalt; at 0.80
+    'ab' and 'acb' share none), and lower thresholds are refused.
 
     Bounds: with ratio 1 - d / max, keys of length n share at least (2t - 1) n - 1 bigrams with any
     partner; with the gestalt ratio at least (3t - 2) s - 1, s being the mean length."""
-    if threshold < (0.70 if metric == "levenshtein" else 0.75):
+    if threshold < 0.70 or (metric != "levenshtein" and threshold <= 0.80):
         raise ValueError("the gram bound does not hold for so low a threshold")
 
     def tagged(df: DataFrame, col: str) -> DataFrame:

@@ -270,3 +270,20 @@ def name_hints(spark, d):
     name = F.concat(F.lit("AB12CD34EF56__"), (F.col("page_id") + 1).cast("string"), F.lit("_ "), F.regexp_extract("url", "//([^/]*)/", 1), F.lit(" oil(ACME)[HQC_"), day, F.lit("].pdf"))
     hints = EX.name_hints(name, F.lit("HQC"))
     return table(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in hints.items()])
+
+
+@query(
+    "dec_4_canonical_names",
+    f"""
+    WITH b AS (SELECT doc_id, source, {MAKER_SQL} AS maker FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 6 < 4 AND doc_id % 4 <> 1 THEN TRUE ELSE FALSE END AS replaced, CASE WHEN doc_id % 6 < 4 AND doc_id % 4 <> 1 THEN 'SOLARIS ' || upper(source) || ' CO LTD' ELSE maker END AS maker FROM b
+    """,
+)
+def canonical_names(spark, d):
+    rows = text_lines(certificate_docs(spark, d), "source", "text")
+    expected = F.concat(F.lit("SOLARIS "), F.upper("source"), F.lit(" CO LTD"))
+    seen = DEC.name_in_text(F.col("text"), F.array().cast("array<string>"), expected)
+    read = F.coalesce(EX.find_company(F.col("lines"), r"manufactured by"), F.lit(""))
+    rows = rows.select("doc_id", read.alias("read"), expected.alias("expected"), seen.alias("seen"), (K % 4 == 1).alias("conflict"))
+    name = DEC.canonical_name(F.col("read"), F.col("expected"), F.col("seen.matched"), F.col("conflict"))
+    return rows.select("doc_id", (F.col("seen.matched") & ~F.col("conflict")).alias("replaced"), name.alias("maker"))
