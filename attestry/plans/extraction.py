@@ -11,7 +11,10 @@ from attestry.operators import extract as EX
 from attestry.operators import lines, rules
 from attestry.plans.registry import query, table
 
-K = F.col("doc_id")
+
+def doc():
+    return F.col("doc_id")
+
 
 ALIASES = [
     ("HQC", ["HALAL QUALITY COUNCIL", "HQC-REG"], 1),
@@ -31,27 +34,29 @@ def pick(n: int, *values):
     out = None
     for i, v in enumerate(values):
         c = F.lit(v) if isinstance(v, str) else v
-        out = F.when(K % n == i, c) if out is None else out.when(K % n == i, c)
+        out = F.when(doc() % n == i, c) if out is None else out.when(doc() % n == i, c)
     return out
 
 
-EXPIRY = F.date_add(F.lit("2026-01-01").cast("date"), (K % 700).cast("int"))
+def expiry_day():
+    return F.date_add(F.lit("2026-01-01").cast("date"), (doc() % 700).cast("int"))
+
 
 
 def certificate_docs(spark, d):
     """documents with an appended certificate block whose fields follow from doc_id."""
     issuer = pick(4, "HALAL QUALITY COUNCIL HQC-REG", "Islamic Food Board", "ISA-MARK", "no issuer here")
-    number = F.when(K % 5 == 4, F.lit("Certificate pending")).otherwise(F.concat(F.lit("Certificate No: HC-"), F.lpad(K.cast("string"), 7, "0"), F.lit(" REF AB"), F.lpad((K % 10000).cast("string"), 4, "0")))
-    dated = pick(3, F.date_format(EXPIRY, "yyyy-MM-dd"), F.date_format(EXPIRY, "d MMMM yyyy"), F.date_format(EXPIRY, "dd/MM/yyyy"))
-    expiry = F.when(K % 7 == 6, F.lit("Valid while listed")).otherwise(F.concat(F.lit("Valid until "), dated))
+    number = F.when(doc() % 5 == 4, F.lit("Certificate pending")).otherwise(F.concat(F.lit("Certificate No: HC-"), F.lpad(doc().cast("string"), 7, "0"), F.lit(" REF AB"), F.lpad((doc() % 10000).cast("string"), 4, "0")))
+    dated = pick(3, F.date_format(expiry_day(), "yyyy-MM-dd"), F.date_format(expiry_day(), "d MMMM yyyy"), F.date_format(expiry_day(), "dd/MM/yyyy"))
+    expiry = F.when(doc() % 7 == 6, F.lit("Valid while listed")).otherwise(F.concat(F.lit("Valid until "), dated))
     maker = pick(
         6, *[F.concat(F.lit("Manufactured by: Solaris "), "source", F.lit(" Co., Ltd. 12 Harbour Road"))] * 4,
         F.concat(F.lit("Manufactured by:\nPlot 9 east side\nDelta "), "source", F.lit(" GmbH")), F.lit("maker not stated"),
     )
     country = F.concat(F.lit("Factory Address: block 4, "), pick(4, *COUNTRY_OF))
-    products = F.concat(F.lit("1. Rice Bran Oil "), (K % 9).cast("string"), F.lit("\n2\nCitric Acid\n3. Page 3 of 9\n4. rice bran oil "), (K % 9).cast("string"))
+    products = F.concat(F.lit("1. Rice Bran Oil "), (doc() % 9).cast("string"), F.lit("\n2\nCitric Acid\n3. Page 3 of 9\n4. rice bran oil "), (doc() % 9).cast("string"))
     block = F.concat_ws("\n", F.lit(""), issuer, number, F.lit("Date of issue: 05/01/2024"), expiry, maker, country, products)
-    name = F.concat(K.cast("string"), F.lit("_Rice Bran Oil["), pick(4, "HQC-X", "IFB", "ISA", "none"), F.lit("_"), F.date_format(EXPIRY, "yyyy-MM-dd"), F.lit("](ACME).pdf"))
+    name = F.concat(doc().cast("string"), F.lit("_Rice Bran Oil["), pick(4, "HQC-X", "IFB", "ISA", "none"), F.lit("_"), F.date_format(expiry_day(), "yyyy-MM-dd"), F.lit("](ACME).pdf"))
     return table(spark, d, "documents").select("doc_id", "source", "lang", F.concat("text", block).alias("text"), name.alias("file_name"))
 
 
@@ -186,7 +191,7 @@ def overrides(spark, d):
     """,
 )
 def evidence(spark, d):
-    expiry = F.when(K % 7 == 6, F.lit("2031-01-01")).otherwise(EXPIRY.cast("string"))
+    expiry = F.when(doc() % 7 == 6, F.lit("2031-01-01")).otherwise(expiry_day().cast("string"))
     maker = pick(6, *[F.concat(F.lit("SOLARIS "), "source", F.lit(" CO LTD"))] * 4, F.concat(F.lit("Delta "), "source", F.lit(" GmbH")), F.lit("qqqq xxxx zzzz jjjj"))
     rows = text_lines(certificate_docs(spark, d), "source")
     ev = rows.select("doc_id", EX.value_evidence(F.col("lines"), expiry, F.lit("expiry")).alias("e"), EX.value_evidence(F.col("lines"), maker, F.lit("maker")).alias("m"))
@@ -236,9 +241,9 @@ def read_all(spark, d):
 )
 def line_values(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
-    number = F.concat(F.lit("Halal certificate number: HC-"), F.lpad(K.cast("string"), 7, "0"), F.lit(" page A1"))
+    number = F.concat(F.lit("Halal certificate number: HC-"), F.lpad(doc().cast("string"), 7, "0"), F.lit(" page A1"))
     maker = F.concat(F.lit("Manufactured by: Solaris "), "source", F.lit(" Co., Ltd."))
-    dated = F.concat(F.lit("valid until "), F.date_format(EXPIRY, "d MMMM yyyy"))
+    dated = F.concat(F.lit("valid until "), F.date_format(expiry_day(), "d MMMM yyyy"))
     place = F.concat(F.lit("Plant site, "), pick(4, *COUNTRY_OF))
     return docs.select(
         "doc_id", EX.value_of_line("cert_no", number, COUNTRIES).alias("cert_no"), EX.value_of_line("maker", maker, COUNTRIES).alias("maker"),
@@ -284,6 +289,6 @@ def canonical_names(spark, d):
     expected = F.concat(F.lit("SOLARIS "), F.upper("source"), F.lit(" CO LTD"))
     seen = DEC.name_in_text(F.col("text"), F.array().cast("array<string>"), expected)
     read = F.coalesce(EX.find_company(F.col("lines"), r"manufactured by"), F.lit(""))
-    rows = rows.select("doc_id", read.alias("read"), expected.alias("expected"), seen.alias("seen"), (K % 4 == 1).alias("conflict"))
+    rows = rows.select("doc_id", read.alias("read"), expected.alias("expected"), seen.alias("seen"), (doc() % 4 == 1).alias("conflict"))
     name = DEC.canonical_name(F.col("read"), F.col("expected"), F.col("seen.matched"), F.col("conflict"))
     return rows.select("doc_id", (F.col("seen.matched") & ~F.col("conflict")).alias("replaced"), name.alias("maker"))
