@@ -46,6 +46,13 @@ def ladder(a: Column, b: Column, base: float = 0.92, span: float = 0.0, shortest
     )
 
 
+def ladder_from(a: Column, b: Column, least: float, **steps) -> Column:
+    """The ladder where it can reach ``least``, else 0: unequal lengths rule a ratio out before any
+    characters are compared."""
+    small, large = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    return F.when((small / large >= least) | a.contains(b) | b.contains(a), ladder(a, b, **steps)).otherwise(F.lit(0.0))
+
+
 def match_grade(a: Column, b: Column) -> Column:
     """100 equal, 75..95 contained, 0 otherwise: the grade of request-to-master fields."""
     small, large = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import text as X
-from attestry.functions.similarity import METRICS, ladder
+from attestry.functions.similarity import METRICS, ladder_from
 from attestry.operators import rules
 
 # Issuers without a fixed expiry, and what counts as no issuer.
@@ -147,7 +147,7 @@ def reconcile(reliability: Column, expected_org: Column, read_org: Column, maker
 def name_in_text(text: Column, lines: Column, expected: Column) -> Column:
     """struct(matched, score): whether an expected name stands in a text, as a whole or nearly in one line."""
     def search(key: Column) -> Column:
-        scores = F.transform(lines, lambda ln: ladder(X.norm_key(ln), key, base=0.75, span=0.20, shortest=4))
+        scores = F.transform(lines, lambda ln: X.let(X.norm_key(ln), lambda k: ladder_from(k, key, 0.74, base=0.75, span=0.20, shortest=4)))
         score = F.when(key == "", F.lit(0.0)).when(F.contains(X.norm_key(text), key), F.lit(1.0)).otherwise(F.coalesce(F.array_max(scores), F.lit(0.0)))
         return X.let(F.round(score, 4), lambda v: F.struct((v >= 0.74).alias("matched"), v.alias("score")))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import dates as D
 from attestry.functions import text as X
-from attestry.functions.similarity import ladder
+from attestry.functions.similarity import ladder, ladder_from
 from attestry.operators import rules
 
 
@@ -223,16 +223,19 @@ def apply_overrides(docs: DataFrame, text: str, issuer: str, override_rules: Seq
     return docs
 
 
+FOUND = 0.72  # fixed value: score from which a line is evidence
+
+
 def value_evidence(lines: Column, value: Column, field: Column) -> Column:
     """Best line for a value: struct(score, line_index, method). Parsed date or equal key 1, contained
-    .96, else similarity (makers and products only); found from .72 on."""
+    .96, else similarity (makers and products only, where it can reach ``FOUND``)."""
     def search(v: Column) -> Column:
         def at(line: Column, i: Column) -> Column:
             own = X.norm_key(line)
             dated = (field == "expiry") & F.exists(D.dates_in(line), lambda d: d.cast("string") == v["raw"])
             score = (
                 F.when(dated, F.lit(1.0)).when((v["key"] != "") & (own == v["key"]), F.lit(1.0)).when((v["key"] != "") & own.contains(v["key"]), F.lit(0.96))
-                .when(field.isin("maker", "product"), ladder(v["name"], X.product_key(line))).otherwise(F.lit(0.0))
+                .when(field.isin("maker", "product"), X.let(X.product_key(line), lambda k: ladder_from(v["name"], k, FOUND))).otherwise(F.lit(0.0))
             )
             return F.struct(F.round(score, 6).alias("score"), (-i).alias("neg"))
 
@@ -241,7 +244,7 @@ def value_evidence(lines: Column, value: Column, field: Column) -> Column:
     wanted = F.struct(value.alias("raw"), X.norm_key(value).alias("key"), X.product_key(value).alias("name"))
     return X.let(
         X.let(wanted, search),
-        lambda b: F.struct(b["score"].alias("score"), F.when(b["score"] > 0, -b["neg"]).alias("line_index"), (b["score"] >= 0.72).alias("found")),
+        lambda b: F.struct(b["score"].alias("score"), F.when(b["score"] > 0, -b["neg"]).alias("line_index"), (b["score"] >= FOUND).alias("found")),
     )
 
 

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.similarity import METRICS, ladder
+from attestry.functions.similarity import METRICS, ladder, match_grade
 from attestry.operators import rank
 from attestry.session import cut_lineage
 
@@ -141,27 +141,41 @@ def top_matches(
     names = list(weights)
     masks = [m for m in range(1, 1 << len(names)) if any(m >> names.index(a) & 1 for a in anchors)]
 
-    def keyed(df: DataFrame, keep: Sequence[Column]) -> DataFrame:
-        cells = F.array(*[F.col(n) for n in names])
-        usable = F.array(*[F.lit(m) for m in masks])
-
-        def key(mask: Column) -> Column:
-            parts = F.transform(F.col("_v"), lambda v, i: F.when(F.getbit(mask, i) == 1, v))
-            full = F.size(F.array_compact(parts)) == F.bit_count(mask)
-            return F.when(full, F.xxhash64(mask, F.array_join(parts, "\u0001", "\u0002")))
-
-        base = df.select(*keep, cells.alias("_v"))
-        return base.select(*[c for c in base.columns if c != "_v"], F.explode(F.array_compact(F.transform(usable, key))).alias("_key"))
-
-    first = rank.top_per_group(keyed(master, [F.col(c) for c in order]), ["_key"], [F.asc(c) for c in order], k, "_n").drop("_n")
-    found = keyed(items, [F.col(item_id)]).join(first, "_key").select(item_id, *order).distinct()
-    left = items.select(item_id, *[F.col(n).alias(f"_i_{n}") for n in names])
-    right = master.select(*order, *[F.col(n).alias(f"_m_{n}") for n in names])
-    full = found.join(left, item_id).join(right, list(order))
+    def keyed(df: DataFrame, keep: Sequence[str], side: str) -> DataFrame:
+        mask = F.col("_mask")
+        fields = [F.col(n).alias(f"_{side}_{n}") for n in names]
+        blank = sum((F.when(F.col(n).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(names)), F.lit(0))
+        sets = df.select(*keep, *fields, blank.alias("_blank"), F.explode(F.array(*[F.lit(m) for m in masks])).alias("_mask"))
+        parts = [F.when(mask.bitwiseAND(1 << i) != 0, F.col(f"_{side}_{n}")) for i, n in enumerate(names)]
+        full = sets.filter(mask.bitwiseAND(F.col("_blank")) == 0)
+        return full.select(*keep, *[f"_{side}_{n}" for n in names], F.xxhash64(mask, *parts).alias("_key"))
+
+    first = rank.top_per_group(keyed(master, order, "m"), ["_key"], [F.asc(c) for c in order], k, "_n").drop("_n")
+    # the fields travel with the keys, so neither side is read again
+    full = keyed(items, [item_id], "i").join(first, "_key").drop("_key").distinct()
     equal = {n: F.coalesce(F.col(f"_i_{n}") == F.col(f"_m_{n}"), F.lit(False)) for n in names}
     score = sum((F.when(equal[n], F.lit(w)).otherwise(F.lit(0)) for n, w in weights.items()), F.lit(0))
     scored = full.select(item_id, *order, score.alias("score"), *[equal[n].alias(f"same_{n}") for n in names])
-    return rank.top_per_group(scored, [item_id], [F.desc("score"), *[F.asc(c) for c in order]], k, "rank_no")
+    anchored = scored.filter(" or ".join(f"same_{a}" for a in anchors))  # a hash may collide, a match may not
+    return rank.top_per_group(anchored, [item_id], [F.desc("score"), *[F.asc(c) for c in order]], k, "rank_no")
+
+
+def grade_pairs(pairs: DataFrame, weights: Mapping[str, int], maker: str, products: Sequence[str]) -> DataFrame:
+    """Score and level of item-to-master pairs: columns q_<field> against <field>, both as keys.
+
+    Equal fields count in full, contained ones at 65 per cent. STRONG and REVIEW need both the maker
+    and a product field."""
+    grade = {f: match_grade(F.col(f"q_{f}"), F.col(f)) for f in weights}
+    out = pairs.select("*", *[g.alias(f"grade_{f}") for f, g in grade.items()])
+    score = sum(
+        (F.when(F.col(f"grade_{f}") >= 100, F.lit(w)).when(F.col(f"grade_{f}") >= 75, F.lit(w * 65 // 100)).otherwise(F.lit(0)) for f, w in weights.items()), F.lit(0)
+    )
+    product = F.greatest(*[F.col(f"grade_{p}") for p in products], F.lit(0))
+    level = (
+        F.when((F.col(f"grade_{maker}") >= 90) & (product >= 90), F.lit("STRONG"))
+        .when((F.col(f"grade_{maker}") >= 75) & (product >= 75), F.lit("REVIEW")).otherwise(F.lit("WEAK"))
+    )
+    return out.withColumn("score", score.cast("bigint")).withColumn("level", level)
 
 
 def link_status(matches: DataFrame, item_id: str, gap: int = 25) -> DataFrame:

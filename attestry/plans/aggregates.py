@@ -254,9 +254,9 @@ def confusion(spark, d):
 
 
 def vector_candidates(spark, d):
-    """Each vector as a query; its first eight components are candidate scores, the class is positive."""
+    """Each vector as a query; its components are candidate scores, the one of its class is positive."""
     e = table(spark, d, "embeddings")
-    rows = e.select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 10)).alias("cand", "v"))
+    rows = e.select("vec_id", "label", F.posexplode("embedding").alias("cand", "v"))
     return rows.select(
         "vec_id", F.col("cand").cast("bigint").alias("cand"), F.round(F.col("v").cast("double"), 4).alias("score"),
         (F.col("cand") == F.col("label")).cast("int").alias("positive"),
@@ -264,7 +264,7 @@ def vector_candidates(spark, d):
 
 
 CAND_SQL = """
-cand AS (SELECT vec_id, CAST(i - 1 AS BIGINT) AS cand, round(CAST(embedding[i] AS DOUBLE), 4) AS score, CAST(i - 1 = label AS INTEGER) AS positive FROM embeddings, (SELECT unnest(range(1, 11)) AS i))
+cand AS (SELECT vec_id, CAST(i - 1 AS BIGINT) AS cand, round(CAST(embedding[i] AS DOUBLE), 4) AS score, CAST(i - 1 = label AS INTEGER) AS positive FROM embeddings, (SELECT unnest(range(1, 65)) AS i))
 """
 
 

@@ -158,12 +158,37 @@ def weighted_linkage(spark, d):
     return status.select("item", F.col("top_score").cast("bigint").alias("top_score"), "candidates", "ambiguous", "link_status")
 
 
+_GRADE = "CASE WHEN {a} = '' OR {b} = '' THEN 0 WHEN {a} = {b} THEN 100 WHEN least(length({a}), length({b})) >= 4 AND (contains({a}, {b}) OR contains({b}, {a})) THEN CAST(floor(75 + least(length({a}), length({b})) / greatest(length({a}), length({b})) * 20) AS INTEGER) ELSE 0 END"
+
+
+@query(
+    "jn_7_field_grades",
+    f"""
+    WITH {WIDE_SQL}, n AS (SELECT row_pos, depth, lower(regexp_replace(name, '[^0-9A-Za-z]', '', 'g')) AS name, lower(regexp_replace(maker, '[^0-9A-Za-z]', '', 'g')) AS maker, lower(regexp_replace(coalesce(org, ''), '[^0-9A-Za-z]', '', 'g')) AS org FROM master),
+    q AS (SELECT *, CASE row_pos % 3 WHEN 0 THEN name || 'x' WHEN 1 THEN name ELSE 'zz' END AS qname, CASE row_pos % 4 WHEN 0 THEN maker || 'koreaplant' WHEN 1 THEN '' ELSE maker END AS qmaker, CASE WHEN row_pos % 2 = 0 THEN org ELSE 'other' END AS qorg FROM n),
+    g AS (SELECT row_pos, depth, {_GRADE.format(a='qname', b='name')} AS gn, {_GRADE.format(a='qmaker', b='maker')} AS gm, {_GRADE.format(a='qorg', b='org')} AS go FROM q)
+    SELECT row_pos, depth, CAST(CASE WHEN gn = 100 THEN 90 WHEN gn >= 75 THEN 58 ELSE 0 END + CASE WHEN gm = 100 THEN 60 WHEN gm >= 75 THEN 39 ELSE 0 END + CASE WHEN go = 100 THEN 35 WHEN go >= 75 THEN 22 ELSE 0 END AS BIGINT) AS score,
+      CASE WHEN gm >= 90 AND gn >= 90 THEN 'STRONG' WHEN gm >= 75 AND gn >= 75 THEN 'REVIEW' ELSE 'WEAK' END AS level FROM g
+    """,
+)
+def field_grades(spark, d):
+    key = lambda c: X.norm_key(F.coalesce(F.col(c), F.lit("")), case="lower", keep="0-9a-z가-힣")
+    m = reshape.flatten_master(wide_master(spark, d)).select("row_pos", F.col("depth").cast("bigint").alias("depth"), *[key(c).alias(c) for c in ("name", "maker", "org")])
+    k = F.col("row_pos")
+    pairs = m.select(
+        "*", F.when(k % 3 == 0, F.concat("name", F.lit("x"))).when(k % 3 == 1, F.col("name")).otherwise(F.lit("zz")).alias("q_name"),
+        F.when(k % 4 == 0, F.concat("maker", F.lit("koreaplant"))).when(k % 4 == 1, F.lit("")).otherwise(F.col("maker")).alias("q_maker"),
+        F.when(k % 2 == 0, F.col("org")).otherwise(F.lit("other")).alias("q_org"),
+    )
+    return L.grade_pairs(pairs, {"name": 90, "maker": 60, "org": 35}, "maker", ["name"]).select("row_pos", "depth", "score", "level")
+
+
 @query(
     "jn_8_document_scoring",
     """
-    WITH e AS (SELECT item_id, regexp_replace(upper(substr(text, 1, 60)), '[^A-Z0-9가-힣]+', '', 'g') AS english, regexp_replace(upper(substr(text, 20, 40)), '[^A-Z0-9가-힣]+', '', 'g') AS cert_no, 'SRC' || CAST(item_id % 20 AS VARCHAR) AS maker FROM benchmark),
+    WITH e AS (SELECT item_id, regexp_replace(upper(text), '[^A-Z0-9가-힣]+', '', 'g') AS english, regexp_replace(upper(split_part(text, '. ', 2)), '[^A-Z0-9가-힣]+', '', 'g') AS cert_no, 'SRC' || CAST(item_id % 20 AS VARCHAR) AS maker FROM benchmark),
     t AS (SELECT doc_id, upper(source) AS source, regexp_replace(upper(text), '[^A-Z0-9가-힣]+', '', 'g') AS k FROM documents),
-    s AS (SELECT doc_id, item_id, CASE WHEN contains(k, cert_no) THEN 130 ELSE 0 END + CASE WHEN contains(k, english) THEN 65 ELSE 0 END + CASE WHEN maker = source THEN 45 ELSE 0 END AS score, contains(k, cert_no) OR contains(k, english) AS exact FROM t, e WHERE contains(k, cert_no) OR contains(k, english)),
+    s AS (SELECT doc_id, item_id, CASE WHEN length(cert_no) >= 12 AND contains(k, cert_no) THEN 130 ELSE 0 END + CASE WHEN contains(k, english) THEN 65 ELSE 0 END + CASE WHEN maker = source THEN 45 ELSE 0 END AS score, contains(k, cert_no) OR contains(k, english) AS exact FROM t, e WHERE (length(cert_no) >= 12 AND contains(k, cert_no)) OR contains(k, english)),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rn FROM s)
     SELECT doc_id, max(CASE WHEN rn = 1 THEN item_id END) AS item_id, max(CASE WHEN rn = 1 THEN score END)::BIGINT AS score, max(CASE WHEN rn = 1 THEN score END) >= 130 AS strong FROM r GROUP BY 1
     """,
@@ -171,7 +196,7 @@ def weighted_linkage(spark, d):
 def document_scoring(spark, d):
     key = lambda c: X.norm_key(c)
     entries = table(spark, d, "benchmark").select(
-        "item_id", key(F.substring("text", 1, 60)).alias("english"), key(F.substring("text", 20, 40)).alias("cert_no"), F.concat(F.lit("SRC"), (F.col("item_id") % 20).cast("string")).alias("maker")
+        "item_id", key(F.col("text")).alias("english"), key(F.coalesce(F.get(F.split("text", r"\. "), 1), F.lit(""))).alias("cert_no"), F.concat(F.lit("SRC"), (F.col("item_id") % 20).cast("string")).alias("maker")
     )
     docs = table(spark, d, "documents").select("doc_id", F.upper("source").alias("read_maker"), key(F.col("text")).alias("body"))
     words = entries.select("item_id", "maker", F.inline(F.array(F.struct(F.col("cert_no").alias("word"), F.lit(130).alias("w")), F.struct(F.col("english").alias("word"), F.lit(65).alias("w")))))
@@ -278,8 +303,8 @@ def folder_chain(spark, d):
 @query(
     "jn_13_inbound_matching",
     r"""
-    WITH sent AS (SELECT conv_id, min(trim(regexp_replace(lower(substr(text, 1, 30)), '\s+', ' ', 'g'))) AS subj FROM conversations WHERE turn = 0 GROUP BY conv_id),
-    inb AS (SELECT conv_id * 100 + turn AS id, conv_id, turn, lower(text) AS body, CASE WHEN turn % 2 = 0 THEN trim(regexp_replace(lower(substr(text, 1, 60)), '\s+', ' ', 'g')) ELSE 'other ' || CAST(turn AS VARCHAR) END AS subj FROM conversations),
+    WITH sent AS (SELECT conv_id, min(trim(regexp_replace(lower(split_part(text, '.', 1)), '\s+', ' ', 'g'))) AS subj FROM conversations WHERE turn = 0 GROUP BY conv_id),
+    inb AS (SELECT conv_id * 100 + turn AS id, conv_id, turn, lower(text) AS body, CASE WHEN turn % 2 = 0 THEN trim(regexp_replace(lower(split_part(text, '.', 1) || ' / ' || split_part(text, '.', 2)), '\s+', ' ', 'g')) ELSE 'other ' || CAST(turn AS VARCHAR) END AS subj FROM conversations),
     ss AS (SELECT subj, min(conv_id) AS conv FROM sent WHERE length(subj) >= 10 GROUP BY 1),
     hit AS (SELECT i.id, min(s.conv) AS ref FROM inb i JOIN ss s ON contains(i.subj, s.subj) OR contains(s.subj, i.subj) GROUP BY 1)
     SELECT i.id, CASE WHEN i.conv_id % 9 = 0 THEN 'exact' WHEN h.ref IS NOT NULL THEN 'probable' WHEN regexp_matches(body, 'certificate|halal') THEN 'unmatched_candidate' WHEN contains(body, 'tion') THEN 'unmatched_candidate' ELSE 'excluded' END AS status,
@@ -288,12 +313,11 @@ def folder_chain(spark, d):
 )
 def inbound_matching(spark, d):
     turns = table(spark, d, "conversations")
-    sent = turns.filter("turn = 0").select("conv_id", X.squash(F.lower(F.substring("text", 1, 30))).alias("subj")).filter(F.length("subj") >= 10)
+    sent = turns.filter("turn = 0").select("conv_id", X.squash(F.lower(F.get(F.split("text", r"\."), 0))).alias("subj")).filter(F.length("subj") >= 10)
     sent = sent.groupBy("subj").agg(F.min("conv_id").alias("conv"))
-    # twelve characters or more carry a q-gram of eight; shorter ones do not occur after the filter
     inbound = turns.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "conv_id", F.lower("text").alias("body"),
-        F.when(F.col("turn") % 2 == 0, X.mail_subject(F.substring("text", 1, 60))).otherwise(F.concat(F.lit("other "), F.col("turn").cast("string"))).alias("insubj"),
+        F.when(F.col("turn") % 2 == 0, X.mail_subject(F.concat(F.get(F.split("text", r"\."), 0), F.lit(" / "), F.coalesce(F.get(F.split("text", r"\."), 1), F.lit(""))))).otherwise(F.concat(F.lit("other "), F.col("turn").cast("string"))).alias("insubj"),
         F.when(F.col("conv_id") % 9 == 0, F.concat(F.lit("ref req-20260630-0000000"), (F.col("conv_id") % 10).cast("string"))).otherwise(F.lit("")).alias("foot"),
     )
     inside = L.contains_join(inbound, "id", "insubj", sent, "subj", q=8).join(sent, "subj").select("id", "conv")
@@ -359,7 +383,9 @@ def signature_class(spark, d):
 def word_counts(docs):
     """TF-IDF of the words of each distinct text of a language; exact copies are represented by their
     smallest id. idf = ln((1 + n) / (1 + df)) + 1 over the texts of the language."""
-    reps = docs.groupBy("lang", F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    # only ids meet in the aggregate; the texts stay where they were read
+    first = docs.groupBy("lang", F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    reps = docs.select("lang", "doc_id", "text").join(first, "doc_id", "left_semi")
     words = F.explode(F.filter(F.split("text", "[^A-Za-z0-9]+"), lambda w: w != ""))
     tf = reps.select("lang", "doc_id", words.alias("word")).groupBy("lang", "doc_id", "word").agg(F.count("*").alias("tf"))
     df = tf.groupBy("lang", "word").agg(F.count("*").alias("df"))
@@ -433,8 +459,8 @@ def expected_values(spark, d):
 @query(
     "jn_20_ground_truth",
     r"""
-    WITH g AS (SELECT item_id, trim(substr(text, 1, 40)) AS name FROM benchmark), gd AS (SELECT name, min(item_id) AS item_id FROM g GROUP BY 1),
-    q AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS name FROM documents UNION ALL SELECT 1000000 + item_id, trim(substr(text, 1, CASE WHEN item_id % 2 = 0 THEN 40 ELSE 25 END)) FROM benchmark),
+    WITH g AS (SELECT item_id, trim(split_part(text, '.', 1)) AS name FROM benchmark), gd AS (SELECT name, min(item_id) AS item_id FROM g GROUP BY 1),
+    q AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS name FROM documents UNION ALL SELECT 1000000 + item_id, CASE WHEN item_id % 2 = 0 THEN trim(split_part(text, '.', 1)) ELSE trim(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) END FROM benchmark),
     e AS (SELECT doc_id, item_id FROM q JOIN gd USING (name)),
     c AS (SELECT doc_id, min(item_id) AS item_id FROM q JOIN gd ON (contains(q.name, gd.name) OR contains(gd.name, q.name)) GROUP BY 1)
     SELECT doc_id, coalesce(e.item_id, c.item_id) AS item_id, CASE WHEN e.item_id IS NOT NULL THEN 'EXACT' ELSE 'CONTAINED' END AS method FROM c LEFT JOIN e USING (doc_id)
@@ -442,13 +468,13 @@ def expected_values(spark, d):
 )
 def ground_truth(spark, d):
     bench = table(spark, d, "benchmark")
-    truth = bench.select("item_id", F.trim(F.substring("text", 1, 40)).alias("gname")).groupBy("gname").agg(F.min("item_id").alias("item_id"))
+    truth = bench.select("item_id", F.trim(F.get(F.split("text", r"\."), 0)).alias("gname")).groupBy("gname").agg(F.min("item_id").alias("item_id"))
     names = table(spark, d, "documents").select("doc_id", X.squash(F.col("text")).alias("name")).unionByName(
-        bench.select((F.col("item_id") + 1000000).alias("doc_id"), F.trim(F.when(F.col("item_id") % 2 == 0, F.substring("text", 1, 40)).otherwise(F.substring("text", 1, 25))).alias("name"))
+        bench.select((F.col("item_id") + 1000000).alias("doc_id"), F.trim(F.when(F.col("item_id") % 2 == 0, F.get(F.split("text", r"\."), 0)).otherwise(F.concat_ws(" ", F.get(F.split("text", " "), 0), F.get(F.split("text", " "), 1)))).alias("name"))
     )
     exact = names.join(truth, F.col("name") == F.col("gname")).select("doc_id", F.col("item_id").alias("exact_id"))
-    inside = L.contains_join(names, "doc_id", "name", truth, "gname", q=8).join(truth, "gname").select("doc_id", "item_id")
-    around = L.contains_join(truth.select("item_id", F.col("gname").alias("t")), "item_id", "t", names.filter(F.length("name") <= 40), "name", q=4, shortest=1)
+    inside = L.contains_join(names, "doc_id", "name", truth, "gname", shortest=1).join(truth, "gname").select("doc_id", "item_id")
+    around = L.contains_join(truth.select("item_id", F.col("gname").alias("t")), "item_id", "t", names, "name", q=4, shortest=1)
     around = around.join(names, "name").select("doc_id", "item_id")
     contained = inside.unionByName(around).groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
     out = contained.join(exact, "doc_id", "left")

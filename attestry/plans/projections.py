@@ -424,14 +424,14 @@ def next_year(spark, d):
 @query(
     "prj_25_softmax",
     """
-    WITH s AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest([1, 2, 3]) AS i)),
+    WITH s AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
     m AS (SELECT vec_id, max(v) AS mx, min(v) AS mn FROM s GROUP BY vec_id),
     e AS (SELECT s.vec_id, s.i, exp(s.v - mx) AS x, mx - mn AS gap FROM s JOIN m USING (vec_id))
     SELECT vec_id, CAST(i AS BIGINT) AS class_no, round(x / sum(x) OVER (PARTITION BY vec_id), 6) AS share, round(1 / (1 + exp(-gap)), 6) AS confidence FROM e
     """,
 )
 def softmax(spark, d):
-    scores = F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double"))
+    scores = F.transform("embedding", lambda v: v.cast("double"))
     rows = table(spark, d, "embeddings").select(
         "vec_id",
         F.posexplode(rules.softmax(scores)).alias("i", "share"),

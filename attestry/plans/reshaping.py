@@ -245,7 +245,7 @@ def product_rows(spark, d):
 @query(
     "rsh_12_page_choice",
     r"""
-    WITH p AS (SELECT conv_id, turn, CASE WHEN length(trim(text)) >= 200 THEN trim(text) WHEN turn % 4 = 3 THEN '' ELSE trim(substr(text, 1, 100)) END AS t, length(trim(text)) >= 200 AS direct, turn % 4 = 3 AS broken,
+    WITH p AS (SELECT conv_id, turn, CASE WHEN length(trim(text)) >= 200 THEN trim(text) WHEN turn % 4 = 3 THEN '' ELSE trim(replace(text, 'e', 'c')) END AS t, length(trim(text)) >= 200 AS direct, turn % 4 = 3 AS broken,
        CAST(length(text) % 100 AS DOUBLE) AS conf FROM conversations)
     SELECT conv_id, count(*) FILTER (direct) AS native_pages, count(*) FILTER (NOT direct) AS scanned_pages, count(*) FILTER (NOT direct AND broken) AS failed_pages,
       round(coalesce(avg(conf) FILTER (NOT direct), -1), 6) AS mean_confidence, CAST(sum(length(t)) AS BIGINT) AS text_length,
@@ -256,7 +256,7 @@ def product_rows(spark, d):
 )
 def page_choice(spark, d):
     turns = table(spark, d, "conversations").select(
-        "conv_id", "turn", F.col("text").alias("native"), F.when(F.col("turn") % 4 != 3, F.substring("text", 1, 100)).alias("scanned"),
+        "conv_id", "turn", F.col("text").alias("native"), F.when(F.col("turn") % 4 != 3, F.replace("text", F.lit("e"), F.lit("c"))).alias("scanned"),
         (F.length("text") % 100).cast("double").alias("conf"),
     )
     pages, docs = reshape.choose_pages(turns, "conv_id", "turn", "native", "scanned", "conf", 200, 400)
