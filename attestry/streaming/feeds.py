@@ -86,7 +86,7 @@ def history_batches(keys: Sequence[str], out: str, bucket: Column) -> Callable[[
             seen = [*keys, "org", "cert_no", "expiry"]
             old = known.select(*seen).withColumn("role", F.lit("SECONDARY"))
             history = history.join(old, [*seen, "role"], "left_anti")
-        history.write.mode("overwrite").parquet(f"{out}/opened/batch={batch}")
+        history.write.mode("overwrite").partitionBy("role").parquet(f"{out}/opened/batch={batch}")
         opened = spark.read.parquet(f"{out}/opened/batch={batch}")
         firsts = rank.best_per_key(opened.filter("role = 'PRIMARY'"), keys, [F.col("valid_from"), F.col("id")], largest=False)
         closed = firsts.filter("supersedes_id is not null").select(*keys, F.col("supersedes_id").alias("id"), F.col("valid_from").alias("closed_at"))
