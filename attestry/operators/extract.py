@@ -17,10 +17,6 @@ from attestry.functions.similarity import ladder, ladder_from
 from attestry.operators import rules
 
 
-def _none(kind: str) -> Column:
-    return F.lit(None).cast(kind)
-
-
 def detect_issuer(blob: Column, aliases: Sequence[tuple[str, Sequence[str], int]]) -> Column:
     """Ordered alias table (issuer, aliases, hits needed). The first issuer with enough hits wins;
     if none has enough, the first with any hit; else UNKNOWN."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.functions import text as X
-from attestry.operators import aggregate, filters, metrics, rank, reshape, rules
+from attestry.operators import aggregate, metrics, rank, reshape, rules
 from attestry.plans.common import WIDE_SQL, wide_master
 from attestry.plans.registry import query, table
 

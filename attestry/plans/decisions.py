@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.functions import text as X
 from attestry.operators import aggregate, decisions as DEC, metrics, rank, state
 from attestry.plans.aggregates import AS_OF, CERT_SQL, TOKEN_SQL, certificates, near_copy_tokens
 from attestry.plans.registry import query, table

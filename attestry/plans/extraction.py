@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.functions import dates as D
-from attestry.functions import text as X
 from attestry.operators import decisions as DEC
 from attestry.operators import extract as EX
 from attestry.operators import lines, rules

@@ -227,6 +227,19 @@ def email_list(spark, d):
     return mails.filter(F.size("l") > 0).select("doc_id", F.array_join("l", "; ").alias("emails"))
 
 
+@query(
+    "prj_12_recipients",
+    """
+    SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) || '@a.example;office@b.example' ELSE lower(c_mktsegment) || '@a.example' END AS receivers, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n FROM customer
+    """,
+)
+def recipients(spark, d):
+    first = F.concat(F.lower("c_mktsegment"), F.lit("@a.example"))
+    field = F.concat(first, F.when(F.col("c_custkey") % 2 == 0, F.lit(" , office@b.example;none; ")).otherwise(F.lit("; ")), first)
+    parts = table(spark, d, "customer").select("c_custkey", X.recipients(field).alias("r"))
+    return parts.select("c_custkey", F.array_join("r", ";").alias("receivers"), F.size("r").cast("bigint").alias("n"))
+
+
 @query(
     "prj_13_file_name_parts",
     r"""
