@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import bpe
+from attestry.llm import bpe, chat, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op5_quality_rules", quality_rules.ORACLE_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.cascade(documents(spark, sf_dir))
+
+
+@query("op9_chat_format", chat.ORACLE_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_texts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
