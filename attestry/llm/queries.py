@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import bpe, chat, quality_rules
+from attestry.llm import bpe, chat, id_files, language, packing, quality_rules
+from attestry.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +41,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_chat_format", chat.ORACLE_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_texts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op8_id_files")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "id-files")
+    id_files.write(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return id_files.digests(id_files.read(spark, folder))
+
+
+@query("op10_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
