@@ -17,6 +17,7 @@ U64 = np.uint64
 # Odd, so it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+LENGTH_FACTOR = 0xD6E8FEB86659FD93
 BYTE_VALUES = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64)
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -85,14 +86,14 @@ class SpanHashes:
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self._sums[end] - self._sums[start]) * self._down[start]
-        return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return mix(raw + (end - start).astype(U64) * U64(LENGTH_FACTOR))
 
     def windows(self, width: int) -> np.ndarray:
         """Hash of the ``width`` bytes from each position on, where so many follow."""
         n = len(self._sums) - 1 - width + 1
         if n <= 0:
             return np.zeros(0, U64)
-        return mix((self._sums[width:] - self._sums[:n]) * self._down[:n])
+        return mix((self._sums[width:] - self._sums[:n]) * self._down[:n] + U64(width * LENGTH_FACTOR % (1 << 64)))
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import bpe, chat, id_files, language, packing, quality_rules
+from attestry.llm import bpe, chat, id_files, language, packing, quality_rules, syncmers
 from attestry.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
+
+
+@query("op3_syncmers")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edit_probe(documents(spark, sf_dir))
