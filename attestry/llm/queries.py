@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import bpe, chat, id_files, jaccard, language, packing, quality_rules, syncmers
+from attestry.llm import bpe, chat, id_files, jaccard, language, packing, quality_rules, repeats, syncmers
 from attestry.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_jaccard")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(documents(spark, sf_dir), jaccard.Similar(words=4, num=85, den=100))
+
+
+@query("op2_repeats")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.find(documents(spark, sf_dir)))
