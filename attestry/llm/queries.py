@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import bpe, chat, id_files, jaccard, language, packing, quality_rules, repeats, syncmers
+from attestry.llm import bpe, chat, id_files, importance, jaccard, language, packing, quality_rules, repeats, syncmers
 from attestry.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_repeats")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.find(documents(spark, sf_dir)))
+
+
+@query("op1_importance")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
