@@ -156,9 +156,9 @@ def base_failed(texts: Texts, n_repeat: np.ndarray) -> np.ndarray:
 
 
 def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds per byte, rejected share) of each rule alone, on the first ``sample_rows`` rows that Spark finds.
+    """(rule, seconds per byte, rejected share) of each rule alone, on a random sample of about ``sample_rows`` rows.
 
-    The sample decides the order of the rules only; one row per rule and task comes to the driver's aggregate."""
+    The sample decides the order of the rules only. It is taken inside the scan; one row per rule and task leaves it."""
     names = [r.name for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,8 @@ def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
             names=["rule", "spent", "rejected", "size", "seen"],
         )
 
-    measured = docs.select(text).limit(sample_rows).mapInArrow(run, "rule int, spent double, rejected double, size double, seen double")
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    measured = docs.select(text).sample(share, seed=1).mapInArrow(run, "rule int, spent double, rejected double, size double, seen double")
     rows = measured.groupBy("rule").agg(*[F.sum(x).alias(x) for x in ("spent", "rejected", "size", "seen")]).collect()
     found = {r.rule: (r.spent / max(r["size"], 1.0), r.rejected / max(r.seen, 1.0)) for r in rows}
     return [(name, *found.get(k, (0.0, 0.0))) for k, name in enumerate(names)]
