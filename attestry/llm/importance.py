@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -203,8 +203,30 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
     return left
 
 
-def resample(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", seed: int = 11, temperature: float = TEMPERATURE, labelled: int = LABELLED) -> DataFrame:
-    """(id, log_weight, key, kept) of each document."""
+@dataclass
+class Draw:
+    """The fitted model, and the smallest key that is drawn (None: no document is)."""
+
+    model: Model
+    least: float | None
+    temperature: float
+    seed: int
+
+    def keys(self, docs: DataFrame, ident: str, text: str) -> DataFrame:
+        """The documents without their text, with ``log_weight`` and ``key``."""
+        noise = (F.xxhash64(F.lit(self.seed), ident, text).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+        drawn = docs.withColumn("_noise", -F.log(-F.log(noise)))
+        weighed = _weights(drawn, self.model.ratios(), "log_weight", text)
+        return weighed.withColumn("key", F.col("log_weight") / self.temperature + F.col("_noise")).drop("_noise")
+
+    def keep(self) -> Column:
+        return F.lit(False) if self.least is None else F.col("key") >= self.least
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", seed: int = 11, temperature: float = TEMPERATURE, labelled: int = LABELLED
+) -> tuple[Draw, DataFrame]:
+    """The draw, and (id, log_weight, key) of each document as a written table."""
     sample = cut_lineage(labelled_sample(labels, ident, labelled))
     marked = docs.select(ident, text).join(F.broadcast(sample), ident, "left")
     model = counted(marked, "_good", text)
@@ -212,10 +234,24 @@ def resample(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: st
     own = _weights(known.filter("_good").select(text), model.ratios(left_out=True), "weight", text).collect()
     other = _weights(known.filter(~F.col("_good")).select(text), model.ratios(), "weight", text).collect()
     floor = floor_of(np.array([r.weight for r in own]), np.array([r.weight for r in other]))
-    noise = (F.xxhash64(F.lit(seed), ident, text).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    drawn = docs.select(ident, text, (-F.log(-F.log(noise))).alias("_noise"))
-    scored = cut_lineage(_weights(drawn, model.ratios(), "log_weight", text).withColumn("key", F.col("log_weight") / temperature + F.col("_noise")).drop("_noise"))
+    draw = Draw(model, None, temperature, seed)
+    scored = cut_lineage(draw.keys(docs.select(ident, text), ident, text))
     k = scored.filter(F.col("log_weight") >= floor).count()
-    if not k:
-        return scored.withColumn("kept", F.lit(False))
-    return scored.withColumn("kept", F.col("key") >= kth_largest(scored, "key", k))
+    draw.least = kth_largest(scored, "key", k) if k else None
+    return draw, scored
+
+
+def resample(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """(id, log_weight, key, kept) of each document."""
+    draw, scored = fit(docs, labels, ident, text, **settings)
+    return scored.withColumn("kept", draw.keep())
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The documents that are drawn, with all their columns. They are weighed again where they lie, so no text is shuffled."""
+    draw, _ = fit(docs, labels, ident, text, **settings)
+    names = docs.columns
+    plain = {c: f"_c{i}" for i, c in enumerate(names)}  # so that no column is named like one made here
+    again = docs.toDF(*plain.values()).withColumn("_body", F.col(plain[text]))
+    keyed = draw.keys(again, plain[ident], "_body").filter(draw.keep())
+    return keyed.select(*[F.col(v).alias(c) for c, v in plain.items()])

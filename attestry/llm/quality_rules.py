@@ -209,6 +209,18 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, ident: str = "doc_id
     )
 
 
+def kept_rows(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that are kept, with all their columns. No shuffle."""
+    order = ordered(rules, estimate(docs, rules, text, sample_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            t, n_repeat = base(*utf8(part.column(text)))
+            yield part.filter(pa.array(judge(t, ~base_failed(t, n_repeat), order)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
