@@ -79,9 +79,9 @@ def find_codes(text: Column, issuer: Column, patterns: Mapping[str, Sequence[tup
 EXPIRY_WORDS = ("valid", "validity", "until", "expiry", "expired", "expiration", "expire", "berlaku", "hingga", "sampai", "유효", "만료", "유효기간", "기간", "~")
 
 
-def scored_dates(text: Column, from_name: bool = False, size: int = 10) -> Column:
+def scored_dates(text: Column, from_name: bool = False, size: int | None = None) -> Column:
     """Date candidates ``array<struct<score, date>>``: 90 near an expiry word, else 50, 8 more for a file
-    name; best per date, by score then date."""
+    name; best per date, by score then date; the first ``size`` if it is given."""
     near = "|".join("\\Q" + w + "\\E" for w in EXPIRY_WORDS)
 
     def score(t: Column) -> Column:
@@ -95,7 +95,7 @@ def scored_dates(text: Column, from_name: bool = False, size: int = 10) -> Colum
         )
         valid = F.array_sort(F.filter(hits, lambda c: c["date"].isNotNull()))
         first = X.let(valid, lambda v: X.let(F.transform(v, lambda c: c["date"]), lambda ds: F.filter(v, lambda c, i: F.array_position(ds, c["date"]) == i + 1)))
-        return F.transform(F.slice(first, 1, size), lambda c: F.struct((-c["neg"]).alias("score"), c["date"].alias("date")))
+        return F.transform(first if size is None else F.slice(first, 1, size), lambda c: F.struct((-c["neg"]).alias("score"), c["date"].alias("date")))
 
     return X.let(X.html_text(text), score)
 
@@ -193,14 +193,15 @@ def best_product(products: Column, target: Column) -> Column:
 def apply_overrides(docs: DataFrame, text: str, issuer: str, override_rules: Sequence[Mapping]) -> DataFrame:
     """Extension rules in order, each where its issuer matches (ALL and * match every issuer).
 
-    Kinds: date_anchor (anchors, window), maker_cleanup, code_pattern (patterns), non_cert_doc
-    (markers). One projection per rule; Catalyst merges them into one pass."""
-    for rule in rules._bounded(list(override_rules)):
+    Kinds: date_anchor (anchors, window, stop_before), maker_cleanup, code_pattern (patterns),
+    non_cert_doc (markers). A rule with ``enabled`` false is passed over; a date search ends where one of
+    the ``stop_before`` words begins. One projection per rule; Catalyst merges them into one pass."""
+    for rule in rules._bounded([r for r in override_rules if r.get("enabled", True)]):
         target = str(rule.get("target_org", "")).upper().strip()
         applies = F.lit(True) if target in ("", "ALL", "ANY", "*") else F.upper(issuer) == target
         kind, field = rule["rule_kind"], rule.get("target_field")
         if kind == "date_anchor":
-            value = D.date_after(F.col(text), list(rule["anchors"]), int(rule.get("window", 650))).cast("string")
+            value = D.date_after(F.col(text), list(rule["anchors"]), int(rule.get("window", 650)), rule.get("stop_before", ())).cast("string")
         elif kind == "maker_cleanup":
             field = field or "maker"
             value = F.nullif(clean_company(F.col(field)), F.lit(""))

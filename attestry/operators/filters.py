@@ -61,14 +61,14 @@ def search_levels(long: DataFrame, keyword: str, key: str, depth: str, fields: S
     return best.select(key, "hit.*").orderBy(key).limit(limit)
 
 
-def listing(df: DataFrame, equals: Mapping[str, object], order: Sequence[Column], limit: int, largest: int = 1000) -> DataFrame:
+def listing(df: DataFrame, equals: Mapping[str, object], order: Sequence[Column], limit: int) -> DataFrame:
     """Newest-first listing: optional equality filters, then a top-k plan.
 
     All filters run before the limit, so a page is never short while rows remain."""
     for col, value in equals.items():
         if value is not None:
             df = df.filter(F.col(col) == F.lit(value))
-    return df.orderBy(*order).limit(max(1, min(limit, largest)))
+    return df.orderBy(*order).limit(max(1, limit))
 
 
 def not_yet_sent(requests: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:

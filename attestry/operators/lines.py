@@ -72,8 +72,8 @@ def page_lines(pages: DataFrame, doc: str, page: str, text: str, header_lines: i
     return out.select(doc, (F.col("_start") + F.col("_i")).alias("global_index"), page, "_r.line_no", "_r.line")
 
 
-def line_spans(docs: DataFrame, text: str, keep: list[str], longest: int = 3, max_chars: int = 500, marker: str = PAGE_MARKER) -> DataFrame:
-    """Spans of 1..``longest`` lines of one page with the lines around them."""
+def line_spans(docs: DataFrame, text: str, keep: list[str], longest: int = 3, max_chars: int | None = None, marker: str = PAGE_MARKER) -> DataFrame:
+    """Spans of 1..``longest`` lines of one page with the lines around them; longer ones than ``max_chars`` are left out if it is given."""
     arrays = docs.select(*keep, lines_of(F.col(text), marker).alias("_lines"))
     lines = F.col("_lines")
 
@@ -82,7 +82,7 @@ def line_spans(docs: DataFrame, text: str, keep: list[str], longest: int = 3, ma
             part = F.filter(F.slice(lines, i + 1, n), lambda x: x["page"] == r["page"])
             joined = F.array_join(F.transform(part, lambda x: x["line"]), " ")
             return F.when(
-                (F.size(part) == n) & (F.length(joined) <= max_chars),
+                (F.size(part) == n) & (F.lit(True) if max_chars is None else F.length(joined) <= max_chars),
                 F.struct(
                     i.alias("first_index"), F.lit(n).alias("span_lines"), r["page"].alias("page"), r["line_no"].alias("line_no"),
                     joined.alias("span"),
@@ -97,7 +97,7 @@ def line_spans(docs: DataFrame, text: str, keep: list[str], longest: int = 3, ma
 
 
 HAS_DATE = r"(?i)\b20\d{2}[-./]\d{1,2}[-./]\d{1,2}\b|\b\d{1,2}[-./]\d{1,2}[-./]20\d{2}\b|\b\d{1,2}(?:st|nd|rd|th)?\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*,?\s+20\d{2}\b"
-COMPANY_SUFFIX = r"(?i)\b(?:co|company|corp|corporation|inc|ltd|limited|llc|plc|gmbh|sdn|bhd)\b"
+COMPANY_SUFFIX = r"(?i)(?:^|[^\p{L}\p{N}_])(?:co|company|corp|corporation|inc|ltd|limited|llc|plc|gmbh|sdn|bhd)(?:$|[^\p{L}\p{N}_])"
 
 
 def eligible(field: str, line: Column, page: Column) -> Column:

@@ -44,19 +44,25 @@ def target_names(
     }
 
 
+def item_blocks(items: DataFrame, keys: Sequence[str], order: str, path: str, fields: Mapping[str, str], bucket: int = 10000) -> DataFrame:
+    """One numbered text block per item, in order within its group: (keys, item_no, block).
+
+    The form does not depend on the size of a group; a caller that sends messages joins the blocks it
+    wants to send together. Items are numbered in two levels, so a large group spreads over tasks."""
+    numbered = rank.number_rows(items, list(keys), [F.asc(order)], F.floor(F.col(order) / bucket), "item_no")
+    parts = [F.concat(F.col("item_no").cast("string"), F.lit(". "), F.col(path))]
+    parts += [F.concat(F.lit(f"- {label}: "), F.coalesce(F.col(col), F.lit("-"))) for label, col in fields.items()]
+    return numbered.select(*keys, "item_no", F.concat_ws("\n", *parts).alias("block"))
+
+
 def render_bodies(
-    items: DataFrame, keys: Sequence[str], order: str, path: str, fields: Mapping[str, str], template: str,
-    per_message: int = 500, bucket: int = 10000,
+    items: DataFrame, keys: Sequence[str], order: str, path: str, fields: Mapping[str, str], template: str, per_message: int, bucket: int = 10000
 ) -> DataFrame:
-    """Numbered item blocks in order, put into the template, one message per group.
+    """Item blocks put into the template, ``per_message`` in each message (``part``), with running numbers.
 
-    A group of more than ``per_message`` items is written as several messages (``part``) with running
-    numbers, so no task ever holds a whole large group. Items are numbered in two levels."""
-    numbered = rank.number_rows(items, list(keys), [F.asc(order)], F.floor(F.col(order) / bucket), "_no")
-    parted = numbered.withColumn("part", F.floor((F.col("_no") - 1) / per_message))
-    parts = [F.concat(F.col("_no").cast("string"), F.lit(". "), F.col(path))]
-    parts += [F.concat(F.lit(f"- {label}: "), F.coalesce(F.col(col), F.lit("-"))) for label, col in fields.items()]
-    blocks = parted.select(*keys, "part", "_no", F.concat_ws("\n", *parts).alias("_b"))
+    The caller says how many items a message takes; no task holds more than that of one group."""
+    blocks = item_blocks(items, keys, order, path, fields, bucket)
+    blocks = blocks.select(*keys, F.floor((F.col("item_no") - 1) / per_message).alias("part"), F.col("item_no").alias("_no"), F.col("block").alias("_b"))
     listed = blocks.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("_no", "_b"))).alias("rows"))
     body = F.replace(
         F.replace(F.lit(template), F.lit("[SUPPLIER]"), F.col(keys[0])),

@@ -14,8 +14,8 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def merge_candidates(candidates: Column, size: int = 10) -> Column:
-    """Date candidates of one record: best score per date, by score then date, ``size`` at most.
+def merge_candidates(candidates: Column, size: int | None = None) -> Column:
+    """Date candidates of one record: best score per date, by score then date; the first ``size`` if it is given.
 
     ``candidates`` is ``array<struct<date:string, score:int>>`` in order of appearance."""
     best = F.transform(
@@ -25,7 +25,7 @@ def merge_candidates(candidates: Column, size: int = 10) -> Column:
             d.alias("date"),
         ),
     )
-    return F.slice(F.array_sort(best), 1, size)
+    return F.array_sort(best) if size is None else F.slice(F.array_sort(best), 1, size)
 
 
 def has_all(values: Column, wanted: Sequence[str]) -> Column:

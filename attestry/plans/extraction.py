@@ -160,6 +160,8 @@ def products(spark, d):
 
 OVERRIDES = [
     {"rule_kind": "date_anchor", "target_org": "HQC", "target_field": "expiry", "anchors": ["VALID UNTIL"], "window": 200},
+    {"rule_kind": "date_anchor", "target_org": "ISA", "target_field": "expiry", "anchors": ["Date of issue"], "window": 200, "stop_before": ["05/01/2024"]},
+    {"rule_kind": "date_anchor", "target_org": "IFB", "target_field": "expiry", "anchors": ["VALID UNTIL"], "window": 200, "enabled": False},
     {"rule_kind": "code_pattern", "target_org": "IFB", "target_field": "cert_no", "patterns": ["ZZ-[0-9]+", "REF AB[0-9]{4}"]},
     {"rule_kind": "maker_cleanup", "target_org": "ALL"},
     {"rule_kind": "non_cert_doc", "target_org": "*", "markers": ["license"]},

@@ -30,15 +30,15 @@ def selected_attachments(spark, d):
     r"""
     WITH a AS (SELECT page_id AS id, lower(url) AS path, regexp_extract(regexp_replace(lower(url), '[?#].*$', ''), '([^/]*)/?$', 1) AS name FROM pages),
     s AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN lower(url) ELSE 'gone' END AS path, regexp_extract(regexp_replace(lower(url), '[?#].*$', ''), '([^/]*)/?$', 1) AS name FROM pages),
-    p AS (SELECT path, max(id) AS id, least(count(*), 3) AS n FROM a GROUP BY 1), q AS (SELECT name, max(id) AS id, least(count(*), 3) AS n FROM a GROUP BY 1)
+    p AS (SELECT path, max(id) AS id, count(*) AS n FROM a GROUP BY 1), q AS (SELECT name, max(id) AS id, count(*) AS n FROM a GROUP BY 1)
     SELECT page_id, coalesce(p.id, q.id, -1) AS attachment_id, coalesce(p.n, q.n, 0)::BIGINT AS match_count, CASE WHEN p.id IS NOT NULL THEN 'PATH' WHEN q.id IS NOT NULL THEN 'NAME' ELSE 'NONE' END AS tier FROM s LEFT JOIN p USING (path) LEFT JOIN q ON q.name = s.name
     """,
 )
 def two_tier_lookup(spark, d):
     name = F.regexp_extract(F.regexp_replace(F.lower("url"), "[?#].*$", ""), "([^/]*)/?$", 1)
     pages = table(spark, d, "pages").select("page_id", F.lower("url").alias("path"), name.alias("name"))
-    by_path = pages.groupBy("path").agg(F.max("page_id").alias("pid"), F.least(F.count("*"), F.lit(3)).alias("pn"))
-    by_name = pages.groupBy("name").agg(F.max("page_id").alias("nid"), F.least(F.count("*"), F.lit(3)).alias("nn"))
+    by_path = pages.groupBy("path").agg(F.max("page_id").alias("pid"), F.count("*").alias("pn"))
+    by_name = pages.groupBy("name").agg(F.max("page_id").alias("nid"), F.count("*").alias("nn"))
     jobs = pages.select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("path")).otherwise(F.lit("gone")).alias("path"), "name")
     j = jobs.join(by_path, "path", "left").join(by_name, "name", "left")
     tier = rules.decide([(F.col("pid").isNotNull(), "PATH"), (F.col("nid").isNotNull(), "NAME")], "NONE")

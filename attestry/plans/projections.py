@@ -481,8 +481,8 @@ def country_match(spark, d):
     "prj_27_request_body",
     """
     WITH i AS (SELECT s_nationkey, s_name, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS idx FROM supplier),
-    b AS (SELECT s_nationkey, string_agg(CAST(idx AS VARCHAR) || '. ' || s_name || chr(10) || '- maker: M' || CAST(s_suppkey AS VARCHAR) || chr(10) || '- expiry: 2026-01-31', chr(10) ORDER BY idx) AS items, count(*) AS n FROM i GROUP BY 1)
-    SELECT 'N' || CAST(s_nationkey AS VARCHAR) AS supplier, CAST(n AS BIGINT) AS item_count, md5('To N' || CAST(s_nationkey AS VARCHAR) || ':' || chr(10) || items || chr(10) || 'Regards') AS body_digest FROM b
+    b AS (SELECT *, CAST(idx AS VARCHAR) || '. ' || s_name || chr(10) || '- maker: M' || CAST(s_suppkey AS VARCHAR) || chr(10) || '- expiry: 2026-01-31' AS block FROM i)
+    SELECT 'N' || CAST(s_nationkey AS VARCHAR) AS supplier, CAST(idx AS BIGINT) AS item_no, block FROM b
     """,
 )
 def request_body(spark, d):
@@ -491,8 +491,7 @@ def request_body(spark, d):
         F.col("s_suppkey").alias("ord"), F.col("s_name").alias("path"),
         F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("maker"), F.lit("2026-01-31").alias("expiry"),
     )
-    bodies = mailing.render_bodies(items, ["supplier"], "ord", "path", {"maker": "maker", "expiry": "expiry"}, "To [SUPPLIER]:\n[ITEMS]\nRegards")
-    return bodies.select("supplier", "item_count", F.md5("body").alias("body_digest"))
+    return mailing.item_blocks(items, ["supplier"], "ord", "path", {"maker": "maker", "expiry": "expiry"})
 
 
 @query(

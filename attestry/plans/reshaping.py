@@ -87,7 +87,7 @@ def parse_items(spark, d):
         F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("maker"),
         F.when(F.col("s_suppkey") % 3 != 0, F.lit("HQC")).alias("org"), F.lit("2026-01-31").alias("expiry"),
     )
-    bodies = mailing.render_bodies(items, ["supplier"], "ord", "path", {"maker": "maker", "issuer": "org", "expiry": "expiry"}, "Dear [SUPPLIER]<br>[ITEMS]</div>")
+    bodies = mailing.render_bodies(items, ["supplier"], "ord", "path", {"maker": "maker", "issuer": "org", "expiry": "expiry"}, "Dear [SUPPLIER]<br>[ITEMS]</div>", per_message=100)
     parsed = reshape.parse_items(bodies, ["supplier"], "body", ITEM_LABELS)
     return parsed.withColumn("item_index", F.col("item_index").cast("bigint"))
 
@@ -129,7 +129,7 @@ def marked_text(spark, d):
     rf"""
     WITH {LINES_SQL}, s AS (SELECT doc_id, gi, n, CASE n WHEN 1 THEN line WHEN 2 THEN line || ' ' || lead(line, 1) OVER w ELSE line || ' ' || lead(line, 1) OVER w || ' ' || lead(line, 2) OVER w END AS span
       FROM lines, (SELECT unnest([1, 2, 3]) AS n) WINDOW w AS (PARTITION BY doc_id, n ORDER BY gi))
-    SELECT doc_id, gi AS first_index, CAST(n AS BIGINT) AS span_lines, md5(span) AS digest FROM s WHERE span IS NOT NULL AND length(span) <= 500
+    SELECT doc_id, gi AS first_index, CAST(n AS BIGINT) AS span_lines, md5(span) AS digest FROM s WHERE span IS NOT NULL
     """,
 )
 def line_spans(spark, d):
@@ -142,19 +142,19 @@ def line_spans(spark, d):
     rf"""
     WITH {LINES_SQL} SELECT doc_id, line_no, md5('__FIELD_CERT_NO__ __ORG_' || upper(source) || '__ __PAGE_1__ __POS_' || CAST(least(line_no // 5, 9) AS VARCHAR) || '__ __FIRST_PAGE__'
       || CASE WHEN regexp_matches(line, '[0-9]') THEN ' __HAS_DIGIT__' ELSE '' END
+      || CASE WHEN regexp_matches(line, '{lines.COMPANY_SUFFIX}') THEN ' __HAS_COMPANY_SUFFIX__' ELSE '' END
       || CASE WHEN regexp_matches(upper(line), 'CERT|REGISTRATION|LICENSE') THEN ' __CERT_KEYWORD__' ELSE '' END
       || CASE WHEN regexp_matches(upper(line), 'VALID|EXPIR|UNTIL') THEN ' __EXPIRY_KEYWORD__' ELSE '' END
       || CASE WHEN regexp_matches(upper(line), 'MANUFACTURER|MANUFACTURED BY|COMPANY NAME|FACTORY|APPLICANT') THEN ' __MAKER_KEYWORD__' ELSE '' END
       || CASE WHEN regexp_matches(upper(line), 'COUNTRY|ADDRESS|SITE|PLANT') THEN ' __COUNTRY_CONTEXT__' ELSE '' END
       || chr(10) || 'PREV: ' || prev || chr(10) || 'CUR: ' || line || chr(10) || 'NEXT: ' || next) AS digest
-    FROM lines WHERE NOT regexp_matches(line, '(?i)(company|corp|corporation|inc|ltd|limited|llc|plc|gmbh|sdn|bhd|co)')
+    FROM lines
     """,
 )
 def line_features(spark, d):
     rows = lines.document_lines(table(spark, d, "documents"), "text", ["doc_id", "source"])
-    plain = rows.filter(~F.col("line").rlike("(?i)(company|corp|corporation|inc|ltd|limited|llc|plc|gmbh|sdn|bhd|co)"))
     text = lines.feature_text("cert_no", F.col("source"), F.col("line"), F.col("prev"), F.col("next"), F.col("page"), F.col("line_no"))
-    return plain.select("doc_id", BIG("line_no"), F.md5(text).alias("digest"))
+    return rows.select("doc_id", BIG("line_no"), F.md5(text).alias("digest"))
 
 
 @query(
@@ -246,12 +246,13 @@ def product_rows(spark, d):
     "rsh_12_page_choice",
     r"""
     WITH p AS (SELECT conv_id, turn, CASE WHEN length(trim(text)) >= 200 THEN trim(text) WHEN turn % 4 = 3 THEN '' ELSE trim(replace(text, 'e', 'c')) END AS t, length(trim(text)) >= 200 AS direct, turn % 4 = 3 AS broken,
-       CAST(length(text) % 100 AS DOUBLE) AS conf FROM conversations)
-    SELECT conv_id, count(*) FILTER (direct) AS native_pages, count(*) FILTER (NOT direct) AS scanned_pages, count(*) FILTER (NOT direct AND broken) AS failed_pages,
+       CAST(length(text) % 100 AS DOUBLE) AS conf FROM conversations),
+    d AS (SELECT conv_id, count(*) FILTER (direct) AS native_pages, count(*) FILTER (NOT direct) AS scanned_pages, count(*) FILTER (NOT direct AND broken) AS failed_pages,
       round(coalesce(avg(conf) FILTER (NOT direct), -1), 6) AS mean_confidence, CAST(sum(length(t)) AS BIGINT) AS text_length,
-      md5(string_agg('[PAGE ' || CAST(turn + 1 AS VARCHAR) || ']' || chr(10) || t, chr(10) ORDER BY turn)) AS digest,
       CASE WHEN count(*) FILTER (NOT direct AND broken) > 0 AND sum(length(t)) = 0 THEN 'OCR_ERROR' WHEN sum(length(t)) = 0 THEN 'NO_TEXT' WHEN sum(length(t)) < 400 THEN 'LOW_TEXT' ELSE 'READY' END AS status
-    FROM p GROUP BY conv_id
+      FROM p GROUP BY conv_id),
+    t AS (SELECT conv_id, CAST(turn // 500 AS BIGINT) AS part, md5(string_agg('[PAGE ' || CAST(turn + 1 AS VARCHAR) || ']' || chr(10) || t, chr(10) ORDER BY turn)) AS digest FROM p GROUP BY 1, 2)
+    SELECT conv_id, native_pages, scanned_pages, failed_pages, mean_confidence, text_length, part, digest, status FROM d JOIN t USING (conv_id)
     """,
 )
 def page_choice(spark, d):
@@ -260,8 +261,8 @@ def page_choice(spark, d):
         (F.length("text") % 100).cast("double").alias("conf"),
     )
     pages, docs = reshape.choose_pages(turns, "conv_id", "turn", "native", "scanned", "conf", 200, 400)
-    text = reshape.join_pages(pages, "conv_id", "turn", "text").filter("part = 0").select("conv_id", "text")
+    text = reshape.join_pages(pages, "conv_id", "turn", "text")
     return docs.join(text, "conv_id").select(
         "conv_id", "native_pages", "scanned_pages", "failed_pages", F.round(F.coalesce("mean_confidence", F.lit(-1.0)), 6).alias("mean_confidence"),
-        "text_length", F.md5("text").alias("digest"), "status",
+        "text_length", BIG("part"), F.md5("text").alias("digest"), "status",
     )
