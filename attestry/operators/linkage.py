@@ -29,8 +29,8 @@ IN_ROW_KEYS = 500  # up to here a text is searched for every key inside its row
 
 
 def contains_join(texts: DataFrame, text_id: str, text: str, keys: DataFrame, key: str, q: int = 4, shortest: int = 3) -> DataFrame:
-    """All pairs (text id, distinct key) where the key occurs in the text; keys below ``shortest``
-    characters are ignored.
+    """All distinct pairs (text id, key) where the key occurs in a text of that id; keys below ``shortest``
+    characters are ignored. Both ways below give the same pairs.
 
     The keys are counted first. Few keys are searched inside each text row, so no text moves. Many
     keys are found by their first q-gram: an equi join of the texts' grams with the keys, then the
@@ -40,7 +40,7 @@ def contains_join(texts: DataFrame, text_id: str, text: str, keys: DataFrame, ke
     if len(few) <= IN_ROW_KEYS:
         known = F.array(*[F.lit(k) for k in sorted(few)]).cast("array<string>")
         found = F.filter(known, lambda k: F.contains(F.col(text), k))
-        return texts.select(text_id, F.explode(found).alias(key))
+        return texts.select(text_id, F.explode(found).alias(key)).distinct()
     return gram_containment(texts, text_id, text, words, key, q, shortest)
 
 
@@ -53,7 +53,7 @@ def gram_containment(texts: DataFrame, text_id: str, text: str, words: DataFrame
     )
     candidates = pieces.join(anchored, "_g").select(text_id, "_key")
     checked = candidates.join(texts.select(F.col(text_id), F.col(text).alias("_t")), text_id)
-    return checked.filter(F.contains(F.col("_t"), F.col("_key"))).select(text_id, F.col("_key").alias(key))
+    return checked.filter(F.contains(F.col("_t"), F.col("_key"))).select(text_id, F.col("_key").alias(key)).distinct()
 
 
 def _prefix(keys: DataFrame, counts: DataFrame, overlap: Column) -> DataFrame:

@@ -32,9 +32,9 @@ def inbox_stream(spark, d):
         F.array(F.lit("cert.pdf"), F.lit("list.xlsx")).alias("attachments"),
     )
     status = F.when(F.col("k") % 3 == 0, F.lit("excluded")).when(F.col("k") % 3 == 1, F.lit("exact")).otherwise(F.lit("probable"))
-    rows = feeds.inbox(messages, "message_uid", "ts", "2 days", F.col("event_type") == "error", status, "attachments")
-    feeds.run_available(rows.select("message_uid", "name", "saved_name"), f"{out}/rows", f"{out}/checkpoint", "append")
-    return spark.read.parquet(f"{out}/rows")
+    write = feeds.inbox_batches(out, "message_uid", F.col("event_type") == "error", status, "attachments")
+    feeds.run_available(messages, out, f"{out}-checkpoint", "append", write)
+    return spark.read.parquet(f"{out}/rows").select("message_uid", "name", "saved_name")
 
 
 @query("str_2_job_status", f"WITH {JOBS_SQL} SELECT path, latest_id, ok_id AS latest_success_id FROM latest")
@@ -77,6 +77,6 @@ def history_stream(spark, d):
 def window_counts(spark, d):
     out = fresh(spark, "windows")
     events = stream_table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"))
-    feeds.run_available(feeds.window_counts(events, "ts", "1 day", "1 hour", "status"), out, f"{out}-checkpoint", "update", feeds.keep_batch(out))
-    rows = feeds.newest_rows(spark, out, ["window_start", "status"])
+    feeds.run_available(events, out, f"{out}-checkpoint", "append", feeds.count_batches(out, "ts", "1 hour", "status"))
+    rows = feeds.summed_counts(spark, out, "status")
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "status", "n")

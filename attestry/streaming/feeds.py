@@ -1,8 +1,8 @@
 """The three polled feeds as streams.
 
-State that must survive is either Spark's own (deduplication, window counts) or a table written
-per micro-batch under the shared folder. Every batch writes to its own ``batch=N`` folder in
-overwrite mode, so a replayed batch replaces itself."""
+State that must survive is Spark's own (latest status) or a table written per micro-batch under the
+shared folder. Every batch writes to its own ``batch=N`` folder in overwrite mode, so a replayed batch
+replaces itself. No feed has a watermark: late rows count like any others."""
 
 from __future__ import annotations
 
@@ -31,12 +31,27 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str, write
         raise RuntimeError(str(query.exception()))
 
 
-def inbox(messages: DataFrame, uid: str, ts: str, late: str, bounced: Column, status: Column, names: str) -> DataFrame:
-    """Messages once per uid within the watermark, bounces out, classified, one row per attachment."""
-    once = messages.filter(~bounced).withWatermark(ts, late).dropDuplicatesWithinWatermark([uid])
-    kept = once.withColumn("match_status", status).filter("match_status <> 'excluded'")
-    rows = kept.select("*", F.posexplode(F.col(names)).alias("pos", "name"))
-    return rows.withColumn("saved_name", F.concat_ws("__", uid, F.lpad((F.col("pos") + 1).cast("string"), 3, "0"), "name")).drop("pos")
+def inbox_batches(out: str, uid: str, bounced: Column, status: Column, names: str) -> Callable[[DataFrame, int], None]:
+    """Messages once per uid for ever, bounces out, classified, one row per attachment.
+
+    A batch leaves out the uids of all earlier batches, however old; of one uid within a batch one
+    message stays. New rows go to ``rows``, new uids to ``uids``."""
+
+    def write(messages: DataFrame, batch: int) -> None:
+        spark = messages.sparkSession
+        once = messages.filter(~bounced).dropDuplicates([uid])
+        if batch:
+            seen = spark.read.parquet(f"{out}/uids").filter(F.col("batch") < batch).select(uid)
+            once = once.join(seen, uid, "left_anti")
+        once.write.mode("overwrite").parquet(f"{out}/new/batch={batch}")
+        fresh = spark.read.schema(once.schema).parquet(f"{out}/new/batch={batch}")
+        fresh.select(uid).write.mode("overwrite").parquet(f"{out}/uids/batch={batch}")
+        kept = fresh.withColumn("match_status", status).filter("match_status <> 'excluded'")
+        rows = kept.select("*", F.posexplode(F.col(names)).alias("pos", "name"))
+        rows = rows.withColumn("saved_name", F.concat_ws("__", uid, F.lpad((F.col("pos") + 1).cast("string"), 3, "0"), "name")).drop("pos")
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")
+
+    return write
 
 
 def latest_status(jobs: DataFrame, key: str, ident: str, success: Column) -> DataFrame:
@@ -46,11 +61,24 @@ def latest_status(jobs: DataFrame, key: str, ident: str, success: Column) -> Dat
     )
 
 
-def window_counts(rows: DataFrame, ts: str, late: str, size: str, by: str) -> DataFrame:
-    counted = rows.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), by).agg(F.count("*").alias("n"))
+def window_counts(rows: DataFrame, ts: str, size: str, by: str) -> DataFrame:
+    counted = rows.groupBy(F.window(ts, size).alias("w"), by).agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("window_start"), by, "n")
 
 
+def count_batches(out: str, ts: str, size: str, by: str) -> Callable[[DataFrame, int], None]:
+    """Counts of each batch in a folder of their own; :func:`summed_counts` adds them up, so no row is ever too late."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        window_counts(rows, ts, size, by).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return write
+
+
+def summed_counts(spark: SparkSession, out: str, by: str) -> DataFrame:
+    return spark.read.parquet(out).groupBy("window_start", by).agg(F.sum("n").alias("n"))
+
+
 def keep_batch(out: str) -> Callable[[DataFrame, int], None]:
     """Sink for update mode: the rows of each batch in a folder of their own."""
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import learning as ML
-from attestry.operators import aggregate, metrics, rules
+from attestry.operators import aggregate, linkage, metrics, rules
 from attestry.session import cut_lineage
 from attestry.sources import readers, sinks
 
@@ -120,3 +120,53 @@ def test_classifier_learns_and_flags_doubt(spark):
 def test_word_grams(spark):
     got = spark.range(1).select(ML.word_grams(F.lit("Ab cde"), 3, 4).alias("g")).first()["g"]
     assert got == [" ab", "ab ", " ab ", " cd", "cde", "de ", " cde", "cde "]
+
+
+def test_late_mail_and_late_rows_are_kept(spark, tmp_path):
+    from attestry.streaming import feeds
+
+    out = str(tmp_path / "inbox")
+    write = feeds.inbox_batches(out, "uid", F.col("bounced"), F.lit("exact"), "names")
+    schema = "uid string, ts timestamp_ntz, bounced boolean, names array<string>"
+    rows = lambda *items: spark.createDataFrame([(u, None, b, ["a.pdf", "b.pdf"]) for u, b in items], schema)
+    write(rows(("u1", False), ("u1", False), ("u2", True)), 0)
+    write(rows(("u1", False), ("u3", False)), 1)
+    write(rows(("u1", False), ("u3", False), ("u4", False)), 1)  # a replay replaces its batch
+    got = spark.read.parquet(f"{out}/rows").select("uid", "saved_name").collect()
+    assert sorted(map(tuple, got)) == sorted((u, f"{u}__00{k}__{n}") for u in ("u1", "u3", "u4") for k, n in ((1, "a.pdf"), (2, "b.pdf")))
+
+    counts = str(tmp_path / "counts")
+    add = feeds.count_batches(counts, "ts", "1 hour", "kind")
+    for batch, hours in enumerate(([1, 1, 5], [1, 900], [1])):
+        add(spark.createDataFrame([(h, "k") for h in hours], "h int, kind string").select(F.timestamp_seconds(F.col("h") * 3600).alias("ts"), "kind"), batch)
+    assert sorted(r["n"] for r in feeds.summed_counts(spark, counts, "kind").collect()) == [1, 1, 4]
+
+
+def test_all_parts_of_a_long_document(spark):
+    from attestry.operators import reshape
+
+    pages = spark.range(1200).select(F.lit("d").alias("doc"), F.col("id").alias("page"), F.concat(F.lit("page text "), F.col("id").cast("string")).alias("text"))
+    parts = reshape.join_pages(pages, "doc", "page", "text").orderBy("part").collect()
+    assert [p["part"] for p in parts] == [0, 1, 2]
+    assert "\n".join(p["text"] for p in parts) == "\n".join(f"[PAGE {k + 1}]\npage text {k}" for k in range(1200))
+
+
+def test_items_are_numbered_and_rules_can_be_off(spark):
+    from attestry.operators import extract, mailing
+
+    items = spark.range(501).select(F.lit("s").alias("supplier"), F.col("id").alias("o"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"))
+    blocks = mailing.item_blocks(items, ["supplier"], "o", "path", {}, bucket=50)
+    assert sorted((r["item_no"], r["block"]) for r in blocks.collect()) == [(k + 1, f"{k + 1}. p{k}") for k in range(501)]
+    docs = spark.createDataFrame([("Valid until 2027-03-04 then 2028-01-01", "A", "old")], "text string, issuer string, expiry string")
+    rule = {"rule_kind": "date_anchor", "target_org": "A", "target_field": "expiry", "anchors": ["VALID UNTIL"]}
+    value = lambda **more: extract.apply_overrides(docs, "text", "issuer", [{**rule, **more}]).head()["expiry"]
+    assert (value(), value(enabled=False), value(stop_before=["2027"])) == ("2027-03-04", "old", "old")
+
+
+def test_contained_keys_do_not_depend_on_their_number(spark):
+    texts = spark.createDataFrame([(1, "abc key00001 x"), (1, "again key00001"), (2, "key00499 and key00002")], "id int, t string")
+    small = spark.range(5).select(F.format_string("key%05d", "id").alias("k"))
+    few = linkage.contains_join(texts, "id", "t", small, "k")
+    many = linkage.contains_join(texts, "id", "t", spark.range(600).select(F.format_string("key%05d", "id").alias("k")), "k")
+    assert sorted(map(tuple, few.collect())) == [(1, "key00001"), (2, "key00002")]
+    assert sorted(map(tuple, many.collect())) == [(1, "key00001"), (2, "key00002"), (2, "key00499")]
