@@ -120,7 +120,7 @@ def pack(
     sequence id and offset there. Sequence ids are the task's number * 2**40 + a running number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(tokenizer_path)
+        encode = library_encoder(tokenizer_path, bare=True)
         task = TaskContext.get()
         following = (task.partitionId() if task else 0) << _TASK_BITS
         rows: list[tuple] = []

@@ -1,8 +1,9 @@
-"""Token ids of whole texts, each distinct piece of text encoded once per task.
+"""Token ids of whole texts, each distinct piece of text encoded once per task as long as it is remembered.
 
-A text whose white space is single blanks and line feeds between other characters is cut before each blank and
-around each line feed. The pre-token patterns used here never match across those places, so the ids of the pieces,
-one after the other, are the ids of the text. Any other text is encoded whole."""
+A text whose white space is single blanks and line feeds between other characters is cut into pieces: a word of letters
+(with its blank), the full stop or comma that may end it, a line feed, and anything else between white space. The
+pre-token patterns used here never match across those places, so the ids of the pieces, one after the other, are the
+ids of the text. Any other text is encoded whole."""
 
 from __future__ import annotations
 
@@ -13,47 +14,76 @@ from itertools import chain
 import numpy as np
 
 # White space other than single blanks and line feeds between characters, or a character used as a mark below.
-_ODD = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z|[\x00\x1c-\x1f]")
+_ODD = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z|[\x00\x01\x1c-\x1f]")
+_PIECE = re.compile(r" ?[^\W\d_]+(?=[.,]?(?:[ \n]|\Z))|[.,](?=[ \n]|\Z)|\n| ?[^ \n]+")
+# The same where white space only separates, and is never part of a piece.
+_BARE_ODD = re.compile(r"[\x01\x1c-\x1f]")
+_BARE_PIECE = re.compile(r"[^\W\d_]+(?=[.,]?(?:\s|\Z))|[.,](?=\s|\Z)|\S+")
 LONG_PIECE = 64
-KEPT_PIECES = 400_000
+KEPT_PIECES = 800_000
+MARKED = 100
 
 
 def pieces(text: str) -> list[str] | None:
     """Pieces that may be encoded alone (a blank stays with what follows it), or None."""
-    if _ODD.search(text):
-        return None
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if text else []
+    return None if _ODD.search(text) else _PIECE.findall(text)
+
+
+def bare_pieces(text: str) -> list[str] | None:
+    """Pieces for tokenizers that drop white space and lower-case: Latin capitals are lowered here, so that fewer differ."""
+    return None if _BARE_ODD.search(text) else _BARE_PIECE.findall(text.encode().lower().decode())
 
 
 class Encoder:
     """``encode_batch`` takes texts and gives their ids; it must treat pieces as the module text says."""
 
-    def __init__(self, encode_batch: Callable[[list[str]], Iterable[Sequence[int]]]):
-        self._encode = encode_batch
+    def __init__(self, encode_batch: Callable[[list[str]], Iterable[Sequence[int]]], cut: Callable[[str], list[str] | None] = pieces, mark: str | None = None):
+        """``mark``: a string that keeps apart what stands before and behind it, so that many pieces are encoded in one call."""
+        self._encode, self._cut = encode_batch, cut
         self._known: dict[str, bytes] = {}
-
-    def _learn(self, wanted: Iterable[str]) -> dict[str, bytes]:
-        if len(self._known) > KEPT_PIECES:
-            self._known = {}
-        new = [x for x in wanted if x not in self._known]
-        found = dict(zip(new, (np.asarray(ids, "<u4").tobytes() for ids in self._encode(new)), strict=True)) if new else {}
-        self._known.update((k, v) for k, v in found.items() if len(k) <= LONG_PIECE)
-        return found
+        self._mark = mark
+        if mark is not None:
+            ids = next(iter(encode_batch([mark])))
+            self._sign, self._around = ids[len(ids) // 2], len(ids) // 2
+
+    def _each(self, new: list[str]) -> Iterable[bytes]:
+        if self._mark is None:
+            yield from (np.asarray(ids, "<u4").tobytes() for ids in self._encode(new))
+            return
+        groups = [new[k : k + MARKED] for k in range(0, len(new), MARKED)]
+        for group, ids in zip(groups, self._encode([self._mark + self._mark.join(g) + self._mark for g in groups]), strict=True):
+            ids = np.asarray(ids, "<u4")
+            at = np.flatnonzero(ids == self._sign)
+            if len(at) != len(group) + 1:
+                raise ValueError("a piece holds the mark")
+            raw = ids.tobytes()
+            for low, high in zip((4 * (at[:-1] + 1 + self._around)).tolist(), (4 * (at[1:] - self._around)).tolist(), strict=True):
+                yield raw[low:high]
 
     def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [pieces(t) for t in texts]
-        wanted = set(chain.from_iterable(x for x in cut if x))
-        found = self._learn(wanted)
-        table = {x: found[x] if x in found else self._known[x] for x in wanted}
+        cut = [self._cut(t) for t in texts]
+        if len(self._known) > KEPT_PIECES:
+            self._known = {}
+        known = self._known
+        new = list(set(chain.from_iterable(x for x in cut if x)).difference(known))
+        feed = [x for x in new if x == "\n"]
+        if feed and self._mark is not None:
+            known["\n"] = np.asarray(next(iter(self._encode(["\n"]))), "<u4").tobytes()
+            new.remove("\n")
+        known.update(zip(new, self._each(new), strict=True))
         whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]) if None in cut else [])
-        return [
-            np.asarray(next(whole), "<u4") if c is None else np.frombuffer(b"".join(map(table.__getitem__, c)), "<u4") for c in cut
-        ]
+        out = [np.asarray(next(whole), "<u4") if c is None else np.frombuffer(b"".join(map(known.__getitem__, c)), "<u4") for c in cut]
+        for x in new:
+            if len(x) > LONG_PIECE:
+                del known[x]
+        return out
+
 
+def library_encoder(path: str, bare: bool = False) -> Encoder:
+    """Encoder for a file of the tokenizers library; strings of special tokens in a text are ordinary text.
 
-def library_encoder(path: str) -> Encoder:
-    """Encoder for a file of the tokenizers library; strings of special tokens in a text are ordinary text."""
+    ``bare``: the tokenizer drops white space and lower-cases; otherwise it is a byte-level one whose words hold their blank."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -61,4 +91,6 @@ def library_encoder(path: str) -> Encoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return Encoder(lambda texts: (x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+    tokenizer.no_padding()
+    encode = lambda texts: (x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+    return Encoder(encode, bare_pieces, " \x01 ") if bare else Encoder(encode, pieces, "\n\x01\n")
