@@ -3,8 +3,10 @@ except :func:`nfkc`, which Spark has no expression for."""
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Sequence
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -123,12 +125,34 @@ def cert_no_variants(c: Column) -> Column:
     return F.filter(both, lambda v: v != "")
 
 
+ENTITY = r"&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _entity_json() -> str:
+    """Named HTML entities by the language's own table, and the numbers 128..159 that stand for Windows characters."""
+    named = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+    windows = {f"#{n}": bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+    return json.dumps({**named, **{k: v for k, v in windows.items() if v != "\ufffd"}})
+
+
 def unescape_html(c: Column) -> Column:
-    for entity, char in (
-        ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
-    ):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """HTML entities, named and numeric, replaced in one pass; an unknown name stays as it is."""
+    names = F.from_json(F.lit(_entity_json()), "map<string,string>")  # folded once per plan
+
+    def char(e: Column) -> Column:
+        digits = F.when(e.rlike("^#[xX]"), F.conv(F.substring(e, 3, 9), 16, 10)).otherwise(F.substring(e, 2, 9)).cast("bigint")
+
+        def numeric(n: Column) -> Column:
+            real = F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(n)
+            utf8 = F.decode(F.unhex(F.lpad(F.hex(real), 8, "0")), "UTF-32")
+            return F.coalesce(names[F.concat(F.lit("#"), n.cast("string"))], utf8)
+
+        return F.when(F.startswith(e, F.lit("#")), let(digits, numeric)).otherwise(names[e])
+
+    gaps = F.split(c, ENTITY, -1)
+    found = F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(1)), lambda e: F.coalesce(char(e), F.concat(F.lit("&"), e, F.lit(";"))))
+    whole = F.array_join(F.zip_with(gaps, F.concat(found, F.array(F.lit(""))), lambda gap, text: F.concat(gap, text)), "")
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 
 def html_lines(c: Column) -> Column:

@@ -190,7 +190,7 @@ def date_repair(spark, d):
     "prj_10_html_lines",
     r"""
     WITH raw AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</div\s*>|</p\s*>|\r', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM pages),
-    un AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM raw),
+    un AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&middot;', chr(183)), '&copy;', chr(169)), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM raw),
     ln AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS a FROM un)
     SELECT page_id, CAST(len(a) AS BIGINT) AS line_count, md5(array_to_string(a, chr(10))) AS digest FROM ln
     """,

@@ -170,3 +170,16 @@ def test_contained_keys_do_not_depend_on_their_number(spark):
     many = linkage.contains_join(texts, "id", "t", spark.range(600).select(F.format_string("key%05d", "id").alias("k")), "k")
     assert sorted(map(tuple, few.collect())) == [(1, "key00001"), (2, "key00002")]
     assert sorted(map(tuple, many.collect())) == [(1, "key00001"), (2, "key00002"), (2, "key00499")]
+
+
+def test_html_entities(spark):
+    import html
+
+    from attestry.functions import text as X
+
+    samples = [
+        "a &amp; b", "&#252;&#xFC;&eacute;&uuml;", "&amp;lt; once", "&nbsp;x&nbsp;", "&unknown; &", "&#128512;&#150;&#0;", "no entity", "&lt;p&gt; &quot;q&quot; &#39;", "&copy;&frac12;&hellip;&NotEqualTilde;", "",
+    ]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate([*samples, None])], "k int, s string")
+    got = [r[0] for r in df.orderBy("k").select(X.unescape_html(F.col("s"))).collect()]
+    assert got == [*map(html.unescape, samples), None]
