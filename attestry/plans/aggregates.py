@@ -344,9 +344,7 @@ def near_copy_tokens(spark, d):
     docs = table(spark, d, "documents")
     words = lambda c: F.transform(F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda w: F.length(w) >= 2), lambda w: F.upper(w))
     read = F.regexp_replace(F.replace("text", F.lit("7"), F.lit("1")), r"\.[^.]*\.[^.]*$", ".")
-    expected = docs.select("doc_id", F.explode(words(F.col("text"))).alias("token"))
-    observed = docs.select("doc_id", F.explode(words(read)).alias("token"))
-    return expected, observed
+    return docs.select("doc_id", words(F.col("text")).alias("expected"), words(read).alias("observed"))
 
 
 TOKEN_SQL = r"""
@@ -368,7 +366,7 @@ ov AS (SELECT doc_id, sum(e)::BIGINT AS expected_n, sum(o)::BIGINT AS observed_n
     """,
 )
 def token_overlap(spark, d):
-    out = metrics.multiset_overlap(*near_copy_tokens(spark, d), "doc_id", "token")
+    out = metrics.multiset_overlap(near_copy_tokens(spark, d), "doc_id", "expected", "observed")
     return out.select("doc_id", "expected_n", "observed_n", "matched_n", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "number_recall", "f1")])
 
 

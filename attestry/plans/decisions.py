@@ -297,7 +297,7 @@ def structure(spark, d):
     """,
 )
 def quality_grades(spark, d):
-    ov = metrics.multiset_overlap(*near_copy_tokens(spark, d), "doc_id", "token")
+    ov = metrics.multiset_overlap(near_copy_tokens(spark, d), "doc_id", "expected", "observed")
     pages = F.when(F.col("doc_id") % 20 == 0, F.lit(0.95)).otherwise(F.lit(1.0))
     conf = F.when(F.col("doc_id") % 3 == 0, F.lit(0.84)).otherwise(F.lit(0.95))
     grade, why = metrics.grade({"token": F.col("recall"), "critical": F.col("recall"), "number": F.col("number_recall"), "pages": pages, "confidence": conf})
