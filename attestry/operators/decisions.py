@@ -288,6 +288,15 @@ def filing_checks(job_status: Column, parse: Column, org: Column, expiry: Column
     }
 
 
+AUTO_MATCH_SCORE = 150  # fixed value: points from which the best master row is taken without a question
+
+
+def auto_match(hard_blockers: Column, parse: Column, score: Column, selectable: Column) -> Column:
+    """Whether a filing takes its best master row by itself: enough points, a clear choice, a sure reading, no hard blocker."""
+    sure = ~F.coalesce(parse, F.lit("")).isin(*BLOCKED_PARSE)
+    return (F.coalesce(score, F.lit(0)) >= AUTO_MATCH_SCORE) & F.coalesce(selectable, F.lit(False)) & sure & (F.size(hard_blockers) == 0)
+
+
 # Action names that mean the same, and what they make of a filing.
 ACTION_ALIASES = {"APPROVE_RENEWAL": "UPDATE_CURRENT", "REGISTER_AS_PRIMARY": "UPDATE_CURRENT"}
 FILING_STATUS = {"UPDATE_CURRENT": "CONFIRMED", "REPLACE_CURRENT": "REPLACED", "ADD_SECONDARY": "SECONDARY_ADDED"}

@@ -239,7 +239,8 @@ def field_change(spark, d):
     WITH f AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN 'RUNNING' ELSE 'done' END AS js, CASE WHEN o_orderkey % 3 = 0 THEN 'LOW_CONFIDENCE' ELSE 'RULE_MATCHED' END AS ps, CASE o_orderstatus WHEN 'P' THEN 'BPJPH' WHEN 'O' THEN 'HQC' ELSE 'UNKNOWN' END AS org, o_orderkey % 5 <> 0 AS exp, o_orderkey % 4 <> 0 AS no, o_orderkey % 7 <> 0 AS item, o_orderkey % 2 = 0 AS plan, o_orderpriority FROM orders)
     SELECT k AS o_orderkey, CASE WHEN no THEN '' ELSE 'no_cert_no' END AS warnings, CASE WHEN item THEN '' ELSE 'no_request_item' END AS hard_blockers,
       concat_ws(',', CASE WHEN NOT item THEN 'no_request_item' END, CASE WHEN js <> 'done' THEN 'job_not_done' END, CASE WHEN ps = 'LOW_CONFIDENCE' THEN 'reading_not_confirmed' END, CASE WHEN org = 'UNKNOWN' THEN 'no_issuer' END,
-        CASE WHEN o_orderpriority = '5-LOW' THEN 'no_maker' END, CASE WHEN org <> 'BPJPH' AND NOT exp THEN 'no_expiry' END, CASE WHEN org = 'BPJPH' AND item AND NOT plan THEN 'no_planned_expiry' END) AS blockers FROM f
+        CASE WHEN o_orderpriority = '5-LOW' THEN 'no_maker' END, CASE WHEN org <> 'BPJPH' AND NOT exp THEN 'no_expiry' END, CASE WHEN org = 'BPJPH' AND item AND NOT plan THEN 'no_planned_expiry' END) AS blockers,
+      k % 300 >= 150 AND k % 11 <> 0 AND ps <> 'LOW_CONFIDENCE' AND item AS auto_match FROM f
     """,
 )
 def filing_checks(spark, d):
@@ -250,7 +251,9 @@ def filing_checks(spark, d):
         F.when(k % 5 != 0, F.to_date("o_orderdate")), F.when(k % 4 != 0, F.lit("CN")), {"maker": F.when(F.col("o_orderpriority") == "5-LOW", F.lit("-")).otherwise(F.col("o_orderpriority"))},
         k % 7 != 0, F.when(k % 2 == 0, F.to_date("o_orderdate")),
     )
-    return table(spark, d, "orders").select("o_orderkey", *[F.array_join(c, ",").alias(n) for n, c in out.items()])
+    parse = F.when(k % 3 == 0, F.lit("LOW_CONFIDENCE")).otherwise(F.lit("RULE_MATCHED"))
+    auto = DEC.auto_match(out["hard_blockers"], parse, k % 300, k % 11 != 0)
+    return table(spark, d, "orders").select("o_orderkey", *[F.array_join(c, ",").alias(n) for n, c in out.items()], auto.alias("auto_match"))
 
 
 @query(
