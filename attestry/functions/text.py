@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from html.entities import html5
 
 import pandas as pd
@@ -93,13 +93,15 @@ def product_key(c: Column) -> Column:
     return norm_key(text, sep=" ")
 
 
-def clean_scan(c: Column) -> Column:
-    """Scan text clean-up: nbsp, private-use glyphs, runs of blanks, long vertical gaps."""
-    text = F.regexp_replace(c, "\u00a0|&nbsp;", " ")
-    text = F.replace(text, F.lit("ⓡ"), F.lit("®"))
-    text = F.regexp_replace(text, "[\uf065\uf071\uf077]+", " ")
-    text = F.regexp_replace(text, "[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+# Characters of scanned text and what stands for them: blanks of other kinds, three glyphs of a
+# bullet font, and a circled letter that means the trade mark sign.
+SCAN_CHARACTERS = {"\u00a0": " ", "\t": " ", "\uf065": " ", "\uf071": " ", "\uf077": " ", "\u24e1": "\u00ae"}
+
+
+def clean_scan(c: Column, characters: Mapping[str, str] = SCAN_CHARACTERS) -> Column:
+    """Scan text with its odd characters replaced, runs of blanks and long vertical gaps shortened, and no white space around."""
+    plain = F.translate(F.replace(c, F.lit("&nbsp;"), F.lit(" ")), "".join(characters), "".join(characters.values()))
+    return F.regexp_replace(plain, r"(?<= ) +|(?<=\n\n)\n+|^\s+|\s+$", "")
 
 
 def repair_digits(c: Column) -> Column:

@@ -114,25 +114,16 @@ def eligible(field: str, line: Column, page: Column) -> Column:
 
 
 def feature_text(field: str, issuer: Column, line: Column, prev: Column, following: Column, page: Column, line_no: Column) -> Column:
-    """Model input of a line: marker tokens, then the line between its neighbours."""
-    upper = F.upper(line)
-    flags = [
-        (page == 1, "__FIRST_PAGE__"),
-        (line.rlike(r"\d"), "__HAS_DIGIT__"),
-        (line.rlike(HAS_DATE), "__HAS_DATE__"),
-        (line.rlike(COMPANY_SUFFIX), "__HAS_COMPANY_SUFFIX__"),
-        (upper.rlike("CERT|REGISTRATION|LICENSE"), "__CERT_KEYWORD__"),
-        (upper.rlike("VALID|EXPIR|UNTIL"), "__EXPIRY_KEYWORD__"),
-        (upper.rlike("MANUFACTURER|MANUFACTURED BY|COMPANY NAME|FACTORY|APPLICANT"), "__MAKER_KEYWORD__"),
-        (upper.rlike("COUNTRY|ADDRESS|SITE|PLANT"), "__COUNTRY_CONTEXT__"),
-    ]
-    issuer_token = F.regexp_replace(F.regexp_replace(F.upper(issuer), "[^A-Z0-9]+", "_"), "^_+|_+$", "")
-    head = F.concat_ws(
-        " ",
-        F.lit(f"__FIELD_{field.upper()}__"),
-        F.concat(F.lit("__ORG_"), issuer_token, F.lit("__")),
-        F.concat(F.lit("__PAGE_"), F.least(page, F.lit(9)).cast("string"), F.lit("__")),
-        F.concat(F.lit("__POS_"), F.least(F.floor(line_no / 5), F.lit(9)).cast("string"), F.lit("__")),
-        *[F.when(test, F.lit(token)) for test, token in flags],
-    )
-    return F.concat(head, F.lit("\nPREV: "), prev, F.lit("\nCUR: "), line, F.lit("\nNEXT: "), following)
+    """Model input of a line: where it stands, what it is made of, and its words between those of its neighbours."""
+
+    def capped(n: Column) -> Column:
+        return F.least(n.cast("int"), F.lit(9)).cast("string")
+
+    made_of = {"digits": "[^0-9]", "capitals": "[^A-Z]", "signs": "[^:/.-]"}
+    facts = {
+        "issuer": F.regexp_replace(F.lower(issuer), "[^a-z0-9]+", "_"), "page": capped(page), "tenth": capped(F.floor(line_no / 10)),
+        **{name: capped(F.length(F.regexp_replace(line, other, ""))) for name, other in made_of.items()},
+        "dated": line.rlike(HAS_DATE).cast("string"), "firm": line.rlike(COMPANY_SUFFIX).cast("string"), "size": capped(F.floor(F.length(line) / 20)),
+    }
+    head = F.concat_ws(" ", F.lit(f"field={field}"), *[F.concat(F.lit(f"{name}="), value) for name, value in facts.items()])
+    return F.concat_ws("\n", head, F.concat(F.lit("above "), prev), F.concat(F.lit("here "), line), F.concat(F.lit("below "), following))

@@ -140,14 +140,11 @@ def line_spans(spark, d):
 @query(
     "rsh_8_line_features",
     rf"""
-    WITH {LINES_SQL} SELECT doc_id, line_no, md5('__FIELD_CERT_NO__ __ORG_' || upper(source) || '__ __PAGE_1__ __POS_' || CAST(least(line_no // 5, 9) AS VARCHAR) || '__ __FIRST_PAGE__'
-      || CASE WHEN regexp_matches(line, '[0-9]') THEN ' __HAS_DIGIT__' ELSE '' END
-      || CASE WHEN regexp_matches(line, '{lines.COMPANY_SUFFIX}') THEN ' __HAS_COMPANY_SUFFIX__' ELSE '' END
-      || CASE WHEN regexp_matches(upper(line), 'CERT|REGISTRATION|LICENSE') THEN ' __CERT_KEYWORD__' ELSE '' END
-      || CASE WHEN regexp_matches(upper(line), 'VALID|EXPIR|UNTIL') THEN ' __EXPIRY_KEYWORD__' ELSE '' END
-      || CASE WHEN regexp_matches(upper(line), 'MANUFACTURER|MANUFACTURED BY|COMPANY NAME|FACTORY|APPLICANT') THEN ' __MAKER_KEYWORD__' ELSE '' END
-      || CASE WHEN regexp_matches(upper(line), 'COUNTRY|ADDRESS|SITE|PLANT') THEN ' __COUNTRY_CONTEXT__' ELSE '' END
-      || chr(10) || 'PREV: ' || prev || chr(10) || 'CUR: ' || line || chr(10) || 'NEXT: ' || next) AS digest
+    WITH {LINES_SQL} SELECT doc_id, line_no, md5('field=cert_no issuer=' || regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g') || ' page=1 tenth=' || least(line_no // 10, 9)
+      || ' digits=' || least(length(regexp_replace(line, '[^0-9]', '', 'g')), 9) || ' capitals=' || least(length(regexp_replace(line, '[^A-Z]', '', 'g')), 9)
+      || ' signs=' || least(length(regexp_replace(line, '[^:/.-]', '', 'g')), 9) || ' dated=' || regexp_matches(line, '{lines.HAS_DATE}')
+      || ' firm=' || regexp_matches(line, '{lines.COMPANY_SUFFIX}') || ' size=' || least(length(line) // 20, 9)
+      || chr(10) || 'above ' || prev || chr(10) || 'here ' || line || chr(10) || 'below ' || next) AS digest
     FROM lines
     """,
 )

@@ -44,7 +44,7 @@ def test_normalisers_are_idempotent(spark, values):
 @pytest.mark.parametrize(
     "text,expected",
     [
-        ("2026-02-30", None), ("31/12/2026", "2026-12-31"), ("August 5th, 2027", "2027-08-05"), ("24th January 2027", "2027-01-24"),
+        ("2026-02-30", None), ("31/12/2026", "2026-12-31"), ("August 5th, 2027", "2027-08-05"), ("3rd April 2031", "2031-04-03"),
         ("15 Mei 2029", "2029-05-15"), ("26.12.17", "2026-12-17"), ("60.01.02", "1960-01-02"), ("2O26-O1-O9", "2026-01-09"), ("nothing", None), ("", None),
         ("13/13/2026", None),
     ],
@@ -55,10 +55,9 @@ def test_parse_date(spark, text, expected):
 
 
 def test_dates_in_document_order(spark):
-    text = "issued 15 Mei 2029 and 16/05/2024, footer F.8.2 06 Oktober 2023 " + "x" * 100 + " December 18\n TH, 2028"
+    text = "issued 9 Mei 2031 and 17/04/2026 " + "x" * 100 + ", footer F.8.2 11 Oktober 2019 " + "x" * 100 + " March 7\n TH, 2033"
     found = one(spark, D.find_dates(F.lit(text)))
-    assert [str(r["date"]) for r in found] == ["2029-05-15", "2024-05-16", "2028-12-18"] or [str(r["date"]) for r in found] == ["2028-12-18"]
-    assert "2023-10-06" not in [str(r["date"]) for r in found]
+    assert [str(r["date"]) for r in found] == ["2031-05-09", "2026-04-17", "2033-03-07"]
 
 
 def test_label_offsets_survive_case_changes(spark):
