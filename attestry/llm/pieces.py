@@ -9,16 +9,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Sequence
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-# White space other than single blanks and line feeds between characters, or a character used as a mark below.
-_ODD = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z|[\x00\x01\x1c-\x1f]")
 _PIECE = re.compile(r" ?[^\W\d_]+(?=[.,]?(?:[ \n]|\Z))|[.,](?=[ \n]|\Z)|\n| ?[^ \n]+")
 # The same where white space only separates, and is never part of a piece.
 _BARE_ODD = re.compile(r"[\x01\x1c-\x1f]")
-_BARE_PIECE = re.compile(r"[^\W\d_]+(?=[.,]?(?:\s|\Z))|[.,](?=\s|\Z)|\S+")
+# A stop is cut off only behind letters that no normalisation turns into a letter and a mark.
+_BARE_PIECE = re.compile(r"[^\W\d_]*[a-z\u00e0-\u012f\u0131-\u024f](?=[.,]?(?:\s|\Z))|(?<=[a-z\u00e0-\u012f\u0131-\u024f])[.,](?=\s|\Z)|\S+")
 LONG_PIECE = 64
 KEPT_PIECES = 800_000
 MARKED = 100
@@ -26,7 +26,12 @@ MARKED = 100
 
 def pieces(text: str) -> list[str] | None:
     """Pieces that may be encoded alone (a blank stays with what follows it), or None."""
-    return None if _ODD.search(text) else _PIECE.findall(text)
+    if not text:
+        return []
+    words, gaps = text.split(), text.count(" ") + text.count("\n")
+    # As many single blanks and line feeds as gaps between words, and no other white space.
+    simple = len(words) == gaps + 1 and len(text) == gaps + sum(map(len, words)) and "\x01" not in text
+    return _PIECE.findall(text) if simple else None
 
 
 def bare_pieces(text: str) -> list[str] | None:
@@ -80,9 +85,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
 def library_encoder(path: str, bare: bool = False) -> Encoder:
     """Encoder for a file of the tokenizers library; strings of special tokens in a text are ordinary text.
 
+    A Python worker keeps it, with the pieces it knows, for the tasks that follow.
+
     ``bare``: the tokenizer drops white space and lower-cases; otherwise it is a byte-level one whose words hold their blank."""
     import os
 

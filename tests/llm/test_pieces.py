@@ -32,6 +32,13 @@ def test_any_text(name, texts):
         assert ids.tolist() == PLAIN[name].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_letters_that_become_a_letter_and_a_mark(name):
+    texts = ["İ. a", "xİ, b", "\u0958. \ufb1d, \u01f0. \u0149,", "ŉ. é. É, ǰ. ß."]
+    for ids, text in zip(OURS[name](texts), texts, strict=True):
+        assert ids.tolist() == PLAIN[name].encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_forgetting_changes_nothing(name, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_PIECES", 3)
