@@ -187,10 +187,11 @@ def repeated_contexts(texts: DataFrame, width: int) -> DataFrame:
             key = part.column("key").take(pa.array(found.number[np.concatenate([early, late])]))
             yield pa.RecordBatch.from_arrays([pa.array(context), key, pa.array(which)], names=["context", "key", "place"])
 
-    rows = texts.mapInArrow(run, "context long, key long, place long")
+    rows = cut_lineage(texts.mapInArrow(run, "context long, key long, place long"))
     # A text that several tasks have read counts once: its places are equal, so two different ones are what is asked.
     spread = F.struct("key", "place")
     twice = rows.groupBy("context").agg(F.min(spread).alias("low"), F.max(spread).alias("high")).filter("low <> high").select("context")
+    twice = cut_lineage(twice)  # as a table, so that a context that very many anchors have is split in the join
     return rows.join(twice, "context").groupBy("key").agg(F.collect_set("place").alias("places"))
 
 
@@ -277,8 +278,8 @@ def find(docs: DataFrame, width: int = WIDTH, ident: str = "doc_id", text: str =
     body = F.coalesce(F.col(text), F.lit(""))
     known = docs.select(F.col(ident), text_key(text).alias("key"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias("digest"))
     known = cut_lineage(known)
-    copies = known.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("copied"))
-    rows = known.join(copies, "key").withColumn("copied", F.col("copied") & (F.col("n_bytes") >= width))
+    copies = known.groupBy("digest").agg((F.count(F.lit(1)) > 1).alias("copied"))
+    rows = known.join(copies, "digest").withColumn("copied", F.col("copied") & (F.col("n_bytes") >= width))
 
     texts = docs.filter(F.octet_length(F.col(text)) >= width).select(text_key(text).alias("key"), F.col(text).alias("text"))
     places = repeated_contexts(texts, width)
