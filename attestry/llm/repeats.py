@@ -6,18 +6,22 @@ A byte goes when it lies in a string of ``width`` bytes that starts anywhere els
    anchor. Equal windows have the same anchor at the same place, so suffixes can be dealt by anchor.
 2. Only windows that can repeat go on: a window holds the 216 bytes (at the default width) before or behind its anchor's far end, so
    that context must occur twice among the distinct texts. Contexts are counted, with map-side sums, over all texts.
-3. The surviving windows of an anchor, with their bytes, are a segment; segments meet by anchor. A task splits the
+3. The surviving windows on one side of an anchor, with their bytes, are a segment; segments meet by that side's context,
+   which equal windows share. A task splits the
    segments it gets into shards and sorts each shard's suffixes (prefix doubling over symbols of ``width / DEPTH`` bytes, so
    that ``DEPTH`` symbols are the width). It takes each shard's transform (the symbol before each suffix) and finds the
    interleaving of all shards by refinement (Holt and McMillan): starting from the shards one after the other, each
    round reads the transforms in the present order and deals the suffixes stably by the symbol read. After h rounds they
    are in order of their first h symbols, and the places where a new block of equal prefixes begins give the common prefix
    lengths. Blocks after ``DEPTH`` rounds are the repeated intervals. No suffix is sorted again.
-4. Repeated windows become byte ranges per text.
+4. A context at more than ``HOT`` places would be one large group, so its windows are counted by their hashes instead: in
+   blocks of ``BLOCK`` starts, equal blocks merged with a count before the shuffle, and only blocks whose common core occurs
+   twice as single windows.
+5. Repeated windows become byte ranges per text.
 
 Texts are handled once each, with 64-bit hashes as their keys; a text that occurs twice is a repeat from end to end if it is
 long enough. Null and empty texts have no bytes and no spans. Repeated rows are copies of each other. Only the two named
-columns are read. Memory: a task holds the segments of one anchor, or about ``CHUNK_BYTES`` of several."""
+columns are read. Memory: a task holds about ``CHUNK_BYTES`` of segments and those of one context, at most ``HOT``."""
 
 from __future__ import annotations
 
@@ -38,6 +42,8 @@ GRAM = 32
 DEPTH = 8
 SHARDS = 4
 CHUNK_BYTES = 1 << 19
+HOT = 1000
+BLOCK = 16
 
 
 @dataclass
@@ -167,7 +173,9 @@ def text_key(text: str = "text") -> Column:
 
 
 def repeated_contexts(texts: DataFrame, width: int) -> DataFrame:
-    """(key, places): anchors of each distinct text with a context that occurs twice; 2 * place, + 1 for the one behind."""
+    """(key, places, hot): anchors of each distinct text with a context that occurs twice; 2 * place, + 1 for the one behind.
+
+    ``hot``: those of them whose context is at more than ``HOT`` places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -190,35 +198,101 @@ def repeated_contexts(texts: DataFrame, width: int) -> DataFrame:
     rows = cut_lineage(texts.mapInArrow(run, "context long, key long, place long"))
     # A text that several tasks have read counts once: its places are equal, so two different ones are what is asked.
     spread = F.struct("key", "place")
-    twice = rows.groupBy("context").agg(F.min(spread).alias("low"), F.max(spread).alias("high")).filter("low <> high").select("context")
+    twice = rows.groupBy("context").agg(F.min(spread).alias("low"), F.max(spread).alias("high"), (F.count(F.lit(1)) > HOT).alias("often")).filter("low <> high").select("context", "often")
     twice = cut_lineage(twice)  # as a table, so that a context that very many anchors have is split in the join
-    return rows.join(twice, "context").groupBy("key").agg(F.collect_set("place").alias("places"))
+    return rows.join(twice, "context").groupBy("key").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("often"), F.col("place"))).alias("hot"))
+
+
+@dataclass
+class Sides:
+    """Sides of anchors whose context repeats: text number, anchor's place, first and last window start, context."""
+
+    number: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    context: np.ndarray
+
+
+def _sides(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray, width: int, hot: bool) -> Sides:
+    half, found = _half(width), find_anchors(data, off, width)
+
+    def listed(name: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(np.asarray(p, np.int64) + 2 * o for p, o in zip(part.column(name).to_pylist(), off, strict=False))])
+
+    often = listed("hot")
+    wanted = often if hot else np.setdiff1d(listed("places"), often)
+    sides = [
+        (np.flatnonzero(np.isin(2 * found.place, wanted)), found.first, np.minimum(found.last, found.place - half), found.before),
+        (np.flatnonzero(np.isin(2 * found.place + 1, wanted)), np.maximum(found.first, found.place - half + 1), found.last, found.behind),
+    ]
+    join = lambda k: np.concatenate([x[k][x[0]] for x in sides])
+    at = np.concatenate([x[0] for x in sides])
+    return Sides(found.number[at], found.place[at], join(1), join(2), join(3).view(np.int64))
 
 
 def cut_segments(candidates: DataFrame, width: int) -> DataFrame:
-    """(anchor, key, first, windows, bytes): an anchor's windows on the sides that repeat, one row per distinct text and anchor."""
-    half = _half(width)
+    """(context, key, first, windows, bytes): windows of the sides that repeat and are not hot, one row per distinct text and side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             data, off = utf8(part.column("text"))
-            found = find_anchors(data, off, width)
-            size = np.diff(off)
-            wanted = np.concatenate([np.asarray(p, np.int64) + 2 * o for p, o in zip(part.column("places").to_pylist(), off, strict=False)]) if len(size) else np.zeros(0, np.int64)
-            early, late = np.isin(2 * found.place, wanted), np.isin(2 * found.place + 1, wanted)
-            first = np.where(early, found.first, np.maximum(found.first, found.place - half + 1))
-            last = np.where(late, found.last, np.minimum(found.last, found.place - half))
-            at = np.flatnonzero((early | late) & (first <= last))
-            raw = [data[a : b + width].tobytes() for a, b in zip(first[at], last[at], strict=True)]
-            number = found.number[at]
-            fields = [pa.array(found.gram[at].view(np.int64)), part.column("key").take(pa.array(number)), pa.array(first[at] - off[number]), pa.array(last[at] - first[at] + 1), pa.array(raw, pa.binary())]
-            yield pa.RecordBatch.from_arrays(fields, names=["anchor", "key", "first", "windows", "bytes"])
+            x = _sides(part, data, off, width, hot=False)
+            raw = [data[a : b + width].tobytes() for a, b in zip(x.first, x.last, strict=True)]
+            fields = [pa.array(x.context), part.column("key").take(pa.array(x.number)), pa.array(x.first - off[x.number]), pa.array(x.last - x.first + 1), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(fields, names=["context", "key", "first", "windows", "bytes"])
+
+    return candidates.mapInArrow(run, "context long, key long, first long, windows long, bytes binary")
+
 
-    return candidates.mapInArrow(run, "anchor long, key long, first long, windows long, bytes binary")
+def hot_blocks(candidates: DataFrame, width: int, block: int) -> DataFrame:
+    """(core, whole, key, first, starts): windows of the hot sides by blocks of starts, as distances from the anchor.
+
+    ``core``: hash of the bytes that every window of the block holds; ``whole``: of all bytes of those windows of it that
+    the side has; ``starts``: of each of these windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            data, off = utf8(part.column("text"))
+            x = _sides(part, data, off, width, hot=True)
+            # Windows start less than width before their anchor, so distances from there are not negative.
+            zero = x.place - width
+            low = (x.first - zero) // block
+            count = (x.last - zero) // block - low + 1
+            side = np.repeat(np.arange(len(count)), count)
+            begin = zero[side] + block * (np.arange(len(side)) - np.repeat(np.cumsum(count) - count, count) + low[side])
+            first, last = np.maximum(x.first[side], begin), np.minimum(x.last[side], begin + block - 1)
+            hashes = SpanHashes(data)
+            core, whole = hashes(begin + block - 1, begin + width), hashes(first, last + width)
+            ends = np.concatenate([[0], np.cumsum(last - first + 1)])
+            start = np.arange(ends[-1]) + np.repeat(first - ends[:-1], last - first + 1)
+            starts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes(start, start + width).view(np.int64)))
+            number = x.number[side]
+            fields = [pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), part.column("key").take(pa.array(number)), pa.array(first - off[number]), starts]
+            yield pa.RecordBatch.from_arrays(fields, names=["core", "whole", "key", "first", "starts"])
+
+    return candidates.filter(F.size("hot") > 0).mapInArrow(run, "core long, whole long, key long, first long, starts array<long>")
+
+
+def hot_ranges(candidates: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
+    """(key, begin, end) of the bytes that repeated windows of hot contexts cover."""
+    blocks = hot_blocks(candidates, width, block)
+    spread = F.struct("key", "first")
+    # Rows that occur twice have equal places; different blocks are at different places.
+    merged = blocks.groupBy("whole").agg(F.first("core").alias("core"), F.min(spread).alias("low"), F.max(spread).alias("high"), F.first("starts").alias("starts"))
+    merged = cut_lineage(merged.select("whole", "core", "starts", F.when(F.col("low") != F.col("high"), 2).otherwise(1).alias("n")))
+    alive = cut_lineage(merged.groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1").select("core"))
+    windows = merged.join(alive, "core").select("whole", "n", F.posexplode("starts").alias("at", "window"))
+    twice = cut_lineage(windows.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select("window"))
+    hits = windows.join(twice, "window").groupBy("whole").agg(F.sort_array(F.collect_set("at")).alias("hits"))
+    edge = lambda step: F.filter("hits", lambda x: ~F.array_contains("hits", x + step))
+    runs = cut_lineage(hits.select("whole", F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b")).alias("runs")))
+    found = blocks.select("whole", "key", "first").join(runs, "whole").select("key", "first", F.explode("runs").alias("run"))
+    return found.select("key", (F.col("first") + F.col("run.a")).alias("begin"), (F.col("first") + F.col("run.b") + width).alias("end"))
 
 
 def ranges_of(segments: DataFrame, width: int) -> DataFrame:
-    """(key, begin, end) of the bytes that repeated windows cover."""
+    """(key, begin, end) of the bytes that repeated windows of segments cover."""
 
     def solve(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         order: dict[tuple[bytes, int], int] = {}
@@ -244,21 +318,21 @@ def ranges_of(segments: DataFrame, width: int) -> DataFrame:
         held, current, last = 0, None, None
         for batch in batches:
             raws = batch.column("bytes")
-            for i, (anchor, key, first, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "first", "windows")), strict=True)):
-                if anchor != current and held >= CHUNK_BYTES:
+            for i, (context, key, first, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("context", "key", "first", "windows")), strict=True)):
+                if context != current and held >= CHUNK_BYTES:
                     yield solve(rows)
                     rows, held = [], 0
-                current = anchor
-                if (anchor, key, first) == last:
+                current = context
+                if (context, key, first) == last:
                     continue  # the same place of a row that occurs twice
-                last = (anchor, key, first)
+                last = (context, key, first)
                 rows.append((key, first, n, raws[i].as_py()))
                 held += len(rows[-1][3])
         if rows:
             yield solve(rows)
 
     partitions = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = segments.repartition(partitions, "anchor").sortWithinPartitions("anchor", "key", "first")
+    dealt = segments.repartition(partitions, "context").sortWithinPartitions("context", "key", "first")
     return dealt.mapInArrow(run, "key long, begin long, end long")
 
 
@@ -284,10 +358,10 @@ def find(docs: DataFrame, width: int = WIDTH, ident: str = "doc_id", text: str =
     texts = docs.filter(F.octet_length(F.col(text)) >= width).select(text_key(text).alias("key"), F.col(text).alias("text"))
     places = repeated_contexts(texts, width)
     first = known.groupBy("key").agg(F.min(F.struct(F.col(ident).isNotNull().alias("known"), F.col(ident).alias("id"))).alias("first"))
-    chosen = places.join(first, "key").select(F.col("key").alias("_key"), F.col("first.id").alias("_id"), "places")
+    chosen = places.join(first, "key").select(F.col("key").alias("_key"), F.col("first.id").alias("_id"), "places", "hot")
     source = docs.filter(F.octet_length(F.col(text)) >= width).select(F.col(ident).alias("_doc"), text_key(text).alias("key"), F.col(text).alias("text"))
-    candidates = cut_lineage(source.join(chosen, (F.col("key") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id"))).select("key", "text", "places"))
-    ranges = ranges_of(cut_segments(candidates, width), width)
+    candidates = cut_lineage(source.join(chosen, (F.col("key") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id"))).select("key", "text", "places", "hot"))
+    ranges = ranges_of(cut_segments(candidates, width), width).union(hot_ranges(candidates, width))
     ranges = cut_lineage(ranges.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("ranges")))
     return Repeats(rows, candidates.select("key", "text").dropDuplicates(["key"]), ranges)
 

@@ -105,6 +105,30 @@ def test_like_brute_force(spark, seed, width):
     assert repeats.cleaned(docs, found).schema == docs.schema
 
 
+@pytest.mark.parametrize(("seed", "width"), [(4, 400), (5, 64)])
+def test_hot_contexts_like_brute_force(spark, seed, width, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 2)
+    texts = corpus(seed)
+    rows = [*enumerate(texts), (3, texts[3]), (12, texts[12])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in repeats.digests(repeats.find(docs, width)).collect()), key=str)
+    assert got == sorted(((r[0], *b) for r, b in zip(rows, brute([t for _, t in rows], width), strict=True)), key=str)
+
+
+def test_no_task_gets_all_segments_of_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 20)
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, dealt = make(900), []
+    texts = [make(rng.randrange(300)) + passage + make(rng.randrange(300)) for _ in range(80)]
+    ranges_of = repeats.ranges_of
+    monkeypatch.setattr(repeats, "ranges_of", lambda segments, width: (dealt.append(segments), ranges_of(segments, width))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in repeats.digests(repeats.find(docs)).collect())
+    assert got == [(i, *b) for i, b in enumerate(brute(texts, 400))]
+    assert max([n for _, n in dealt[0].groupBy(dealt[0].columns[0]).count().collect()], default=0) <= 20
+
+
 def test_empty_table(spark):
     found = repeats.find(spark.createDataFrame([], "doc_id long, text string"))
     assert repeats.digests(found).count() == 0
