@@ -17,6 +17,8 @@ import numpy as np
 _PIECE = re.compile(r" ?[^\W\d_]+(?=[.,]?(?:[ \n]|\Z))|[.,](?=[ \n]|\Z)|\n| ?[^ \n]+")
 # The same where white space only separates, and is never part of a piece.
 _BARE_ODD = re.compile(r"[\x01\x1c-\x1f]")
+# Capitals that a mark may follow: normalisation composes before it lowers, and some pairs compose in lower case only.
+_BARE_CAPITAL = re.compile(r"[A-Z][^\x00-\x7f]")
 # A stop is cut off only behind letters that no normalisation turns into a letter and a mark.
 _BARE_PIECE = re.compile(r"[^\W\d_]*[a-z\u00e0-\u012f\u0131-\u024f](?=[.,]?(?:\s|\Z))|(?<=[a-z\u00e0-\u012f\u0131-\u024f])[.,](?=\s|\Z)|\S+")
 LONG_PIECE = 64
@@ -36,7 +38,22 @@ def pieces(text: str) -> list[str] | None:
 
 def bare_pieces(text: str) -> list[str] | None:
     """Pieces for tokenizers that drop white space and lower-case: Latin capitals are lowered here, so that fewer differ."""
-    return None if _BARE_ODD.search(text) else _BARE_PIECE.findall(text.encode().lower().decode())
+    raw = text.encode().lower()
+    # 0xCC and 0xCD begin the marks that compose with Latin letters.
+    if _BARE_ODD.search(text) or (b"\xcc" in raw or b"\xcd" in raw) and _BARE_CAPITAL.search(text):
+        return None
+    return _BARE_PIECE.findall(raw.decode())
+
+
+def around(added: Sequence[str], cut: Callable[[str], list[str] | None]) -> Callable[[str], list[str] | None]:
+    """``cut`` but for texts that hold one of the ``added`` tokens, in any case: they are encoded whole."""
+    low = [x.encode().lower() for x in added]
+
+    def run(text: str) -> list[str] | None:
+        raw = text.encode().lower()
+        return None if any(x in raw for x in low) else cut(text)
+
+    return run
 
 
 class Encoder:
@@ -87,7 +104,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str, bare: bool = False) -> Encoder:
-    """Encoder for a file of the tokenizers library; strings of special tokens in a text are ordinary text.
+    """Encoder for a file of the tokenizers library; strings of added tokens in a text get their ids, as the library does by default.
 
     A Python worker keeps it, with the pieces it knows, for the tasks that follow.
 
@@ -98,7 +115,7 @@ def library_encoder(path: str, bare: bool = False) -> Encoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     tokenizer.no_padding()
     encode = lambda texts: (x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-    return Encoder(encode, bare_pieces, " \x01 ") if bare else Encoder(encode, pieces, "\n\x01\n")
+    added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    return Encoder(encode, around(added, bare_pieces), " \x01 ") if bare else Encoder(encode, around(added, pieces), "\n\x01\n")

@@ -39,6 +39,20 @@ def test_letters_that_become_a_letter_and_a_mark(name):
         assert ids.tolist() == PLAIN[name].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_capitals_that_compose_in_lower_case_only(name):
+    texts = ["H\u0331", "a J\u030c. T\u0308 b", "W\u030a, Y\u030a", "xJ\u0323\u030c", "h\u0331 \u00dcber J\u0301"]
+    for ids, text in zip(OURS[name](texts), texts, strict=True):
+        assert ids.tolist() == PLAIN[name].encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_added_tokens_in_a_text(name):
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y.", "<|startoftext|>", "<|ENDOFTEXT|> c", "a <|endoftext| > b"]
+    for ids, text in zip(OURS[name](texts), texts, strict=True):
+        assert ids.tolist() == PLAIN[name].encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_forgetting_changes_nothing(name, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_PIECES", 3)
