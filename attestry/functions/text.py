@@ -228,8 +228,8 @@ def request_id(supplier: Column, kind: Column, body: Column, day: str) -> Column
     return F.concat(F.lit(f"REQ-{day}-"), digest)
 
 
-def simple_terms(c: Column, stop_words: Sequence[str], max_terms: int = 80) -> Column:
-    """Candidate terms of 3..80 characters, stop phrases out, first spelling kept."""
+def simple_terms(c: Column, stop_words: Sequence[str], max_terms: int | None = None) -> Column:
+    """Candidate terms of 3..80 characters, stop phrases out, first spelling kept; all, or the first ``max_terms``."""
     stops = "|".join("\\Q" + w + "\\E" for w in stop_words)
     parts = F.transform(F.split(html_text(c), r"[\n\r,/|;:()\[\]<>]+"), lambda t: F.trim(t))
     parts = F.filter(parts, lambda t: F.length(t).between(3, 80) & ~F.lower(t).rlike(stops))
@@ -240,7 +240,8 @@ def simple_terms(c: Column, stop_words: Sequence[str], max_terms: int = 80) -> C
             lambda low: F.filter(kept, lambda t, i: F.array_position(low, F.lower(t)) == i + 1),
         )
 
-    return F.slice(let(parts, first_spelling), 1, max_terms)
+    terms = let(parts, first_spelling)
+    return terms if max_terms is None else F.slice(terms, 1, max_terms)
 
 
 def company_tokens(c: Column) -> Column:

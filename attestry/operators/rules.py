@@ -90,18 +90,27 @@ def country_match(made_in: Column, certified_in: Column) -> Column:
     return decide([(made_in.isNull() | certified_in.isNull(), "CHECK"), (made_in == certified_in, "MATCH")], "MISMATCH")
 
 
-def weighted_text(pages: Column, first: int = 8000, rest: int = 800, more: int = 4) -> Column:
-    """First page three times, the next pages cut short: the text a classifier is trained on."""
+def _opening(c: Column, n: int | None) -> Column:
+    return c if n is None else F.substring(c, 1, n)
+
+
+def weighted_text(pages: Column, first: int | None = None, rest: int | None = None, more: int | None = None) -> Column:
+    """First page three times, then the next pages: the text a classifier is trained on.
+
+    ``first`` and ``rest`` cut pages to so many characters, ``more`` takes so many next pages; None is whole."""
     pages = F.filter(F.transform(pages, X.squash), lambda p: p != "")
-    head = F.substring(F.get(pages, 0), 1, first)
-    tail = F.transform(F.slice(pages, 2, more), lambda p: F.substring(p, 1, rest))
+    head = _opening(F.get(pages, 0), first)
+    tail = F.slice(pages, F.lit(2), F.size(pages) if more is None else F.lit(more))
+    tail = F.transform(tail, lambda p: _opening(p, rest))
     return X.squash(F.array_join(F.concat(F.array(head, head, head), tail), " "))
 
 
-def marker_windows(c: Column, markers: Sequence[str], before: int, after: int, max_chars: int) -> Column:
+def marker_windows(c: Column, markers: Sequence[str], before: int, after: int, max_chars: int | None = None, whole: int | None = None) -> Column:
     """Text around label markers, marker by marker; a window that overlaps a kept one is left out.
 
-    Texts that fit into ``max_chars`` stay whole, as does the opening of texts without markers."""
+    Texts of at most ``whole`` characters (``max_chars`` if not given) stay whole, as do texts without markers. The result is
+    cut to ``max_chars`` where that is given."""
+    whole = (max_chars or 0) if whole is None else whole
 
     def compact(text: Column) -> Column:
         size = F.length(text)
@@ -121,8 +130,8 @@ def marker_windows(c: Column, markers: Sequence[str], before: int, after: int, m
             ).otherwise(F.concat(acc, F.array(s))),
         )
         joined = F.array_join(F.transform(kept, lambda s: F.trim(F.substring(text, s["l"], s["r"] - s["l"]))), "\n...\n")
-        return F.when(size <= max_chars, text).otherwise(
-            X.let(joined, lambda j: F.trim(F.substring(F.when(j == "", text).otherwise(j), 1, max_chars)))
+        return F.when(size <= whole, text).otherwise(
+            X.let(joined, lambda j: F.trim(_opening(F.when(j == "", text).otherwise(j), max_chars)))
         )
 
     return X.let(F.trim(F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "[ \t]+", " ")), compact)

@@ -398,13 +398,13 @@ def redaction(spark, d):
     """,
 )
 def candidate_terms(spark, d):
-    terms = X.simple_terms(F.col("text"), TERM_STOPS)
+    terms = X.simple_terms(F.col("text"), TERM_STOPS, 80)  # as in the SQL
     return table(spark, d, "documents").select("doc_id", F.array_join(terms, "|").alias("terms"))
 
 
 @query("prj_22_marker_windows")
 def marker_windows(spark, d):
-    compact = rules.marker_windows(F.col("text"), ["certificate", "thanks", "email", "license", "tion"], 180, 520, 6000)
+    compact = rules.marker_windows(F.col("text"), ["certificate", "thanks", "email", "license", "tion"], 180, 520, whole=6000)
     return table(spark, d, "documents").select("doc_id", compact.alias("compact"))
 
 
@@ -418,12 +418,12 @@ def marker_windows(spark, d):
     """,
 )
 def weighted_text(spark, d):
-    # only the first five non-empty pages count, so five per document travel
+    # in the SQL only the first five non-empty pages count, so five per document travel
     turns = rank.top_per_group(table(spark, d, "conversations").filter(X.squash(F.col("text")) != ""), ["conv_id"], [F.asc("turn")], 5, "_n")
     pages = turns.groupBy("conv_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda p: p["text"]).alias("pages")
     )
-    return pages.select("conv_id", F.md5(rules.weighted_text(F.col("pages"))).alias("digest"))
+    return pages.select("conv_id", F.md5(rules.weighted_text(F.col("pages"), 8000, 800, 4)).alias("digest"))
 
 
 @query(

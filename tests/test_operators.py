@@ -392,3 +392,25 @@ def test_issuer_needs_enough_hits(spark):
     table = [("A", ["ALPHA"], 1), ("I", ["ISA", "ISLAMIC"], 2)]
     for text, want in (("isa islamic", "I"), ("isa only", "I"), ("isa and alpha", "A"), ("none", "UNKNOWN")):
         assert one(spark, EX.detect_issuer(F.lit(text), table)) == want
+
+
+def test_texts_and_lists_are_whole_by_default(spark):
+    from pyspark.sql import functions as F
+
+    from attestry.functions import text as X
+    from attestry.operators import rules
+
+    pages = ["a" * 9000, "b" * 900, "c", "d", "e", "f" * 900]
+    text = "".join(f"mark {k:03d} " + "x" * 200 for k in range(60))
+    terms = [f"term {k:03d}" for k in range(100)]
+    df = spark.createDataFrame([(pages, text, ",".join(terms))], "pages array<string>, text string, list string")
+    weighted, windows, found = df.select(
+        rules.weighted_text(F.col("pages")), rules.marker_windows(F.col("text"), ["mark"], 5, 20, whole=6000), X.simple_terms(F.col("list"), ["stop"])
+    ).first()
+    assert weighted == " ".join(pages[:1] * 3 + pages[1:])
+    assert all(f"mark {k:03d}" in windows for k in range(60))
+    assert found == terms
+    long, none = df.select(
+        rules.marker_windows(F.col("text"), ["mark"], 180, 5000, whole=6000), rules.marker_windows(F.col("text"), ["absent"], 180, 520, whole=6000)
+    ).first()
+    assert len(long) > 6000 and none == text
