@@ -24,7 +24,9 @@ master AS (SELECT row_pos, depth, CAST(row_pos AS VARCHAR) AS material_no, suppl
 
 
 def wide_master(spark, d) -> DataFrame:
-    """Material master sheet (row_pos, c0..c50), one row per order, built from lineitem."""
+    """Material master sheet (row_pos, c0..c50), one row per order, built from lineitem.
+
+    The sheet has five levels: lines 6 and 7 of an order are left out."""
     li = table(spark, d, "lineitem").filter("l_linenumber <= 5")
     block = F.concat_ws(
         "|", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), "l_returnflag",
