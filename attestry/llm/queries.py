@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attestry.llm import bpe, chat, id_files, importance, jaccard, language, packing, quality_rules, repeats, syncmers
+from attestry.llm import bpe, chat, golay, id_files, importance, jaccard, language, merkle, packing, quality_rules, repeats, runs, syncmers
 from attestry.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +81,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_importance")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def tenth_rearranged(doc: int | None, n: int) -> np.ndarray | None:
+    """Where the words of one document in ten come from: behind a first part, the same few words over and over."""
+    h = zlib.crc32(str(doc).encode())
+    if doc is None or h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+@query("op11_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(documents(spark, sf_dir), tenth_rearranged)
+
+
+@query("op12_simhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay.link(documents(spark, sf_dir))
+
+
+@query("op13_merkle", merkle.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.verified(documents(spark, sf_dir), {"n_chars": tampered})
