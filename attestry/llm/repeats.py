@@ -44,6 +44,7 @@ SHARDS = 4
 CHUNK_BYTES = 1 << 19
 HOT = 1000
 BLOCK = 16
+WHITE = b" \t\n\v\f\r"
 
 
 @dataclass
@@ -399,19 +400,44 @@ def digests(repeats: Repeats, ident: str = "doc_id") -> DataFrame:
     )
 
 
-def cleaned(docs: DataFrame, repeats: Repeats, text: str = "text") -> DataFrame:
-    """The documents with the repeated bytes removed; a character that is cut goes as a whole. Null texts stay null."""
+def _of_words(raw: bytes, ranges: list[dict], least: int) -> list[dict]:
+    """The maximal runs of the ranges, which ascend, that hold ``least`` whole words."""
+    runs: list[dict] = []
+    for r in ranges:
+        if runs and r["begin"] <= runs[-1]["end"]:
+            runs[-1]["end"] = max(runs[-1]["end"], r["end"])
+        else:
+            runs.append({"begin": r["begin"], "end": r["end"]})
+    kept = []
+    for r in runs:
+        inside = raw[r["begin"] : r["end"]]
+        torn = sum(0 < at < len(raw) and raw[at - 1] not in WHITE and raw[at] not in WHITE for at in (r["begin"], r["end"]))
+        if len(inside.split()) - torn >= least:
+            kept.append(r)
+    return kept
+
+
+def cleaned(docs: DataFrame, repeats: Repeats, text: str = "text", least_words: int = 0) -> DataFrame:
+    """The documents with the repeated bytes removed; a character that is cut goes as a whole. Null texts stay null.
+
+    Repeated runs with fewer than ``least_words`` whole words stay. Other columns may have any name."""
     kind = docs.schema
+    names = docs.columns
+    plain = {c: f"_c{i}" for i, c in enumerate(names)}  # so that no column is named like one made here
+    at = plain[text]
     copied = repeats.rows.groupBy("key").agg(F.bool_or("copied").alias("copied"))
     per_text = copied.join(repeats.ranges, "key", "left").select(F.col("key").alias("_key"), F.col("copied").alias("_copied"), F.col("ranges").alias("_ranges")).filter("_copied or _ranges is not null")
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, at):
             texts = []
-            for t, gone, ranges in zip(*(part.column(c).to_pylist() for c in (text, "_copied", "_ranges")), strict=True):
-                whole = t is None or not (gone or ranges)
-                texts.append(t if whole else "" if gone else _remove(t.encode(), ranges)[0].decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(text).type) if c == text else part.column(c) for c in names], names=names)
-
-    return docs.withColumn("_key", text_key(text)).join(per_text, "_key", "left").select(*names, "_copied", "_ranges").mapInArrow(run, kind)
+            for t, gone, ranges in zip(*(part.column(c).to_pylist() for c in (at, "_copied", "_ranges")), strict=True):
+                if t is not None and (gone or ranges):
+                    raw = t.encode()
+                    spans = [{"begin": 0, "end": len(raw)}] if gone else ranges
+                    t = _remove(raw, _of_words(raw, spans, least_words))[0].decode("utf-8", "ignore")
+                texts.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(at).type) if c == text else part.column(plain[c]) for c in names], names=names)
+
+    rows = docs.toDF(*plain.values()).withColumn("_key", text_key(at)).join(per_text, "_key", "left")
+    return rows.select(*plain.values(), "_copied", "_ranges").mapInArrow(run, kind)

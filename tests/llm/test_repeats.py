@@ -132,3 +132,14 @@ def test_no_task_gets_all_segments_of_a_common_passage(spark, monkeypatch):
 def test_empty_table(spark):
     found = repeats.find(spark.createDataFrame([], "doc_id long, text string"))
     assert repeats.digests(found).count() == 0
+
+
+def test_short_repeats_may_stay_and_columns_may_clash(spark):
+    words = [f"w{i}" for i in range(60)]
+    long, short = " ".join(words), " ".join("abcdefghijklmnopqrst" + str(i) for i in range(10))
+    rows = [(1, f"first {long} end", 5), (2, f"other {long} stop", 6), (3, f"has {short} in it", 7), (4, f"and {short} too", 8), (5, None, 9)]
+    docs = spark.createDataFrame(rows, "_key long, text string, _copied long").selectExpr("*", "_key AS _ranges")
+    left = repeats.cleaned(docs, repeats.find(docs, 152, "_key"), least_words=50).collect()
+    assert {r["_key"]: (r["text"], r["_copied"], r["_ranges"]) for r in left} == {
+        1: ("firstend", 5, 1), 2: ("otherstop", 6, 2), 3: (rows[2][1], 7, 3), 4: (rows[3][1], 8, 4), 5: (None, 9, 5)
+    }
