@@ -12,15 +12,20 @@ from attestry.llm import importance, jaccard, packing, quality_rules, repeats
 from attestry.session import cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# A passage of 50 short words has some 155 bytes; shorter windows find it, and its words decide.
+PASSAGE_BYTES, PASSAGE_WORDS = 152, 50
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. The rows are judged where they lie; nothing is shuffled."""
+    """Documents that the quality rules keep. The rows are judged where they lie; nothing is shuffled.
+
+    Null and empty texts have too few words and go; repeated rows are judged alike; a very long text is judged whole."""
     return quality_rules.kept_rows(docs).select(*COLUMNS)
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws."""
+    """Documents that importance resampling draws. Null and empty texts have no feature that speaks against them; copies of a row
+    have equal weights; a very long text counts every feature once."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return importance.kept_rows(docs, labels).select(*COLUMNS)
 
@@ -31,14 +36,18 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without byte strings of 400 that start anywhere else; ``n_chars`` is counted anew."""
-    cleaned = repeats.cleaned(docs, repeats.find(docs))
+    """The documents without passages of ``PASSAGE_WORDS`` words or more that start anywhere else; ``n_chars`` is counted anew.
+
+    A null text stays null and an empty one empty; copies of a row lose the same bytes, all of them where the text is long
+    enough, since each repeats the other."""
+    cleaned = repeats.cleaned(docs, repeats.find(docs, PASSAGE_BYTES), least_words=PASSAGE_WORDS)
     changed = F.col("text").isNotNull()
     return cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2,048 ids."""
+    """Pieces of sequences of at most 2,048 ids. Null and empty texts are their end id alone, repeated rows are packed each,
+    a very long text is cut into several pieces."""
     return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
