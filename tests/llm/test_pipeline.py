@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 import tempfile
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers as P
 import pytest
 from test_jaccard import brute as brute_components
 from test_quality_rules import brute as brute_rules
-from test_repeats import brute as brute_repeats
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -75,11 +75,28 @@ def test_near_duplicates(stages):
 
 def test_repeats(stages):
     before, after = rows_of(stages[3]), {r[0]: r for r in rows_of(stages[4])}
-    found = brute_repeats([r[1] for r in before], 400)
-    assert len(after) == len(before) and any(n for _, n, _, _ in found)
-    for r, (n_bytes, n_removed, spans, _) in zip(before, found, strict=True):
-        left = len(after[r[0]][1].encode())
-        assert n_bytes - n_removed - 6 * spans <= left <= n_bytes - n_removed and after[r[0]][4] == len(after[r[0]][1])
+    texts = [r[1] for r in before]
+    grams = Counter()
+    for t in texts:
+        raw = (t or "").encode()
+        grams.update(raw[i : i + corpus_pipeline.PASSAGE_BYTES] for i in range(len(raw) - corpus_pipeline.PASSAGE_BYTES + 1))
+    removed = 0
+    assert len(after) == len(before)
+    for r, t in zip(before, texts, strict=True):
+        raw = (t or "").encode()
+        covered = bytearray(len(raw))
+        for i in range(len(raw) - corpus_pipeline.PASSAGE_BYTES + 1):
+            if grams[raw[i : i + corpus_pipeline.PASSAGE_BYTES]] > 1:
+                covered[i : i + corpus_pipeline.PASSAGE_BYTES] = b"x" * corpus_pipeline.PASSAGE_BYTES
+        words = [m.span() for m in re.finditer(rb"[^ \t-\r]+", raw)]
+        for m in re.finditer(b"x+", bytes(covered)):
+            if sum(m.start() <= a and b <= m.end() for a, b in words) < corpus_pipeline.PASSAGE_WORDS:
+                covered[m.start() : m.end()] = bytes(m.end() - m.start())
+        removed += sum(map(bool, covered))
+        left = bytes(x for x, gone in zip(raw, covered, strict=True) if not gone).decode("utf-8", "ignore")
+        assert (after[r[0]][1] or "") == left and (t is None) == (after[r[0]][1] is None)
+        assert t is None or after[r[0]][4] == len(left)
+    assert removed
 
 
 def test_packing(stages):
