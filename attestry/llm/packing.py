@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.batches import slices, strings
-from attestry.llm.pieces import library_encoder
+from attestry.llm.pieces import KEPT_PIECES, library_encoder
 
 MAX_OPEN = 1024
 _TASK_BITS = 40
@@ -114,13 +114,14 @@ def _cut(pieces: list[Piece], size: int, full: Callable[[list[Piece]], None], mo
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, ident: str = "doc_id", text: str = "text", max_open: int = MAX_OPEN
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, ident: str = "doc_id", text: str = "text", max_open: int = MAX_OPEN, kept: int = KEPT_PIECES
 ) -> DataFrame:
     """One row per piece: document, start in it, length, ids (little-endian unsigned 32-bit), the document's number of ids,
-    sequence id and offset there. Sequence ids are the task's number * 2**40 + a running number."""
+    sequence id and offset there. Sequence ids are the task's number * 2**40 + a running number. A worker remembers the ids
+    of up to ``kept`` pieces of text, at some 200 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(tokenizer_path, bare=True)
+        encode = library_encoder(tokenizer_path, bare=True, kept=kept)
         task = TaskContext.get()
         following = (task.partitionId() if task else 0) << _TASK_BITS
         rows: list[tuple] = []

@@ -59,11 +59,11 @@ def around(added: Sequence[str], cut: Callable[[str], list[str] | None]) -> Call
 class Encoder:
     """``encode_batch`` takes texts and gives their ids; it must treat pieces as the module text says."""
 
-    def __init__(self, encode_batch: Callable[[list[str]], Iterable[Sequence[int]]], cut: Callable[[str], list[str] | None] = pieces, mark: str | None = None):
-        """``mark``: a string that keeps apart what stands before and behind it, so that many pieces are encoded in one call."""
+    def __init__(self, encode_batch: Callable[[list[str]], Iterable[Sequence[int]]], cut: Callable[[str], list[str] | None] = pieces, mark: str | None = None, kept: int = KEPT_PIECES):
+        """``kept``: pieces to remember, some 200 bytes each. ``mark``: a string that keeps apart what stands before and behind it, so that many pieces are encoded in one call."""
         self._encode, self._cut = encode_batch, cut
         self._known: dict[str, bytes] = {}
-        self._mark = mark
+        self._mark, self._kept = mark, kept
         if mark is not None:
             ids = next(iter(encode_batch([mark])))
             self._sign, self._around = ids[len(ids) // 2], len(ids) // 2
@@ -85,7 +85,7 @@ class Encoder:
     def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._cut(t) for t in texts]
-        if len(self._known) > KEPT_PIECES:
+        if len(self._known) > self._kept:
             self._known = {}
         known = self._known
         new = list(set(chain.from_iterable(x for x in cut if x)).difference(known))
@@ -103,7 +103,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str, bare: bool = False) -> Encoder:
+def library_encoder(path: str, bare: bool = False, kept: int = KEPT_PIECES) -> Encoder:
     """Encoder for a file of the tokenizers library; strings of added tokens in a text get their ids, as the library does by default.
 
     A Python worker keeps it, with the pieces it knows, for the tasks that follow.
@@ -118,4 +118,4 @@ def library_encoder(path: str, bare: bool = False) -> Encoder:
     tokenizer.no_padding()
     encode = lambda texts: (x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
     added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    return Encoder(encode, around(added, bare_pieces), " \x01 ") if bare else Encoder(encode, around(added, pieces), "\n\x01\n")
+    return Encoder(encode, around(added, bare_pieces), " \x01 ", kept) if bare else Encoder(encode, around(added, pieces), "\n\x01\n", kept)
