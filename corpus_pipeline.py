@@ -14,6 +14,8 @@ from attestry.session import cut_lineage
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # A passage of 50 short words has some 155 bytes; shorter windows find it, and its words decide.
 PASSAGE_BYTES, PASSAGE_WORDS = 152, 50
+# Fewer remembered pieces than by default: a worker has been through four stages before.
+KEPT_PIECES = 300_000
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2,048 ids. Null and empty texts are their end id alone, repeated rows are packed each,
     a very long text is cut into several pieces."""
-    return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), kept=KEPT_PIECES))
 
 
 STAGES = [
