@@ -109,7 +109,7 @@ NOT_COMPANY = (
 )
 # Rules of the demo; a caller brings its own table of the same four lists.
 COMPANY_RULES = {
-    "labels": ("company name", "manufacturer", "manufactured by"),
+    "labels": ("company name & address", "name of company", "manufactured by", "company name", "manufacturer", "company"),
     "next_labels": ("address", "plant", "factory"),
     "street_words": ("street", "road", "avenue", "lane"),
     "never_in_a_name": ("certificate", "valid until", "attached list", "page "),
@@ -117,7 +117,8 @@ COMPANY_RULES = {
 
 
 def _any_of(words: Sequence[str]) -> str:
-    return "(?:" + "|".join(r"\s+".join(re.escape(w) for w in entry.split()) for entry in words) + ")"
+    longest_first = sorted(words, key=lambda w: (-len(w), w))
+    return "(?:" + "|".join(r"\s+".join(re.escape(w) for w in entry.split()) for entry in longest_first) + ")"
 
 
 def clean_company(c: Column, table: Mapping[str, Sequence[str]] = COMPANY_RULES) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("projections", "filters", "reshaping", "aggregates", "ranking", "sources", "decisions", "states", "extraction", "linking", "models", "streams")
+MODULES = ("projections", "filters", "reshaping", "aggregates", "ranking", "sources", "decisions", "states", "extraction", "vocabularies", "linking", "models", "streams")
 
 
 def load_all() -> None:

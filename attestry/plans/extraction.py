@@ -137,8 +137,9 @@ def scored_dates(spark, d):
 
 @query("ext_9_company", f"SELECT doc_id, {MAKER_SQL} AS maker FROM documents")
 def company(spark, d):
-    rows = text_lines(certificate_docs(spark, d))
-    return rows.select("doc_id", F.coalesce(EX.find_company(F.col("lines"), r"manufactured by"), F.lit("")).alias("maker"))
+    label = F.concat(pick(5, "Company Name", "Company", "Manufacturer", "Name of Company", "Company Name & Address"), F.lit(": Solaris "))
+    docs = certificate_docs(spark, d).withColumn("text", F.replace("text", F.lit("Manufactured by: Solaris "), F.concat(F.lit("Manufactured by: "), label)))
+    return text_lines(docs).select("doc_id", F.coalesce(EX.find_company(F.col("lines"), r"manufactured by"), F.lit("")).alias("maker"))
 
 
 @query("ext_10_country", f"SELECT doc_id, {COUNTRY_SQL} AS country FROM documents")
@@ -179,7 +180,7 @@ OVERRIDES = [
 def overrides(spark, d):
     base = certificate_docs(spark, d).select(
         "doc_id", "text", pick(4, "HQC", "IFB", "ISA", "UNKNOWN").alias("issuer"), F.lit("OLD").alias("cert_no"), F.lit("1999-01-01").alias("expiry"),
-        F.lit("Company Name: Acme Foods Ltd 25 Long Street, Town").alias("maker"), F.lit("LOW_CONFIDENCE").alias("parse_status"),
+        F.concat(pick(5, "Company Name", "Company", "Manufacturer", "Manufactured by", "Name of Company"), F.lit(": Acme Foods Ltd 25 Long Street, Town")).alias("maker"), F.lit("LOW_CONFIDENCE").alias("parse_status"),
     )
     return EX.apply_overrides(base, "text", "issuer", OVERRIDES).drop("text")
 
