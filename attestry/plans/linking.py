@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from attestry.functions import text as X
 from attestry.operators import linkage as L
 from attestry.operators import rank, reshape, rules
+from attestry.operators import search as S
+from attestry.operators import vocabulary as V
 from attestry.plans.common import WIDE_SQL, wide_master
 from attestry.plans.registry import query, table
 from attestry.session import cut_lineage
@@ -240,22 +242,22 @@ def item_choice(spark, d):
     WITH m AS (SELECT DISTINCT p_name AS material FROM part), w AS (SELECT DISTINCT material, unnest(string_split(material, ' ')) AS word, unnest([18, 16]) AS weight FROM m),
     x AS (SELECT 'doc' AS kind, doc_id AS id, lower(text) AS t FROM documents UNION ALL SELECT 'page', page_id, lower(url) FROM pages),
     s AS (SELECT material, kind, id, sum(weight) AS score FROM w JOIN x ON contains(t, word) WHERE length(word) >= 3 GROUP BY 1, 2, 3),
-    r AS (SELECT *, row_number() OVER (PARTITION BY material ORDER BY score DESC, kind, id) AS rn FROM s)
-    SELECT material, kind, id, score::BIGINT AS score FROM r WHERE rn <= 5
+    r AS (SELECT *, row_number() OVER (PARTITION BY material ORDER BY score DESC, kind, id) AS rn, count(*) OVER (PARTITION BY material) AS total FROM s)
+    SELECT material, kind, id, score::BIGINT AS score, total::BIGINT AS total FROM r WHERE rn <= 5
     """,
 )
 def keyword_scoring(spark, d):
     parts = F.split("material", " ")
     words = table(spark, d, "part").select(F.col("p_name").alias("material")).distinct().select(
         "material", F.inline(F.arrays_zip(parts.alias("word"), F.array(F.lit(18), F.lit(16)).alias("weight")))
-    )
-    docs = table(spark, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.lower("text").alias("t"))
-    pages = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.lower("url").alias("t"))
-    files = docs.unionByName(pages).select(F.struct("kind", "id").alias("ref"), "t")
-    hits = L.contains_join(files, "ref", "t", words, "word", q=3)
-    scored = hits.join(words, "word").groupBy("material", "ref").agg(F.sum("weight").alias("score"))
-    top = rank.top_per_group(scored.select("material", "ref.kind", "ref.id", "score"), ["material"], [F.desc("score"), F.asc("kind"), F.asc("id")], 5, "_n")
-    return top.select("material", "kind", "id", F.col("score").cast("bigint").alias("score"))
+    ).filter(F.length("word") >= 3).select("material", F.upper("word").alias("term"), "weight")
+    docs = table(spark, d, "documents").select(F.struct(F.lit("doc").alias("kind"), F.col("doc_id").alias("id")).alias("ref"), F.col("text").alias("t"))
+    pages = table(spark, d, "pages").select(F.struct(F.lit("page").alias("kind"), F.col("page_id").alias("id")).alias("ref"), F.col("url").alias("t"))
+    # read twice: for the best and for the totals
+    hits = cut_lineage(V.phrase_hits(docs.unionByName(pages), words.select("term").distinct(), "ref", "t").select("ref", "term").distinct())
+    top = S.top_holders(hits, "ref", words, "material", k=5)
+    total = S.holder_counts(hits, "ref", words, "material")
+    return top.join(total, "material").select("material", "ref.kind", "ref.id", F.col("score").cast("bigint").alias("score"), "total")
 
 
 _HOST = "regexp_extract(url, '//([^/]*)/', 1)"
