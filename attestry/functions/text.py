@@ -228,19 +228,24 @@ def request_id(supplier: Column, kind: Column, body: Column, day: str) -> Column
     return F.concat(F.lit(f"REQ-{day}-"), digest)
 
 
+def first_spellings(values: Column) -> Column:
+    """The values in order, each spelling once ignoring case: by sorting, so a long array costs no square."""
+    marked = F.array_sort(F.transform(values, lambda t, i: F.struct(F.lower(t).alias("key"), i.alias("i"), t.alias("t"))))
+
+    def first(s: Column) -> Column:
+        fresh = F.filter(s, lambda x, i: ~F.coalesce(F.get(s, i - 1)["key"] == x["key"], F.lit(False)))
+        return F.transform(F.array_sort(F.transform(fresh, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t")))), lambda x: x["t"])
+
+    return let(marked, first)
+
+
 def simple_terms(c: Column, stop_words: Sequence[str], max_terms: int | None = None) -> Column:
     """Candidate terms of 3..80 characters, stop phrases out, first spelling kept; all, or the first ``max_terms``."""
     stops = "|".join("\\Q" + w + "\\E" for w in stop_words)
     parts = F.transform(F.split(html_text(c), r"[\n\r,/|;:()\[\]<>]+"), lambda t: F.trim(t))
     parts = F.filter(parts, lambda t: F.length(t).between(3, 80) & ~F.lower(t).rlike(stops))
 
-    def first_spelling(kept: Column) -> Column:
-        return let(
-            F.transform(kept, lambda t: F.lower(t)),
-            lambda low: F.filter(kept, lambda t, i: F.array_position(low, F.lower(t)) == i + 1),
-        )
-
-    terms = let(parts, first_spelling)
+    terms = first_spellings(parts)
     return terms if max_terms is None else F.slice(terms, 1, max_terms)
 
 

@@ -130,7 +130,7 @@ def dates_in_order(spark, d):
 def scored_dates(spark, d):
     day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), ((F.col("conv_id") + F.col("turn")) % 700).cast("int")), "dd MMMM yyyy")
     gap = F.lit(" -" * 150)
-    mail = F.concat(F.when(F.col("turn") % 2 == 0, F.lit("sent 2024-05-01 ")).otherwise(F.lit("")), gap, F.regexp_replace("text", "[0-9]|(?i)valid|expir|until|hingga|sampai|berlaku", "#"), gap, F.lit(" expiry "), day)
+    mail = F.concat(F.when(F.col("turn") % 2 == 0, F.lit("sent 2024-05-01 ")).otherwise(F.lit("")), gap, "text", gap, F.lit(" expiry "), day)
     rows = table(spark, d, "conversations").select("conv_id", "turn", EX.scored_dates(mail).alias("c"))
     return rows.select("conv_id", "turn", F.array_join(F.transform("c", lambda x: F.concat(x["score"].cast("string"), F.lit(":"), x["date"])), ",").alias("candidates"))
 
@@ -289,7 +289,7 @@ def name_hints(spark, d):
 def canonical_names(spark, d):
     rows = text_lines(certificate_docs(spark, d), "source", "text")
     expected = F.concat(F.lit("SOLARIS "), F.upper("source"), F.lit(" CO LTD"))
-    seen = DEC.name_in_text(F.col("text"), F.array().cast("array<string>"), expected)
+    seen = DEC.name_in_text(F.col("text"), F.col("lines"), expected)
     read = F.coalesce(EX.find_company(F.col("lines"), r"manufactured by"), F.lit(""))
     rows = rows.select("doc_id", read.alias("read"), expected.alias("expected"), seen.alias("seen"), (doc() % 4 == 1).alias("conflict"))
     name = DEC.canonical_name(F.col("read"), F.col("expected"), F.col("seen.matched"), F.col("conflict"))

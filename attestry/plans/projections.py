@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import dates as D
 from attestry.functions import text as X
-from attestry.operators import mailing, rank, rules
+from attestry.operators import mailing, rules
 from attestry.plans.registry import query, table
 
 TERM_STOPS = ("certificate", "request", "valid", "until")
@@ -394,12 +394,11 @@ def redaction(spark, d):
     WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '[\n\r,/|;:()\[\]<>]+'), lambda x: trim(x)),
          lambda x: length(x) BETWEEN 3 AND 80 AND NOT regexp_matches(lower(x), 'certificate|request|valid|until')) AS a FROM documents),
     q AS (SELECT doc_id, a, list_transform(a, lambda x: lower(x)) AS l FROM p)
-    SELECT doc_id, array_to_string(list_slice(list_filter(a, lambda x, i: list_position(l, lower(x)) = i), 1, 80), '|') AS terms FROM q
+    SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(l, lower(x)) = i), '|') AS terms FROM q
     """,
 )
 def candidate_terms(spark, d):
-    terms = X.simple_terms(F.col("text"), TERM_STOPS, 80)  # as in the SQL
-    return table(spark, d, "documents").select("doc_id", F.array_join(terms, "|").alias("terms"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.simple_terms(F.col("text"), TERM_STOPS), "|").alias("terms"))
 
 
 @query("prj_22_marker_windows")
@@ -411,19 +410,14 @@ def marker_windows(spark, d):
 @query(
     "prj_23_weighted_text",
     r"""
-    WITH c AS (SELECT conv_id, string_agg(trim(regexp_replace(text, '\s+', ' ', 'g')), chr(12) ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
-    p AS (SELECT conv_id, list_filter(string_split(t, chr(12)), lambda x: x <> '') AS a FROM c)
-    SELECT conv_id, md5(trim(regexp_replace(array_to_string(list_concat([substr(a[1], 1, 8000), substr(a[1], 1, 8000), substr(a[1], 1, 8000)],
-       list_transform(a[2:5], lambda x: substr(x, 1, 800))), ' '), '\s+', ' ', 'g'))) AS digest FROM p
+    WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS a FROM documents)
+    SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_concat([coalesce(a[1], ''), coalesce(a[1], ''), coalesce(a[1], '')], a[2:]), ' '), '\s+', ' ', 'g'))) AS digest FROM p
     """,
 )
 def weighted_text(spark, d):
-    # in the SQL only the first five non-empty pages count, so five per document travel
-    turns = rank.top_per_group(table(spark, d, "conversations").filter(X.squash(F.col("text")) != ""), ["conv_id"], [F.asc("turn")], 5, "_n")
-    pages = turns.groupBy("conv_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda p: p["text"]).alias("pages")
-    )
-    return pages.select("conv_id", F.md5(rules.weighted_text(F.col("pages"), 8000, 800, 4)).alias("digest"))
+    # the lines of a document stand for its pages; they lie in the row
+    pages = F.split("text", "\n")
+    return table(spark, d, "documents").select("doc_id", F.md5(rules.weighted_text(pages)).alias("digest"))
 
 
 @query(

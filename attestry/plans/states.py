@@ -92,10 +92,10 @@ def insert_new(spark, d):
 @query(
     "sta_6_rule_lifecycle",
     """
-    WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'VALIDATE' WHEN 'purchase' THEN 'APPLY' WHEN 'error' THEN CASE WHEN event_id % 40 = 0 THEN 'REJECT' ELSE 'NOTE' END ELSE 'NOTE' END AS kind FROM events WHERE value < 5.0),
-    f AS (SELECT user_id, min(event_id) FILTER (kind = 'VALIDATE') AS v, min(event_id) FILTER (kind = 'REJECT') AS r FROM e GROUP BY 1),
-    a AS (SELECT user_id, min(event_id) AS ap FROM e JOIN f USING (user_id) WHERE kind = 'APPLY' AND event_id > v AND (r IS NULL OR event_id < r) GROUP BY 1)
-    SELECT user_id, CASE WHEN ap IS NOT NULL THEN 'APPLIED' WHEN r IS NOT NULL THEN 'REJECTED' WHEN v IS NOT NULL THEN 'VALIDATED' ELSE 'PENDING' END AS state FROM f LEFT JOIN a USING (user_id)
+    WITH e AS (SELECT user_id * 100 + event_id % 100 AS subject, event_id, CASE event_type WHEN 'signup' THEN 'VALIDATE' WHEN 'purchase' THEN 'APPLY' WHEN 'error' THEN CASE WHEN event_id % 40 = 0 THEN 'REJECT' ELSE 'NOTE' END ELSE 'NOTE' END AS kind FROM events),
+    f AS (SELECT subject, min(event_id) FILTER (kind = 'VALIDATE') AS v, min(event_id) FILTER (kind = 'REJECT') AS r FROM e GROUP BY 1),
+    a AS (SELECT subject, min(event_id) AS ap FROM e JOIN f USING (subject) WHERE kind = 'APPLY' AND event_id > v AND (r IS NULL OR event_id < r) GROUP BY 1)
+    SELECT subject, CASE WHEN ap IS NOT NULL THEN 'APPLIED' WHEN r IS NOT NULL THEN 'REJECTED' WHEN v IS NOT NULL THEN 'VALIDATED' ELSE 'PENDING' END AS state FROM f LEFT JOIN a USING (subject)
     """,
 )
 def rule_lifecycle(spark, d):
@@ -103,21 +103,23 @@ def rule_lifecycle(spark, d):
         F.when(F.col("event_type") == "signup", F.lit("VALIDATE")).when(F.col("event_type") == "purchase", F.lit("APPLY"))
         .when((F.col("event_type") == "error") & (F.col("event_id") % 40 == 0), F.lit("REJECT")).otherwise(F.lit("NOTE"))
     )
-    events = table(spark, d, "events").filter("value < 5.0").select("user_id", "event_id", kind.alias("kind"))
-    return state.lifecycle_state(events, "user_id", "kind", ["event_id"])
+    subject = F.col("user_id") * 100 + F.col("event_id") % 100
+    events = table(spark, d, "events").select(subject.alias("subject"), "event_id", kind.alias("kind"))
+    return state.lifecycle_state(events, "subject", "kind", ["event_id"])
 
 
 @query(
     "sta_7_parent_status",
     """
-    WITH r AS (SELECT user_id, arg_max(event_type, event_id) AS s, count(*) AS n FROM events WHERE event_type IN ('error', 'purchase') AND value > 20 GROUP BY 1)
-    SELECT user_id, CASE WHEN s = 'error' THEN 'ERROR' WHEN s IS NOT NULL THEN 'DONE' ELSE 'WAITING' END AS ocr_status, coalesce(n, 0) AS results_n FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN r USING (user_id)
+    WITH e AS (SELECT user_id * 100 + event_id % 100 AS subject, event_id, event_type FROM events),
+    r AS (SELECT subject, arg_max(event_type, event_id) AS s, count(*) AS n FROM e WHERE event_type IN ('error', 'purchase') GROUP BY 1)
+    SELECT subject, CASE WHEN s = 'error' THEN 'ERROR' WHEN s IS NOT NULL THEN 'DONE' ELSE 'WAITING' END AS ocr_status, coalesce(n, 0) AS results_n FROM (SELECT DISTINCT subject FROM e) LEFT JOIN r USING (subject)
     """,
 )
 def parent_status(spark, d):
-    events = table(spark, d, "events")
-    results = events.filter(F.col("event_type").isin("error", "purchase") & (F.col("value") > 20)).select("user_id", "event_id", "event_type")
-    return state.parent_status(events.select("user_id").distinct(), results, "user_id", "event_id", "event_type").select("user_id", "ocr_status", "results_n")
+    events = table(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 100).alias("subject"), "event_id", "event_type")
+    results = events.filter(F.col("event_type").isin("error", "purchase"))
+    return state.parent_status(events.select("subject").distinct(), results, "subject", "event_id", "event_type").select("subject", "ocr_status", "results_n")
 
 
 @query(
