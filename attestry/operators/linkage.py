@@ -10,9 +10,12 @@ Keys are made distinct before any pairing, so a repeated key costs one row howev
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestry.functions.similarity import METRICS, ladder, match_grade
@@ -219,61 +222,110 @@ def class_scores(targets: DataFrame, refs: DataFrame, ident: str, cls: str, simi
     return three.groupBy(ident, cls).agg((0.7 * F.max("s") + 0.3 * F.avg("s")).alias("score"))
 
 
+def unit_vectors(features: DataFrame, cls: str, ident: str, feature: str, weight: str, threshold: float) -> DataFrame:
+    """A table (cls, ident, f, u, rest, heavy): each feature by its hash, its share of the unit vector, and the length of the vector from
+    it on, features going from rare to frequent. What lies behind the heavy features has less than ``threshold`` of the length."""
+    counts = features.groupBy(cls, feature).agg(F.count(F.lit(1)).alias("_df"))
+    rows = features.join(counts, [cls, feature]).select(cls, ident, F.xxhash64(feature).alias("f"), F.col(weight).alias("_w"), "_df")
+    own = W.partitionBy(cls, ident)
+    before = F.sum(F.col("_w") * F.col("_w")).over(own.orderBy("_df", "f").rowsBetween(W.unboundedPreceding, -1))
+    sized = rows.withColumn("_n2", F.sum(F.col("_w") * F.col("_w")).over(own)).withColumn("_left", F.col("_n2") - F.coalesce(before, F.lit(0.0)))
+    rest = F.sqrt(F.greatest(F.col("_left"), F.lit(0.0)) / F.col("_n2"))
+    return cut_lineage(sized.select(cls, ident, "f", (F.col("_w") / F.sqrt("_n2")).alias("u"), rest.alias("rest"), (rest >= threshold * (1 - 1e-9)).alias("heavy")))
+
+
+def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [batch.column(c) for c in ("fa", "ua", "fb", "ub")]
+        values = [x.values.to_numpy(zero_copy_only=False) for x in lists]
+        starts = [x.offsets.to_numpy() for x in lists]
+        out = np.zeros(batch.num_rows)
+        for i in range(batch.num_rows):
+            fa, ua, fb, ub = (v[o[i] : o[i + 1]] for v, o in zip(values, starts, strict=True))
+            at = np.minimum(np.searchsorted(fb, fa), len(fb) - 1)
+            same = fb[at] == fa
+            out[i] = float(ua[same] @ ub[at[same]])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], names=["a", "b", "cosine"])
+
+
+def cosines(pairs: DataFrame, vectors: DataFrame, cls: str, ident: str) -> DataFrame:
+    """(a, b, cosine) of pairs of idents: each side's vector travels to the pair, and the product is made in its row."""
+    wanted = pairs.select(F.col("a").alias(ident)).union(pairs.select("b")).distinct()
+    packed = vectors.join(wanted, ident, "left_semi").groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("f", "u"))).alias("v"))
+    some = cut_lineage(packed.select(F.col(ident).alias("n"), F.transform("v", lambda x: x["f"]).alias("f"), F.transform("v", lambda x: x["u"]).alias("u")))
+    met = pairs.join(some.select(F.col("n").alias("a"), F.col("f").alias("fa"), F.col("u").alias("ua")), "a").join(some.select(F.col("n").alias("b"), F.col("f").alias("fb"), F.col("u").alias("ub")), "b")
+    kind = vectors.schema[ident].dataType.simpleString()
+    return met.select("a", "b", "fa", "ua", "fb", "ub").mapInArrow(_dots, f"a {kind}, b {kind}, cosine double")
+
+
 def near_duplicates(features: DataFrame, cls: str, ident: str, feature: str, weight: str, threshold: float = 0.97) -> DataFrame:
     """All pairs of one class with cosine >= ``threshold`` over non-negative weights: (a, b, cosine).
 
-    Features are ordered from rare to frequent. What lies behind the prefix of a vector has less
-    than ``threshold`` of its length, so a close pair must share a prefix feature: the join on
-    prefix features is complete. Collapse exact copies before calling this."""
-    counts = features.groupBy(cls, feature).agg(F.count("*").alias("_df"))
-    vectors = features.join(counts, [cls, feature]).groupBy(cls, ident).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_df"), F.col(feature).alias("_f"), (F.col(weight) * F.col(weight)).alias("_w2")))).alias("_a")
-    )
-    total = F.aggregate("_a", F.lit(0.0), lambda acc, x: acc + x["_w2"])
-    sized = vectors.withColumn("_n2", total)
-    rests = "array<struct<f:string,rest:double>>"
-    start = F.struct(F.col("_n2").alias("left"), F.array().cast(rests).alias("out"))
-    bound = F.col("_n2") * (threshold * threshold) * (1 - 1e-9)
-
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.concat(acc["out"], F.array(F.struct(x["_f"].alias("f"), F.sqrt(acc["left"] / F.col("_n2")).alias("rest"))))
-        return F.struct(
-            (acc["left"] - x["_w2"]).alias("left"), F.when(acc["left"] >= bound, kept).otherwise(acc["out"]).alias("out")
-        )
-
-    heavy = sized.select(cls, ident, F.inline(F.aggregate("_a", start, step, lambda acc: acc["out"])))
-    # at the first feature two vectors share, all they have in common lies behind: the product of the
-    # remaining lengths bounds their cosine
+    A close pair must share a heavy feature (:func:`unit_vectors`), so the join on heavy features is complete. At the first
+    feature two vectors share, all they have in common lies behind: the product of the remaining lengths bounds their cosine.
+    Collapse exact copies before calling this. The result is quadratic in a cluster; for its components use :func:`duplicate_components`."""
+    vectors = unit_vectors(features, cls, ident, feature, weight, threshold)
+    heavy = vectors.filter("heavy").select(cls, ident, "f", "rest")
     same = (F.col(f"x.{cls}") == F.col(f"y.{cls}")) & (F.col("x.f") == F.col("y.f")) & (F.col(f"x.{ident}") < F.col(f"y.{ident}"))
     pairs = heavy.alias("x").join(heavy.alias("y"), same & (F.col("x.rest") * F.col("y.rest") >= threshold * (1 - 1e-9)))
-    pairs = pairs.select(F.col(f"x.{ident}").alias("a"), F.col(f"y.{ident}").alias("b")).distinct()
-    own = features.select(F.col(ident).alias("a"), F.col(feature).alias("_f"), F.col(weight).alias("_wa"))
-    other = features.select(F.col(ident).alias("b"), F.col(feature).alias("_f"), F.col(weight).alias("_wb"))
-    norms = features.groupBy(ident).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("_norm"))
-    dots = pairs.join(own, "a").join(other, ["b", "_f"]).groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_dot"))
-    scored = dots.join(norms.select(F.col(ident).alias("a"), F.col("_norm").alias("_na")), "a").join(
-        norms.select(F.col(ident).alias("b"), F.col("_norm").alias("_nb")), "b"
-    )
-    return scored.select("a", "b", (F.col("_dot") / (F.col("_na") * F.col("_nb"))).alias("cosine")).filter(F.col("cosine") >= threshold)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
-    """Connected components: every node with the smallest node id of its component.
-
-    Labels travel over edges and jump to the label of their label, so long chains close in few
-    rounds. Each round is checkpointed to the shared folder; only a change count reaches the driver."""
-    links = edges.select(F.col(a).alias("n"), F.col(b).alias("m"))
-    links = cut_lineage(links.unionByName(links.select(F.col("m").alias("n"), F.col("n").alias("m"))).distinct())
-    labels = links.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("root"))
-    for _ in range(rounds):
-        near = links.join(labels.select(F.col("n").alias("m"), "root"), "m").groupBy("n").agg(F.min("root").alias("_near"))
-        step = labels.join(near, "n").select("n", F.col("root").alias("_old"), F.least("root", "_near").alias("_new"))
-        jump = step.join(labels.select(F.col("n").alias("_new"), F.col("root").alias("_far")), "_new", "left")
-        updated = cut_lineage(jump.select("n", "_old", F.least("_new", F.coalesce("_far", "_new")).alias("root")))
-        labels = updated.select("n", "root")
-        if updated.filter("root <> _old").limit(1).count() == 0:
-            return labels
-    raise RuntimeError(f"components not settled after {rounds} rounds")
+    pairs = cut_lineage(pairs.select(F.col(f"x.{ident}").alias("a"), F.col(f"y.{ident}").alias("b")).distinct())
+    return cosines(pairs, vectors, cls, ident).filter(F.col("cosine") >= threshold)
+
+
+def _labelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (n, root) after links between nodes have joined their components."""
+    over = links.join(labels.select(F.col("n").alias("a"), F.col("root").alias("ra")), "a").join(labels.select(F.col("n").alias("b"), F.col("root").alias("rb")), "b")
+    merged = components(over.select("ra", "rb"), "ra", "rb").select(F.col("n").alias("root"), F.col("root").alias("_to"))
+    return cut_lineage(labels.join(merged, "root", "left").select("n", F.coalesce("_to", "root").alias("root")))
+
+
+def duplicate_components(features: DataFrame, cls: str, ident: str, feature: str, weight: str, threshold: float = 0.97, rounds: int = 2) -> DataFrame:
+    """(n, root): the components of all pairs that :func:`near_duplicates` would give, for every ident, without making the pairs.
+
+    In each bucket of a heavy feature the members are compared with one leader only; near copies of one text thereby become one
+    component through a row per member. After ``rounds`` of other leaders, what is left to compare are members of different components
+    that share a bucket: a member meets a component's longest rest first, and its members only where that can suffice."""
+    vectors = unit_vectors(features, cls, ident, feature, weight, threshold)
+    bound = threshold * (1 - 1e-9)
+    heavy = cut_lineage(vectors.filter("heavy").select(F.xxhash64(cls, "f").alias("key"), F.col(ident).alias("n"), "rest"))
+    labels = cut_lineage(vectors.select(F.col(ident).alias("n")).distinct().withColumn("root", F.col("n")))
+    for turn in range(rounds):
+        at = heavy.join(labels, "n")
+        leader = at.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "n").alias("h"), F.col("n").alias("b"), F.col("root").alias("rb"), F.col("rest").alias("sb"))).alias("l"))
+        pairs = at.join(leader, "key").filter((F.col("root") != F.col("l.rb")) & (F.col("rest") * F.col("l.sb") >= bound)).select(F.col("n").alias("a"), F.col("l.b").alias("b")).distinct()
+        labels = _labelled(labels, cut_lineage(cosines(cut_lineage(pairs), vectors, cls, ident).filter(F.col("cosine") >= threshold)))
+    at = heavy.join(labels, "n")
+    mixed = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    open_ = cut_lineage(at.join(mixed, "key", "left_semi"))
+    groups = open_.groupBy("key", "root").agg(F.max("rest").alias("most")).withColumnRenamed("root", "other")
+    asked = open_.join(groups, "key").filter((F.col("other") < F.col("root")) & (F.col("rest") * F.col("most") >= bound)).select("key", F.col("n").alias("a"), F.col("rest").alias("sa"), "other")
+    members = open_.select("key", F.col("root").alias("other"), F.col("n").alias("b"), F.col("rest").alias("sb"))
+    pairs = asked.join(members, ["key", "other"]).filter(F.col("sa") * F.col("sb") >= bound).select("a", "b").distinct()
+    return _labelled(labels, cut_lineage(cosines(cut_lineage(pairs), vectors, cls, ident).filter(F.col("cosine") >= threshold)))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components: every node of an edge with the smallest node id of its component, as (n, root).
+
+    Edges are rewired in two steps per round: every node's larger neighbours are tied to its smallest one, then every node is
+    tied to the smallest of its smaller neighbours, which also ties those together. Chains halve, and no node keeps a long
+    list. Each round is a table in the shared folder; a count and a checksum reach the driver, which end the rounds when nothing moves."""
+    links = cut_lineage(edges.select(F.col(a).alias("n"), F.col(b).alias("m")).filter("n <> m").distinct())
+    before = None
+    while True:
+        both = links.unionAll(links.select("m", "n"))
+        least = both.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("to"))
+        large = both.filter("m > n").join(least, "n").select(F.col("m").alias("n"), F.col("to").alias("m")).filter("n <> m")
+        down = large.select(F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m"))
+        lowest = down.groupBy("n").agg(F.min("m").alias("to"))
+        tied = down.join(lowest, "n").filter("m <> to").select(F.col("m").alias("n"), F.col("to").alias("m"))
+        links = cut_lineage(tied.unionAll(lowest.select("n", F.col("to").alias("m"))).distinct())
+        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("n", "m").cast("decimal(38,0)"))).head())
+        if now == before:
+            break
+        before = now
+    roots = links.select("m").distinct().select(F.col("m").alias("n"), F.col("m").alias("root"))
+    return links.select("n", F.col("m").alias("root")).unionAll(roots)
 
 
 def deepest_folder(rows: DataFrame, number: str, folders: DataFrame) -> DataFrame:

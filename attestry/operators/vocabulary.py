@@ -1,10 +1,10 @@
 """Rule vocabularies held in tables.
 
 Aliases, markers, anchors, patterns and repairs are DataFrames of any size, never rows of Python. Literal terms are found
-by an index: every term is entered under its rarest gram of three characters, a text is cut into short parts with a halo, its grams
-meet the terms' grams in one equi join, and a candidate is compared with the text at its offset. So the work is one row per
-character of text, whatever the number of rules, and a row beyond that only where a rare gram of a term stands. Spark
-broadcasts the term table while it measures it as small; a part is at most ``PART`` + 2 * ``longest`` characters, so one
+by an index: every term is entered under its rarest gram of eight characters (of three, if it is shorter), a text is cut into short
+parts with a halo, its grams meet the terms' grams in one equi join per size, and a candidate is compared with the text at its offset. So the work is one row per
+character of text, whatever the number of rules, and a row beyond that only where a rare gram of a term stands. The term
+table is written first, so Spark knows its size and broadcasts it while that is small; a part is at most ``PART`` + 2 * ``longest`` characters, so one
 huge document is as many rows as it needs.
 
 Terms and texts are compared in upper case with white space squashed to single blanks."""
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from attestry.functions import dates as D
 from attestry.functions import text as X
 from attestry.operators import extract as EX
+from attestry.session import cut_lineage
 
-GRAM = 3
+GRAM, LONG_GRAM = 3, 8
 PART = 256
 EVERY_ISSUER = ("", "ALL", "ANY", "*")
 UNKNOWN = "UNKNOWN"
@@ -46,13 +47,13 @@ def _parts(docs: DataFrame, ident: str, text: str, halo: int) -> DataFrame:
     )
 
 
-def _grams(parts: DataFrame) -> DataFrame:
+def _grams(parts: DataFrame, size: int) -> DataFrame:
     """A row per character of the parts' cores, with the gram that begins there."""
     at = parts.withColumn("_at", F.explode(F.sequence(F.lit(1), F.col("_core"))))
-    return at.withColumn("_gram", F.substring(F.col("_body"), F.col("_lead") + F.col("_at"), F.lit(GRAM)))
+    return at.withColumn("_gram", F.substring(F.col("_body"), F.col("_lead") + F.col("_at"), F.lit(size)))
 
 
-def anchored(docs: DataFrame, terms: DataFrame, text: str, longest: int, sample: float) -> DataFrame:
+def anchored(docs: DataFrame, terms: DataFrame, text: str, gram: int, longest: int, sample: float) -> DataFrame:
     """(term, size, gram, offset): each term's gram that is rarest in a sample of the texts. The choice bears on cost alone."""
     if longest > PART:
         raise ValueError(f"terms reach over more than one part of {PART} characters")
@@ -61,9 +62,9 @@ def anchored(docs: DataFrame, terms: DataFrame, text: str, longest: int, sample:
     checked = terms.select(
         F.when(short | long, F.raise_error(F.concat(F.lit(f"a term has {GRAM} to {longest} characters: "), "term")).cast("string")).otherwise(F.col("term")).alias("term")
     )
-    grams = checked.select("term", F.explode(F.sequence(F.lit(0), F.length("term") - GRAM)).alias("offset"))
-    grams = grams.withColumn("gram", F.substring(F.col("term"), F.col("offset") + 1, F.lit(GRAM)))
-    some = _grams(_parts(docs.sample(sample, 7).withColumn("_n", F.lit(0)), "_n", text, 2)).groupBy(F.col("_gram").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+    grams = checked.select("term", F.explode(F.sequence(F.lit(0), F.length("term") - gram)).alias("offset"))
+    grams = grams.withColumn("gram", F.substring(F.col("term"), F.col("offset") + 1, F.lit(gram)))
+    some = _grams(_parts(docs.sample(sample, 7).withColumn("_n", F.lit(0)), "_n", text, gram - 1), gram).groupBy(F.col("_gram").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     rare = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("gram").alias("h"), "offset", "gram")
     best = grams.join(some, "gram", "left").groupBy("term").agg(F.min(rare).alias("b"))
     return best.select("term", F.length("term").alias("size"), F.col("b.gram").alias("gram"), F.col("b.offset").alias("offset"))
@@ -74,12 +75,19 @@ def phrase_hits(docs: DataFrame, vocabulary: DataFrame, ident: str = "doc_id", t
 
     Terms have ``GRAM`` to ``longest`` characters; others raise. Null and empty texts and terms have no hits."""
     terms = vocabulary.select(folded(F.col(term)).alias("term")).filter("term <> ''").distinct()
-    index = anchored(docs, terms, text, longest, sample)
-    met = _grams(_parts(docs, ident, text, longest)).join(index, F.col("_gram") == F.col("gram"))
-    begin = F.col("_lead") + F.col("_at") - F.col("offset")
-    right = (begin >= 1) & (F.substring(F.col("_body"), begin, F.col("size")) == F.col("term"))
-    position = F.col("_part") * PART + F.col("_at") - F.col("offset")
-    return met.filter(right).select(F.col("_id").alias(ident), "term", position.cast("bigint").alias("position"))
+    parts = _parts(docs, ident, text, longest)
+
+    def found(some: DataFrame, size: int) -> DataFrame:
+        # As a written table its size is known when the join is planned; a plan that learns it later would shuffle the grams first.
+        index = cut_lineage(anchored(docs, some, text, size, longest, sample))
+        met = _grams(parts, size).join(index, F.col("_gram") == F.col("gram"))
+        begin = F.col("_lead") + F.col("_at") - F.col("offset")
+        right = (begin >= 1) & (F.substring(F.col("_body"), begin, F.col("size")) == F.col("term"))
+        position = F.col("_part") * PART + F.col("_at") - F.col("offset")
+        return met.filter(right).select(F.col("_id").alias(ident), "term", position.cast("bigint").alias("position"))
+
+    long = F.length("term") >= LONG_GRAM
+    return found(terms.filter(long), LONG_GRAM).unionAll(found(terms.filter(~long), GRAM))
 
 
 def _named(docs: DataFrame, rules: DataFrame, ident: str, text: str, term: str) -> DataFrame:

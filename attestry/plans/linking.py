@@ -8,7 +8,6 @@ from attestry.functions import text as X
 from attestry.operators import linkage as L
 from attestry.operators import rank, reshape, rules
 from attestry.operators import search as S
-from attestry.operators import vocabulary as V
 from attestry.plans.common import WIDE_SQL, wide_master
 from attestry.plans.registry import query, table
 from attestry.session import cut_lineage
@@ -250,11 +249,11 @@ def keyword_scoring(spark, d):
     parts = F.split("material", " ")
     words = table(spark, d, "part").select(F.col("p_name").alias("material")).distinct().select(
         "material", F.inline(F.arrays_zip(parts.alias("word"), F.array(F.lit(18), F.lit(16)).alias("weight")))
-    ).filter(F.length("word") >= 3).select("material", F.upper("word").alias("term"), "weight")
-    docs = table(spark, d, "documents").select(F.struct(F.lit("doc").alias("kind"), F.col("doc_id").alias("id")).alias("ref"), F.col("text").alias("t"))
-    pages = table(spark, d, "pages").select(F.struct(F.lit("page").alias("kind"), F.col("page_id").alias("id")).alias("ref"), F.col("url").alias("t"))
+    ).select("material", F.col("word").alias("term"), "weight")
+    docs = table(spark, d, "documents").select(F.struct(F.lit("doc").alias("kind"), F.col("doc_id").alias("id")).alias("ref"), F.lower("text").alias("t"))
+    pages = table(spark, d, "pages").select(F.struct(F.lit("page").alias("kind"), F.col("page_id").alias("id")).alias("ref"), F.lower("url").alias("t"))
     # read twice: for the best and for the totals
-    hits = cut_lineage(V.phrase_hits(docs.unionByName(pages), words.select("term").distinct(), "ref", "t").select("ref", "term").distinct())
+    hits = cut_lineage(L.contains_join(docs.unionByName(pages), "ref", "t", words, "term", q=3))
     top = S.top_holders(hits, "ref", words, "material", k=5)
     total = S.holder_counts(hits, "ref", words, "material")
     return top.join(total, "material").select("material", "ref.kind", "ref.id", F.col("score").cast("bigint").alias("score"), "total")
@@ -415,12 +414,15 @@ def near_duplicates(spark, d):
     return pairs.withColumn("cosine", F.round("cosine", 6))
 
 
-def duplicate_edges(spark, d):
-    docs = table(spark, d, "documents")
-    near = L.near_duplicates(word_counts(docs), "lang", "doc_id", "word", "w").select("a", "b")
-    first = docs.groupBy("lang", F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("a"))
-    copies = docs.select("lang", F.sha2("text", 256).alias("sha"), F.col("doc_id").alias("b")).join(first, ["lang", "sha"]).filter("a <> b").select("a", "b")
-    return near.unionByName(copies)
+def duplicate_roots(spark, d):
+    """(doc_id, root) of every document that has a near or exact copy. Exact copies are tied to their first one, which stands for
+    them in the comparison."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha"))
+    near = L.duplicate_components(word_counts(table(spark, d, "documents")), "lang", "doc_id", "word", "w")
+    first = docs.groupBy("lang", "sha").agg(F.min("doc_id").alias("n"))
+    placed = docs.join(first, ["lang", "sha"]).join(near, "n", "left").select("doc_id", F.coalesce("root", "n").alias("root"))
+    several = placed.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("root")
+    return placed.join(several, "root").select("doc_id", "root")
 
 
 COMP_SQL = f"""
@@ -434,7 +436,7 @@ comp AS (SELECT n, min(r) AS root FROM walk GROUP BY 1)
 
 @query("jn_17_components", f"WITH RECURSIVE {COMP_SQL} SELECT n AS doc_id, root FROM comp")
 def components(spark, d):
-    return L.components(duplicate_edges(spark, d)).select(F.col("n").alias("doc_id"), "root")
+    return duplicate_roots(spark, d)
 
 
 @query("jn_18_unconfirmed", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")

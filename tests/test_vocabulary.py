@@ -5,7 +5,6 @@ import re
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from attestry.operators import extract as EX
 from attestry.operators import vocabulary as V
@@ -113,9 +112,8 @@ def test_codes_and_repairs_from_tables(spark):
     assert got == {1: (["A-22", "A-1"], "A-22", "BASE"), 2: ([], "", ""), 3: ([], "7/9", "MENDED"), 4: (["5"], "5", "BASE"), 5: ([], "", ""), 6: ([], "", "")}
 
 
-def test_no_rule_reaches_the_driver(spark):
-    docs = spark.createDataFrame([(1, "A", "text", "c", "", "m", "LOW")], "doc_id int, issuer string, text string, cert_no string, expiry string, maker string, parse_status string")
-    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
-    V.apply_rule_table(docs, spark.createDataFrame([rule(k, "date_anchor", "A", "expiry", anchors=[f"label {k}"]) for k in range(100)], RULES))
-    V.issuer_by_alias(docs, docs.select(F.col("text").alias("alias"), "issuer", F.lit(1).alias("priority"), F.lit(1).alias("needed")))
-    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+def test_the_grams_of_the_texts_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "some text here")], "doc_id long, text string")
+    hits = V.phrase_hits(docs, spark.createDataFrame([(f"label {k}",) for k in range(100)] + [("abc",)], "term string"))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
