@@ -5,6 +5,7 @@ its partition. A single text longer than the bound is a slice of its own."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 LENGTH_FACTOR = 0xD6E8FEB86659FD93
+LONG_SPAN = 128
 BYTE_VALUES = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64)
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -76,10 +78,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHashes:
-    """64-bit hashes of any byte spans of one array: equal spans have equal hashes wherever they lie."""
+    """64-bit hashes of any byte spans of one array: equal spans have equal hashes wherever they lie.
+
+    They are polynomials modulo 2**64, which collide on spans of 1,024 bytes and more of a certain build (Thue-Morse strings).
+    ``digests`` does not: it takes spans that hardly overlap, such as words and lines."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
+        self._data = data
         up, self._down = powers(n + 1)
         self._sums = np.zeros(n + 1, U64)
         np.cumsum(BYTE_VALUES[data] * up[:n], out=self._sums[1:])
@@ -88,6 +94,15 @@ class SpanHashes:
         raw = (self._sums[end] - self._sums[start]) * self._down[start]
         return mix(raw + (end - start).astype(U64) * U64(LENGTH_FACTOR))
 
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """As a call, but spans of ``LONG_SPAN`` bytes or more have 64 bits of their BLAKE2b digest. It reads each such span once."""
+        out = self(start, end)
+        far = np.flatnonzero(end - start >= LONG_SPAN)
+        if len(far):
+            each = (hashlib.blake2b(self._data[a:b], digest_size=8).digest() for a, b in zip(start[far].tolist(), end[far].tolist(), strict=True))
+            out[far] = np.frombuffer(b"".join(each), "<u8")
+        return out
+
     def windows(self, width: int) -> np.ndarray:
         """Hash of the ``width`` bytes from each position on, where so many follow."""
         n = len(self._sums) - 1 - width + 1

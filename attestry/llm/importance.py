@@ -64,7 +64,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     full = kind[start] > 0
     start, end = start[full], end[full]
     owner = np.searchsorted(off, start, "right") - 1
-    word = SpanHashes(data)(start, end)
+    word = SpanHashes(data).digests(start, end)
     same = owner[1:] == owner[:-1]
     pair = mix(word[:-1] * U64(3) + word[1:])[same]
     again = (word[2:] == word[:-2]) & (owner[2:] == owner[:-2])

@@ -33,7 +33,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.batches import U64, SpanHashes, mix, slices, utf8, words
@@ -104,7 +104,7 @@ class Sets:
         n = len(off) - 1
         data = _LOWER[data]
         start, end, doc = words(data, off)
-        h = SpanHashes(data)(start, end)
+        h = SpanHashes(data).digests(start, end)
         count = np.bincount(doc, minlength=n)
         gram = h.copy()
         for k in range(1, width):
@@ -268,18 +268,27 @@ def shared_keys(docs: DataFrame, rule: Similar, text: str, buckets: int) -> Data
     return dealt.mapInArrow(find, "key long, node long, need long, leader long")
 
 
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _row_hash(ident: str, text: str) -> Column:
+    return F.xxhash64(F.col(ident), _text_hash(text))
+
+
 def candidate_sets(docs: DataFrame, known: DataFrame, wanted: DataFrame, rule: Similar, ident: str, text: str) -> DataFrame:
     """``wanted`` with (size, tokens) of its nodes, each from one document that has the set."""
-    who = F.struct(F.col(ident).isNotNull().alias("known"), F.col(ident).alias("_id"))
-    first = known.groupBy("node").agg(F.min(who).alias("d"))
+    # A row is found by its id and text together, so rows of one id, or of none, do not meet.
+    first = known.groupBy("node").agg(F.min("_ref").alias("_ref"))
     carried = ["node", "leader", "salts", "lead_salts"]
-    reps = first.join(wanted, "node").select(F.col("d._id").alias("_id"), *carried)
-    found = docs.select(F.col(ident).alias("_doc"), text).join(reps, F.col("_doc").eqNullSafe(F.col("_id"))).select(text, *carried)
+    reps = first.join(wanted, "node").select("_ref", *carried)
+    met = docs.select(_row_hash(ident, text).alias("_ref"), F.col(text)).join(reps, "_ref")
+    found = met.dropDuplicates(["_ref", "node", "leader"]).select(text, *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             sets = Sets(*utf8(part.column(text)), rule.words)
-            right = np.flatnonzero(sets.node == part.column("node").to_numpy(zero_copy_only=False))  # ids may repeat
+            right = np.flatnonzero(sets.node == part.column("node").to_numpy(zero_copy_only=False))  # hashes may collide
             at = pa.array(right)
             tokens = pa.array([sets.of(i).tobytes() for i in right], pa.binary())
             kept = [part.column(c).take(at) for c in carried]
@@ -464,7 +473,10 @@ def _linked(docs: DataFrame, known: DataFrame, rule: Similar, ident: str, text:
 
 def link(docs: DataFrame, rule: Similar = Similar(), ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): the smallest document id reachable by links; null ids stay unless linked to a known one."""
-    named = _linked(docs, cut_lineage(nodes(docs, rule, ident, text)), rule, ident, text)
+    rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
+    marked = rows.select(F.struct("id", _row_hash("id", "text").alias("ref")).alias("who"), "text")
+    known = cut_lineage(nodes(marked, rule, "who", "text")).select(F.col("who.id").alias(ident), F.col("who.ref").alias("_ref"), "n_shingles", "node")
+    named = _linked(rows, known, rule, "id", "text")
     smallest = named.filter("n_shingles > 0").groupBy("_c").agg(F.min(ident).alias("_least"))
     out = named.join(smallest, "_c", "left")
     return out.select(ident, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col(ident)).alias("component_id"))
@@ -476,9 +488,9 @@ def one_of_each(docs: DataFrame, rule: Similar = Similar(), ident: str = "doc_id
     names = docs.columns
     plain = {c: f"_c{i}" for i, c in enumerate(names)}  # so that no column is named like one made here
     rows = docs.toDF(*plain.values())
-    key = F.xxhash64(F.coalesce(F.col(plain[text]), F.lit("")))
+    key = _text_hash(plain[text])
     known = cut_lineage(nodes(rows.select(F.struct(F.col(plain[ident]).alias("id"), key.alias("key")).alias("who"), plain[text]), rule, "who", plain[text]))
-    plain_known = known.select(F.col("who.id").alias(plain[ident]), "who", "n_shingles", "node")
+    plain_known = known.select(F.xxhash64("who.id", "who.key").alias("_ref"), "who", "n_shingles", "node")
     named = _linked(rows, plain_known, rule, plain[ident], plain[text]).filter("n_shingles > 0")
     first = named.groupBy("_c").agg(F.min(F.struct(F.col("who.id").isNull(), "who.id", "who.key")).alias("f"))
     chosen = first.select(F.col("f.id").alias("_id"), F.col("f.key").alias("_key"))

@@ -120,13 +120,13 @@ def base(data: np.ndarray, off: np.ndarray) -> tuple[Texts, np.ndarray]:
     full = spans(inside, ls, le) > 0
     ls, le, ld = ls[full], le[full], ld[full]
     n_lines = np.bincount(ld, minlength=n)
-    key = mix(hashes(ls, le) + ld.astype(U64) * U64(0x9E3779B97F4A7C15))
+    key = mix(hashes.digests(ls, le) + ld.astype(U64) * U64(0x9E3779B97F4A7C15))
     _, first = np.unique(key, return_index=True)
     n_dup_lines = n_lines - np.bincount(ld[first], minlength=n)
 
     covered = np.zeros(len(start), bool)
     if len(start) > 2:
-        h = hashes(start, end)
+        h = hashes.digests(start, end)
         whole = doc[2:] == doc[:-2]
         gram = h[:-2] * U64(3) + mix(h[1:-1]) * U64(5) + mix(h[2:] ^ U64(0x5851F42D4C957F2D))
         at = np.flatnonzero(whole)

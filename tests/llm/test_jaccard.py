@@ -123,3 +123,26 @@ def test_one_document_of_each_component_stays(spark):
 
 def test_empty_table(spark):
     assert jaccard.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_rows_without_an_id_do_not_meet(spark):
+    shared = [f"{w} " * 3 + " ".join(f"s{k}" for k in range(40)) for w in ("a", "b", "c")]
+    rows = [(None, shared[k % 3] + f" t{k % 50}") for k in range(2000)] + [(5, shared[0]), (5, shared[1] + " t1"), (5, "alone in all of the table")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    rule = jaccard.Similar()
+    known = docs.select(jaccard._row_hash("doc_id", "text").alias("_ref"), "doc_id", "text")
+    marked = known.select(jaccard.F.struct("_ref").alias("who"), "text")
+    plain = jaccard.nodes(marked, rule, "who", "text").select(jaccard.F.col("who._ref").alias("_ref"), "n_shingles", "node")
+    wanted = plain.select("node").distinct().selectExpr("node", "node AS leader", "0 AS salts", "0 AS lead_salts")
+    assert jaccard.candidate_sets(docs, plain, wanted, rule, "doc_id", "text").count() == wanted.count()
+    assert sorted((tuple(r) for r in jaccard.link(docs, rule).collect()), key=str) == brute(rows, rule)
+
+
+def test_words_built_to_collide_are_different():
+    import pyarrow as pa
+
+    for n in (10, 11, 12):
+        a = "".join("ab"[k.bit_count() & 1] for k in range(1 << n))
+        b = a.translate(str.maketrans("ab", "ba"))
+        sets = jaccard.Sets(*utf8(pa.array([f"x {a} y z", f"x {b} y z", f"x {a} y z"])), 4)
+        assert sets.node[0] == sets.node[2] != sets.node[1]

@@ -51,5 +51,16 @@ def test_order_is_by_rejections_per_cost(spark):
     assert [x[0] for x in q.estimate(docs)] == [r.name for r in q.RULES]
 
 
+def test_lines_and_words_built_to_collide(spark):
+    rows = []
+    for n in range(7, 13):
+        a = "".join("ab"[k.bit_count() & 1] for k in range(1 << n))
+        b = a.translate(str.maketrans("ab", "ba"))
+        rows += [(n, f"{a}\n{b}\n{a}"), (-n, f"x {a} y x {b} y"), (n, f"{a} " * 3 + f"{b} " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in q.cascade(docs).collect()), key=str)
+    assert got == sorted(((i, *brute(t)) for i, t in rows), key=str)
+
+
 def test_empty_table(spark):
     assert q.cascade(spark.createDataFrame([], "doc_id long, text string")).count() == 0
