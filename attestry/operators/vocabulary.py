@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from attestry.functions import dates as D
 from attestry.functions import text as X
 from attestry.operators import extract as EX
+from attestry.operators import rank
 from attestry.session import cut_lineage
 
 GRAM, LONG_GRAM = 3, 8
@@ -96,6 +97,24 @@ def _named(docs: DataFrame, rules: DataFrame, ident: str, text: str, term: str)
     return seen.join(rules.withColumn("term", folded(F.col(term))), "term")
 
 
+def reference_terms(sent: DataFrame, text: str = "text", shortest: int = 3, longest: int = 80) -> DataFrame:
+    """(term): the distinct phrases between separators in sent texts, in folded form. Null and empty texts have none.
+
+    All texts count and no term is left out, so the table grows with what was sent."""
+    pieces = F.transform(F.split(F.col(text), r"[\n\r,/|;:()\[\]<>]+"), folded)
+    return sent.select(F.explode(pieces).alias("term")).filter(F.length("term").between(shortest, longest)).distinct()
+
+
+def held_terms(docs: DataFrame, terms: DataFrame, ident: str = "doc_id", text: str = "text", most: int = 5) -> DataFrame:
+    """(id, terms): the ``most`` longest terms that the text holds, joined by ', ', equal lengths in alphabetical order.
+
+    Texts without a term have no row. A task ranks only its own ``most`` terms of a text before the shuffle; texts with equal ids are one."""
+    found = phrase_hits(docs, terms, ident, text, longest=160).select(ident, "term").distinct()
+    first = rank.top_per_group(found, [ident], [F.desc(F.length("term")), F.asc("term")], most, "_n")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_n", "term"))), lambda x: x["term"])
+    return first.groupBy(ident).agg(F.array_join(listed, ", ").alias("terms"))
+
+
 def issuer_by_alias(docs: DataFrame, aliases: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, issuer) by an alias table (issuer, alias, priority, needed).
 

@@ -8,6 +8,7 @@ from attestry.functions import text as X
 from attestry.operators import linkage as L
 from attestry.operators import rank, reshape, rules
 from attestry.operators import search as S
+from attestry.operators import vocabulary as V
 from attestry.plans.common import WIDE_SQL, wide_master
 from attestry.plans.registry import query, table
 from attestry.session import cut_lineage
@@ -307,9 +308,14 @@ def folder_chain(spark, d):
     WITH sent AS (SELECT conv_id, min(trim(regexp_replace(lower(split_part(text, '.', 1)), '\s+', ' ', 'g'))) AS subj FROM conversations WHERE turn = 0 GROUP BY conv_id),
     inb AS (SELECT conv_id * 100 + turn AS id, conv_id, turn, lower(text) AS body, CASE WHEN turn % 2 = 0 THEN trim(regexp_replace(lower(split_part(text, '.', 1) || ' / ' || split_part(text, '.', 2)), '\s+', ' ', 'g')) ELSE 'other ' || CAST(turn AS VARCHAR) END AS subj FROM conversations),
     ss AS (SELECT subj, min(conv_id) AS conv FROM sent WHERE length(subj) >= 10 GROUP BY 1),
-    hit AS (SELECT i.id, min(s.conv) AS ref FROM inb i JOIN ss s ON contains(i.subj, s.subj) OR contains(s.subj, i.subj) GROUP BY 1)
-    SELECT i.id, CASE WHEN i.conv_id % 9 = 0 THEN 'exact' WHEN h.ref IS NOT NULL THEN 'probable' WHEN regexp_matches(body, 'certificate|halal') THEN 'unmatched_candidate' WHEN contains(body, 'tion') THEN 'unmatched_candidate' ELSE 'excluded' END AS status,
-      CASE WHEN i.conv_id % 9 = 0 THEN 'REQ-20260630-0000000' || CAST(i.conv_id % 10 AS VARCHAR) WHEN h.ref IS NOT NULL THEN CAST(h.ref AS VARCHAR) ELSE '' END AS matched FROM inb i LEFT JOIN hit h ON h.id = i.id
+    hit AS (SELECT i.id, min(s.conv) AS ref FROM inb i JOIN ss s ON contains(i.subj, s.subj) OR contains(s.subj, i.subj) GROUP BY 1),
+    fold AS (SELECT conv_id * 100 + turn AS id, turn, text, trim(regexp_replace(upper(replace(text, 'ß', 'ss')), '\s+', ' ', 'g')) AS t FROM conversations),
+    piece AS (SELECT trim(regexp_replace(upper(replace(unnest(regexp_split_to_array(text, '[\n\r,/|;:()\[\]<>]+')), 'ß', 'ss')), '\s+', ' ', 'g')) AS term FROM fold WHERE turn = 0),
+    held AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY length(term) DESC, term) AS n FROM fold JOIN (SELECT DISTINCT term FROM piece WHERE length(term) BETWEEN 3 AND 80) ON contains(t, term)),
+    term AS (SELECT id, string_agg(term, ', ' ORDER BY n) AS terms FROM held WHERE n <= 5 GROUP BY 1)
+    SELECT i.id, CASE WHEN i.conv_id % 9 = 0 THEN 'exact' WHEN h.ref IS NOT NULL THEN 'probable' WHEN regexp_matches(body, 'certificate|halal') THEN 'unmatched_candidate' WHEN m.terms IS NOT NULL THEN 'unmatched_candidate' ELSE 'excluded' END AS status,
+      CASE WHEN i.conv_id % 9 = 0 OR h.ref IS NOT NULL OR regexp_matches(body, 'certificate|halal') THEN '' ELSE coalesce(m.terms, '') END AS terms,
+      CASE WHEN i.conv_id % 9 = 0 THEN 'REQ-20260630-0000000' || CAST(i.conv_id % 10 AS VARCHAR) WHEN h.ref IS NOT NULL THEN CAST(h.ref AS VARCHAR) ELSE '' END AS matched FROM inb i LEFT JOIN hit h ON h.id = i.id LEFT JOIN term m ON m.id = i.id
     """,
 )
 def inbound_matching(spark, d):
@@ -325,14 +331,16 @@ def inbound_matching(spark, d):
     around = L.contains_join(sent.select("conv", F.col("subj").alias("t")), "conv", "t", inbound.select("insubj"), "insubj", q=4, shortest=1)
     around = around.join(inbound.select("id", "insubj"), "insubj").select("id", "conv")
     ref = inside.unionByName(around).groupBy("id").agg(F.min("conv").alias("ref"))
-    terms = inbound.filter(F.col("body").rlike("tion"))  # one reference term; larger vocabularies go through contains_join
-    term_hit = terms.select("id").distinct().withColumn("term", F.lit(True))
-    j = inbound.join(ref, "id", "left").join(term_hit, "id", "left")
     rid = X.first_code([F.col("foot")], r"(?i)REQ-\d{8}-[0-9A-F]{8}")
+    j = inbound.join(ref, "id", "left").select("id", "ref", "body", rid.alias("rid"))
+    # only mails that nothing else decides are searched for terms of what was sent
+    keyword = F.col("body").rlike("certificate|halal")
+    terms = V.reference_terms(turns.filter("turn = 0"))
+    j = j.join(V.held_terms(j.filter(F.col("rid").isNull() & F.col("ref").isNull() & ~keyword), terms, "id", "body"), "id", "left")
     status = rules.decide([
-        (rid.isNotNull(), "exact"), (F.col("ref").isNotNull(), "probable"), (F.col("body").rlike("certificate|halal") | F.col("term").isNotNull(), "unmatched_candidate"),
+        (F.col("rid").isNotNull(), "exact"), (F.col("ref").isNotNull(), "probable"), (keyword | F.col("terms").isNotNull(), "unmatched_candidate"),
     ], "excluded")
-    return j.select("id", status.alias("status"), F.coalesce(rid, F.col("ref").cast("string"), F.lit("")).alias("matched"))
+    return j.select("id", status.alias("status"), F.coalesce("terms", F.lit("")).alias("terms"), F.coalesce("rid", F.col("ref").cast("string"), F.lit("")).alias("matched"))
 
 
 @query(

@@ -117,3 +117,21 @@ def test_the_grams_of_the_texts_are_not_shuffled(spark):
     hits = V.phrase_hits(docs, spark.createDataFrame([(f"label {k}",) for k in range(100)] + [("abc",)], "term string"))
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_held_terms_like_brute_force(spark):
+    hot = "common part"
+    sent = [f"Re: {hot}, item {k % 7}; (Maker {k}) / ab\nLine {k}" for k in range(60)] + [None, "", "x,  ,\n", "straße;STRASSE", "y" * 81]
+    terms = {p for t in sent if t for p in map(fold, re.split(r"[\n\r,/|;:()\[\]<>]+", t)) if 3 <= len(p) <= 80}
+    mails = [(k, f"about the {hot} and  maker {k % 90} with line\t{k}, item {k % 9}", "x") for k in range(300)]
+    mails += [(300, None, "x"), (301, "", "x"), (302, "nothing of it", "x"), (303, "die Strasse", "x"), (304, "z " * 20_000 + "maker 12 " + "z" * 30_000, "x"), (None, "line 5", "x"), (5, "item 3", "x")]
+    docs = spark.createDataFrame(mails, "id long, body string, terms string").repartition(5)
+    known = V.reference_terms(spark.createDataFrame([(t, "t") for t in sent], "text string, term string"))
+    assert {r.term for r in known.collect()} == terms and known.count() == len(terms)
+    want = {}
+    for k, body, _ in mails:
+        want.setdefault(k, set()).update(t for t in terms if body and t in fold(body))
+    want = {k: ", ".join(sorted(v, key=lambda t: (-len(t), t))[:5]) for k, v in want.items() if v}
+    got = V.held_terms(docs, known, "id", "body").collect()
+    assert {r.id: r.terms for r in got} == want and len(got) == len(want)
+    assert V.held_terms(docs.limit(0), known, "id", "body").count() == 0 == V.held_terms(docs, known.limit(0), "id", "body").count()
