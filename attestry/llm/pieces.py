@@ -1,9 +1,12 @@
 """Token ids of whole texts, each distinct piece of text encoded once per task as long as it is remembered.
 
-A text whose white space is single blanks and line feeds between other characters is cut into pieces: a word of letters
-(with its blank), the full stop or comma that may end it, a line feed, and anything else between white space. The
-pre-token patterns used here never match across those places, so the ids of the pieces, one after the other, are the
-ids of the text. Any other text is encoded whole."""
+A text whose white space is single blanks and line feeds between other characters is cut at them: a word goes with the
+blank before it, a line feed stands alone, and so does the full stop or comma that ends a word. The pre-token patterns
+used here never match across those places, so the ids of the pieces, one after the other, are the ids of the text. A
+text with stops behind other characters than letters and digits is cut by a pattern that leaves those in one piece. Any
+other text is encoded whole.
+
+A piece is held as a key: the word alone stands for the word behind a blank, ``BARE`` before it says that no blank is there."""
 
 from __future__ import annotations
 
@@ -14,26 +17,44 @@ from itertools import chain
 
 import numpy as np
 
+BARE = "\x05"
 _PIECE = re.compile(r" ?[^\W\d_]+(?=[.,]?(?:[ \n]|\Z))|[.,](?=[ \n]|\Z)|\n| ?[^ \n]+")
+# White space but blanks and line feeds, and the characters that mark places here.
+_OTHER_SPACE = re.compile(r"[\x01\x05\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_EDGES = (" ", "\n")
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
+# A stop that may belong to the characters before it.
+_ODD_STOP = re.compile(r"[.,](?<=[\W_].)(?=[ \n])")
 # The same where white space only separates, and is never part of a piece.
 _BARE_ODD = re.compile(r"[\x01\x1c-\x1f]")
 # Capitals that a mark may follow: normalisation composes before it lowers, and some pairs compose in lower case only.
 _BARE_CAPITAL = re.compile(r"[A-Z][^\x00-\x7f]")
 # A stop is cut off only behind letters that no normalisation turns into a letter and a mark.
-_BARE_PIECE = re.compile(r"[^\W\d_]*[a-z\u00e0-\u012f\u0131-\u024f](?=[.,]?(?:\s|\Z))|(?<=[a-z\u00e0-\u012f\u0131-\u024f])[.,](?=\s|\Z)|\S+")
+_LATIN = "a-z\u00e0-\u00f6\u00f8-\u012f\u0131-\u024f"
+_BARE_PIECE = re.compile(rf"[^\W\d_]*[{_LATIN}](?=[.,]?(?:\s|\Z))|(?<=[{_LATIN}])[.,](?=\s|\Z)|\S+")
+_BARE_ODD_STOP = re.compile(rf"[.,](?<=[^{_LATIN}].)(?=[ \n])")
 LONG_PIECE = 64
 KEPT_PIECES = 800_000
 MARKED = 100
 
 
 def pieces(text: str) -> list[str] | None:
-    """Pieces that may be encoded alone (a blank stays with what follows it), or None."""
+    """Keys of pieces that may be encoded alone, or None."""
     if not text:
         return []
-    words, gaps = text.split(), text.count(" ") + text.count("\n")
-    # As many single blanks and line feeds as gaps between words, and no other white space.
-    simple = len(words) == gaps + 1 and len(text) == gaps + sum(map(len, words)) and "\x01" not in text
-    return _PIECE.findall(text) if simple else None
+    if text.startswith(_EDGES) or text.endswith(_EDGES) or any(x in text for x in _DOUBLE) or _OTHER_SPACE.search(text):
+        return None
+    marked = f"{BARE}{text} "
+    if _ODD_STOP.search(marked):
+        return [x[1:] if x[0] == " " else x if x == "\n" else BARE + x for x in _PIECE.findall(text)]
+    keys = marked.replace("\n", f" \n {BARE}").replace(". ", f" {BARE}. ").replace(", ", f" {BARE}, ").split(" ")
+    keys.pop()
+    return keys
+
+
+def spelled(key: str) -> str:
+    """The piece that a key stands for."""
+    return key[1:] if key[0] == BARE else key if key == "\n" else " " + key
 
 
 def bare_pieces(text: str) -> list[str] | None:
@@ -42,7 +63,10 @@ def bare_pieces(text: str) -> list[str] | None:
     # 0xCC and 0xCD begin the marks that compose with Latin letters.
     if _BARE_ODD.search(text) or (b"\xcc" in raw or b"\xcd" in raw) and _BARE_CAPITAL.search(text):
         return None
-    return _BARE_PIECE.findall(raw.decode())
+    low = raw.decode() + " "
+    if _BARE_ODD_STOP.search(low):
+        return _BARE_PIECE.findall(low)
+    return low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n").split()
 
 
 def around(added: Sequence[str], cut: Callable[[str], list[str] | None]) -> Callable[[str], list[str] | None]:
@@ -59,9 +83,9 @@ def around(added: Sequence[str], cut: Callable[[str], list[str] | None]) -> Call
 class Encoder:
     """``encode_batch`` takes texts and gives their ids; it must treat pieces as the module text says."""
 
-    def __init__(self, encode_batch: Callable[[list[str]], Iterable[Sequence[int]]], cut: Callable[[str], list[str] | None] = pieces, mark: str | None = None, kept: int = KEPT_PIECES):
-        """``kept``: pieces to remember, some 200 bytes each. ``mark``: a string that keeps apart what stands before and behind it, so that many pieces are encoded in one call."""
-        self._encode, self._cut = encode_batch, cut
+    def __init__(self, encode_batch: Callable[[list[str]], Iterable[Sequence[int]]], cut: Callable[[str], list[str] | None] = pieces, spell: Callable[[str], str] = spelled, mark: str | None = None, kept: int = KEPT_PIECES):
+        """``spell`` gives the piece for a key that ``cut`` made. ``kept``: pieces to remember, some 200 bytes each. ``mark``: a string that keeps apart what stands before and behind it, so that many pieces are encoded in one call."""
+        self._encode, self._cut, self._spell = encode_batch, cut, spell
         self._known: dict[str, bytes] = {}
         self._mark, self._kept = mark, kept
         if mark is not None:
@@ -88,14 +112,24 @@ class Encoder:
         if len(self._known) > self._kept:
             self._known = {}
         known = self._known
-        new = list(set(chain.from_iterable(x for x in cut if x)).difference(known))
-        feed = [x for x in new if x == "\n"]
-        if feed and self._mark is not None:
+        keys = list(chain.from_iterable(x for x in cut if x))
+        raw = list(map(known.get, keys))
+        missing = [k for k, x in enumerate(raw) if x is None]
+        new = list({keys[k] for k in missing})
+        if "\n" in new and self._mark is not None:
             known["\n"] = np.asarray(next(iter(self._encode(["\n"]))), "<u4").tobytes()
             new.remove("\n")
-        known.update(zip(new, self._each(new), strict=True))
+        known.update(zip(new, self._each([self._spell(x) for x in new]), strict=True))
+        for k in missing:
+            raw[k] = known[keys[k]]
         whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]) if None in cut else [])
-        out = [np.asarray(next(whole), "<u4") if c is None else np.frombuffer(b"".join(map(known.__getitem__, c)), "<u4") for c in cut]
+        out, at = [], 0
+        for c in cut:
+            if c is None:
+                out.append(np.asarray(next(whole), "<u4"))
+                continue
+            out.append(np.frombuffer(b"".join(raw[at : at + len(c)]), "<u4"))
+            at += len(c)
         for x in new:
             if len(x) > LONG_PIECE:
                 del known[x]
@@ -118,4 +152,6 @@ def library_encoder(path: str, bare: bool = False, kept: int = KEPT_PIECES) -> E
     tokenizer.no_padding()
     encode = lambda texts: (x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
     added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    return Encoder(encode, around(added, bare_pieces), " \x01 ", kept) if bare else Encoder(encode, around(added, pieces), "\n\x01\n", kept)
+    if bare:
+        return Encoder(encode, around(added, bare_pieces), str, " \x01 ", kept)
+    return Encoder(encode, around(added, pieces), spelled, "\n\x01\n", kept)
