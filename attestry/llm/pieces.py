@@ -87,6 +87,7 @@ class Encoder:
         """``spell`` gives the piece for a key that ``cut`` made. ``kept``: pieces to remember, some 200 bytes each. ``mark``: a string that keeps apart what stands before and behind it, so that many pieces are encoded in one call."""
         self._encode, self._cut, self._spell = encode_batch, cut, spell
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._mark, self._kept = mark, kept
         if mark is not None:
             ids = next(iter(encode_batch([mark])))
@@ -109,13 +110,19 @@ class Encoder:
     def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._cut(t) for t in texts]
-        if len(self._known) > self._kept:
-            self._known = {}
-        known = self._known
+        # Two generations: a piece that is met again moves into the younger one, the rest is forgotten with the older one.
+        if 2 * len(self._known) > self._kept:
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
         keys = list(chain.from_iterable(x for x in cut if x))
         raw = list(map(known.get, keys))
         missing = [k for k, x in enumerate(raw) if x is None]
-        new = list({keys[k] for k in missing})
+        new = []
+        for x in {keys[k] for k in missing}:
+            if x in older:
+                known[x] = older[x]
+            else:
+                new.append(x)
         if "\n" in new and self._mark is not None:
             known["\n"] = np.asarray(next(iter(self._encode(["\n"]))), "<u4").tobytes()
             new.remove("\n")
@@ -152,6 +159,7 @@ def library_encoder(path: str, bare: bool = False, kept: int = KEPT_PIECES) -> E
     tokenizer.no_padding()
     encode = lambda texts: (x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
     added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    # No piece holds white space, so a line feed is a pre-token of its own between any two.
     if bare:
         return Encoder(encode, around(added, bare_pieces), str, " \x01 ", kept)
-    return Encoder(encode, around(added, pieces), spelled, "\n\x01\n", kept)
+    return Encoder(encode, around(added, pieces), spelled, "\n", kept)

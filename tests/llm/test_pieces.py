@@ -63,9 +63,9 @@ def test_added_tokens_in_a_text(name):
 
 
 @pytest.mark.parametrize("name", FILES)
-def test_forgetting_changes_nothing(name, monkeypatch):
-    monkeypatch.setattr(pieces, "KEPT_PIECES", 3)
-    encode = pieces.library_encoder(P.path(name), FILES[name])
+def test_forgetting_changes_nothing(name):
+    encode = pieces.library_encoder(P.path(name), FILES[name], kept=6)
     for k in range(6):
         texts = [f"some words, {k} and\nmore. The {'x' * 90}", "some words."]
         assert [x.tolist() for x in encode(texts)] == [PLAIN[name].encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encode._known) + len(encode._older) <= 6 + 2 * 8
