@@ -60,6 +60,12 @@ def test_dates_in_document_order(spark):
     assert [str(r["date"]) for r in found] == ["2031-05-09", "2026-04-17", "2033-03-07"]
 
 
+def test_addresses_are_no_dates(spark):
+    text = "from 10.11.12.13 or 25.10.11.12, version 3.24.01.02 and 24.01.02. 23.10.9"
+    assert [str(r["date"]) for r in one(spark, D.find_dates(F.lit(text)))] == ["2024-01-02", "2023-10-09"]
+    assert one(spark, D.parse_date_text(F.lit("10.11.12.13"))) is None
+
+
 def test_label_offsets_survive_case_changes(spark):
     text = "Straße " * 60 + "valid UNTIL 2027-01-05"
     assert str(one(spark, D.date_after(F.lit(text), ["VALID UNTIL"]))) == "2027-01-05"
