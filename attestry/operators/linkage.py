@@ -4,7 +4,7 @@
 * similarity: two keys within the threshold share one of their rarest bigrams (prefix filter),
   which is exact for the thresholds allowed here;
 * cosine: two vectors within the threshold share a feature of their heavy prefix, also exact;
-* weighted linkage: per combination of equal fields only the first k master rows can matter.
+* weighted linkage: the master rows of one number or name lie in one row; in hot groups only the first k per combination of equal fields can matter.
 
 Keys are made distinct before any pairing, so a repeated key costs one row however often it occurs."""
 
@@ -132,17 +132,51 @@ def resolve_receivers(suppliers: DataFrame, overrides: DataFrame, candidates: Da
     return out.select(*suppliers.columns, answer.alias("_r")).select(*suppliers.columns, "_r.to", "_r.source", "_r.score")
 
 
+GROUP_ROWS = 128  # up to here the master rows of one number or name lie in one row
+
+
 def top_matches(
     items: DataFrame, item_id: str, master: DataFrame, order: Sequence[str], weights: Mapping[str, int], anchors: Sequence[str], k: int = 5
 ) -> DataFrame:
-    """The k best master rows per item by the sum of the weights of equal fields; ties by ``order``.
+    """The k best master rows per item by the sum of the weights of equal fields; ties by ``order``, which names a master row.
 
-    A match must share an anchor field (number or name). For a set S of equal fields only the first
-    k master rows with the item's values in S can reach the top k: whatever equals in S scores at
-    least as much and comes earlier. So both sides are keyed by every set with an anchor, and each
-    key keeps k master rows before the join. No key ever pairs a hot group with a hot group."""
+    A match must share an anchor field (number or name). Master rows with the same anchor are packed into one row, an item meets its
+    pack and takes the k best in its own row. Anchors of more than ``GROUP_ROWS`` master rows are not packed but go by
+    :func:`_hot_matches`, so no key ever pairs a hot group with a hot group. Both ways are exact."""
+    names = list(weights)
+    master = cut_lineage(master.select(*order, *names))
+    packed = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(n).alias(f"f{i}") for i, n in enumerate(names)])
+    found = []
+    for anchor in anchors:
+        known = master.filter(F.col(anchor).isNotNull())
+        hot = cut_lineage(known.groupBy(anchor).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GROUP_ROWS).select(anchor))
+        packs = known.join(hot, anchor, "left_anti").groupBy(F.col(anchor).alias("_anchor")).agg(F.collect_list(packed).alias("_m"))
+
+        def scored(m: Column) -> Column:
+            equal = [F.coalesce(F.col(n) == m[f"f{i}"], F.lit(False)) for i, n in enumerate(names)]
+            score = sum((F.when(e, F.lit(w)).otherwise(F.lit(0)) for e, w in zip(equal, weights.values(), strict=True)), F.lit(0))
+            return F.struct((-score).alias("_neg"), *[m[f"o{i}"].alias(c) for i, c in enumerate(order)], *[e.alias(f"same_{n}") for e, n in zip(equal, names, strict=True)])
+
+        met = items.select(item_id, *names).join(packs, F.col(anchor) == F.col("_anchor"))
+        best = met.select(item_id, F.inline(F.slice(F.array_sort(F.transform("_m", scored)), 1, k)))
+        found.append(best.select(item_id, *order, (-F.col("_neg")).alias("score"), *[f"same_{n}" for n in names]))
+        if not hot.isEmpty():
+            some = items.select(item_id, *names).join(hot, anchor, "left_semi")
+            found.append(_hot_matches(some, item_id, known.join(hot, anchor, "left_semi"), order, weights, anchor, k))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return rank.top_per_group(out.distinct(), [item_id], [F.desc("score"), *[F.asc(c) for c in order]], k, "rank_no")
+
+
+def _hot_matches(items: DataFrame, item_id: str, master: DataFrame, order: Sequence[str], weights: Mapping[str, int], anchor: str, k: int) -> DataFrame:
+    """Candidates that hold the k best master rows per item among those with the item's ``anchor``.
+
+    For a set S of equal fields only the first k master rows with the item's values in S can reach the top k: whatever equals in S
+    scores at least as much and comes earlier. So both sides are keyed by every set with the anchor, and each key keeps k master
+    rows before the join."""
     names = list(weights)
-    masks = [m for m in range(1, 1 << len(names)) if any(m >> names.index(a) & 1 for a in anchors)]
+    masks = [m for m in range(1, 1 << len(names)) if m >> names.index(anchor) & 1]
 
     def keyed(df: DataFrame, keep: Sequence[str], side: str) -> DataFrame:
         mask = F.col("_mask")
@@ -159,8 +193,7 @@ def top_matches(
     equal = {n: F.coalesce(F.col(f"_i_{n}") == F.col(f"_m_{n}"), F.lit(False)) for n in names}
     score = sum((F.when(equal[n], F.lit(w)).otherwise(F.lit(0)) for n, w in weights.items()), F.lit(0))
     scored = full.select(item_id, *order, score.alias("score"), *[equal[n].alias(f"same_{n}") for n in names])
-    anchored = scored.filter(" or ".join(f"same_{a}" for a in anchors))  # a hash may collide, a match may not
-    return rank.top_per_group(anchored, [item_id], [F.desc("score"), *[F.asc(c) for c in order]], k, "rank_no")
+    return scored.filter(f"same_{anchor}")  # a hash may collide, a match may not
 
 
 def grade_pairs(pairs: DataFrame, weights: Mapping[str, int], maker: str, products: Sequence[str]) -> DataFrame:

@@ -376,6 +376,23 @@ def test_top_matches_with_hot_group(spark):
     assert names == list(weights)
 
 
+def test_top_matches_pack_small_groups(spark, monkeypatch):
+    """Small groups are not multiplied by the sets of equal fields; packed and hot groups give the same rows."""
+    rnd = random.Random(9)
+    row = lambda i: (i, rnd.choice([None, f"c{i % 50}"]), f"n{i % 60}", rnd.choice([None, "m1", "m2"]), f"o{i % 3}")
+    m = spark.createDataFrame([row(i) for i in range(400)], "pos int, cert string, name string, maker string, org string")
+    it = spark.createDataFrame([row(i) for i in range(120)], "item int, cert string, name string, maker string, org string")
+    weights = {"cert": 120, "name": 90, "maker": 60, "org": 35}
+    match = lambda: L.top_matches(it, "item", m, ["pos"], weights, ["cert", "name"], 3)
+    small = match()
+    assert "_mask" not in small._jdf.queryExecution().optimizedPlan().toString()
+    want = rows(small)
+    monkeypatch.setattr(L, "GROUP_ROWS", 6)
+    mixed = match()
+    assert "_mask" in mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(mixed) == want and len(want) > 120
+
+
 # --- extraction ------------------------------------------------------------------------------
 
 
