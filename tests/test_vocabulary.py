@@ -5,6 +5,7 @@ import re
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from attestry.operators import extract as EX
 from attestry.operators import vocabulary as V
@@ -135,3 +136,15 @@ def test_held_terms_like_brute_force(spark):
     got = V.held_terms(docs, known, "id", "body").collect()
     assert {r.id: r.terms for r in got} == want and len(got) == len(want)
     assert V.held_terms(docs.limit(0), known, "id", "body").count() == 0 == V.held_terms(docs, known.limit(0), "id", "body").count()
+
+
+def test_characters_that_begin_no_term_make_no_row(spark):
+    """Only places whose gram the index knows become rows, with the text that a term can need and no more."""
+    docs = spark.createDataFrame([(1, "no such thing here, " * 400 + "green apples of autumn")], "doc_id long, text string")
+    terms = spark.createDataFrame([("green apples",)], "term string")
+    index = V.anchored(docs, terms.select(V.folded(F.col("term")).alias("term")), "text", V.LONG_GRAM, 100, 1.0)
+    bits, words = V._bits(index, 1)
+    likely = V._likely(V._parts(docs, "doc_id", "text", 12), V.LONG_GRAM, bits, words, 12, 12)
+    made = likely.select("_near").collect()
+    assert 1 <= len(made) < 400 and max(len(r[0]) for r in made) <= 24
+    assert [tuple(r) for r in V.phrase_hits(docs, terms).collect()] == [(1, "GREEN APPLES", 8001)]
