@@ -410,14 +410,16 @@ def marker_windows(spark, d):
 @query(
     "prj_23_weighted_text",
     r"""
-    WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS a FROM documents)
-    SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_concat([coalesce(a[1], ''), coalesce(a[1], ''), coalesce(a[1], '')], a[2:]), ' '), '\s+', ' ', 'g'))) AS digest FROM p
+    WITH c AS (SELECT conv_id, string_agg(trim(regexp_replace(text, '\s+', ' ', 'g')), chr(12) ORDER BY turn, text) AS t FROM conversations GROUP BY conv_id),
+    p AS (SELECT conv_id, list_filter(string_split(t, chr(12)), lambda x: x <> '') AS a FROM c)
+    SELECT conv_id, md5(trim(regexp_replace(array_to_string(list_concat([coalesce(a[1], ''), coalesce(a[1], ''), coalesce(a[1], '')], a[2:]), ' '), '\s+', ' ', 'g'))) AS digest FROM p
     """,
 )
 def weighted_text(spark, d):
-    # the lines of a document stand for its pages; they lie in the row
-    pages = F.split("text", "\n")
-    return table(spark, d, "documents").select("doc_id", F.md5(rules.weighted_text(pages)).alias("digest"))
+    # the turns of a conversation stand for the pages of a document; all of them count, whole
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    pages = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(turns, lambda p: p["text"]).alias("pages"))
+    return pages.select("conv_id", F.md5(rules.weighted_text(F.col("pages"))).alias("digest"))
 
 
 @query(

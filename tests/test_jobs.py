@@ -183,3 +183,16 @@ def test_html_entities(spark):
     df = spark.createDataFrame([(k, s) for k, s in enumerate([*samples, None])], "k int, s string")
     got = [r[0] for r in df.orderBy("k").select(X.unescape_html(F.col("s"))).collect()]
     assert got == [*map(html.unescape, samples), None]
+
+
+def test_weighted_text_takes_every_turn_whole(spark, tmp_path):
+    from hashlib import md5
+
+    from __spark_entry__ import queries
+
+    turns = [(1, t, f"turn {t}  " + "x" * (9000 if t == 0 else 900)) for t in range(8)] + [(2, 0, None), (2, 1, " \n"), (3, 1, "late"), (3, 0, "first")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = dict(queries()["prj_23_weighted_text"](spark, str(tmp_path)).collect())
+    pages = [" ".join(text.split()) for _, _, text in turns[:8]]
+    want = {1: " ".join([pages[0]] * 3 + pages[1:]), 2: "", 3: "first first first late"}
+    assert got == {k: md5(v.encode()).hexdigest() for k, v in want.items()}
