@@ -105,6 +105,15 @@ def test_balanced_weights(spark):
     assert sums["a"] == pytest.approx(sums["b"]) == pytest.approx(4.0)
 
 
+def test_weights_and_vectors_move_no_rows(spark):
+    df = spark.createDataFrame([("a", ["x"])] * 6 + [("b", ["y"])] * 2 + [(None, ["z"])], "label string, grams array<string>").repartition(3 * spark.sparkContext.defaultParallelism)
+    plan = ML.balanced(df, "label")._jdf.queryExecution().sparkPlan().toString().split("Subquery")[0]
+    assert "Join" not in plan and ML.balanced(df, "label").count() == 8
+    files = ML.hashed(df, features=16).inputFiles()
+    assert len(files) > 1 and ML.hashed(df.coalesce(1), features=16).count() == 9
+    assert len(ML.hashed(spark.range(0, 1000, 1, 40).withColumn("grams", F.array(F.lit("x"))), features=16).inputFiles()) == 40
+
+
 def test_classifier_learns_and_flags_doubt(spark):
     rows = [(i, "en" if i % 2 else "de", ("the house and the sea " if i % 2 else "das haus und die see ") * 3 + str(i)) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id int, lang string, text string")
