@@ -192,9 +192,9 @@ def flat_summary(spark, d):
     """,
 )
 def keywords(spark, d):
-    long = reshape.flatten_master(wide_master(spark, d))
+    rows = reshape.master_levels(wide_master(spark, d))
     weights = {"cert_no": 60, "english_name": 18, "name": 16, "maker": 12, "org": 8, "supplier": 6}
-    return reshape.weighted_keywords(long, "row_pos", weights).withColumn("weight", F.col("weight").cast("bigint"))
+    return reshape.weighted_keywords(rows, "row_pos", weights).withColumn("weight", F.col("weight").cast("bigint"))
 
 
 # Table-specific patterns of the demo: phone and card numbers stand for certificate numbers.

@@ -214,3 +214,12 @@ def test_token_arrays_are_made_once(spark):
     out = df.select(X.token_set_score(X.company_tokens(F.col("a")), X.company_tokens(F.col("b"))).alias("s"))
     assert [r["s"] for r in out.collect()] == [1.0, 0.0]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("COMPANY|CORP|") == 2
+
+
+def test_keywords_of_a_material_are_distinct_in_its_row(spark):
+    from attestry.operators import reshape
+
+    rows = spark.createDataFrame([(1, "S", [("AB", "x"), ("ab", "Yz"), ("Cd", "-")])], "k int, supplier string, levels array<struct<name:string,org:string>>")
+    out = reshape.weighted_keywords(rows, "k", {"name": 16, "org": 8, "supplier": 6})
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "name", "ab", 16), (1, "name", "cd", 16), (1, "org", "yz", 8)]
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
