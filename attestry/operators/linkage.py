@@ -231,29 +231,76 @@ def link_status(matches: DataFrame, item_id: str, gap: int = 25) -> DataFrame:
 MAX_CLASSES = 2000  # issuers known to the template store; checked, not assumed
 
 
-def class_scores(targets: DataFrame, refs: DataFrame, ident: str, cls: str, similarity, chunk: int = 2048) -> DataFrame:
-    """Score of each target against each class: .7 best + .3 mean of the three best references.
-
-    References are packed into arrays of about ``chunk`` per class. A target meets packs, not single
-    references, and leaves each with three numbers, so no pair is ever a row. The packs are small
-    against the targets; Spark broadcasts them after checking their size and shuffles otherwise.
-    The target itself is never its own reference. ``similarity`` is a column function."""
-    sizes = [(r[0], max(1, -(-r[1] // chunk))) for r in refs.groupBy(cls).count().limit(MAX_CLASSES + 1).collect()]
+PACK, SLOTS = 1 << 15, 16  # references that a task holds at a time, and shares of the targets that meet them
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by (class, pack, slot): references first, then the targets that meet them. The three best likenesses of each target."""
+    current, refs, ids, sigs = None, [], np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    for batch in batches:
+        cls, pack, slot, target = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_cls", "_pack", "_slot", "_target"))
+        ident, known = batch.column("_id").to_numpy(zero_copy_only=False), batch.column("sig").is_valid().to_numpy(zero_copy_only=False)
+        sig = batch.column("sig").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        cut = np.flatnonzero((cls[1:] != cls[:-1]) | (pack[1:] != pack[:-1]) | (slot[1:] != slot[:-1]) | (target[1:] != target[:-1])) + 1
+        rows, best = [], []
+        for low, high in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+            if low == high:
+                continue
+            key = (cls[low], pack[low], slot[low])
+            if key != current:
+                current, refs, ids, sigs = key, [], np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            if not target[low]:
+                own = low + np.flatnonzero(known[low:high])
+                refs.append((ident[own], sig[own]))
+                continue
+            if refs:
+                ids, sigs = (np.concatenate(x) for x in zip((ids, sigs), *refs, strict=True))
+                order = np.argsort(ids, kind="stable")
+                ids, sigs, refs = ids[order], sigs[order], []
+            for at in range(low, high, 64):
+                to = min(at + 64, high)
+                far = np.bitwise_count(sig[at:to, None] ^ sigs[None, :])
+                first, last = np.searchsorted(ids, ident[at:to]), np.searchsorted(ids, ident[at:to], "right")
+                for i in np.flatnonzero(last > first):
+                    far[i, first[i] : last[i]] = 255  # no target is its own reference
+                three = np.full((to - at, 3), 255, np.uint8)
+                here = np.arange(to - at)
+                for k in range(min(3, len(sigs))):
+                    place = far.argmin(axis=1)
+                    three[:, k] = far[here, place]
+                    far[here, place] = 255
+                rows.append(np.arange(at, to))
+                best += [[1 - d / 64 for d in t if d != 255] if ok else [None] for t, ok in zip(three.tolist(), known[at:to].tolist(), strict=True)]
+        if rows:
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(at), batch.column("_cls").take(at), pa.array(best, pa.list_(pa.float64()))], names=["_id", "_cls", "_best"])
+
+
+def class_scores(targets: DataFrame, refs: DataFrame, ident: str, cls: str) -> DataFrame:
+    """Score of each target against each class: .7 best + .3 mean of the three best references, by the share of equal bits of the
+    64-bit signatures ``sig``. Idents and classes are whole numbers.
+
+    Every target meets every reference, so the work is quadratic, in blocks of bits: references lie in packs of at most about ``PACK`` of
+    one class, targets in ``SLOTS`` shares pass each pack in a task and leave with three numbers. No pair is ever a row, and a
+    task holds one pack. The target itself is never its own reference."""
+    sizes = [(r[0], max(1, -(-r[1] // PACK))) for r in refs.filter(F.col(cls).isNotNull()).groupBy(cls).count().limit(MAX_CLASSES + 1).collect()]
     if len(sizes) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
-    kind = refs.schema[cls].dataType
-    count_of = F.create_map(*[F.lit(x) for pair in sizes for x in pair])
-    slot = F.pmod(F.xxhash64(ident), count_of[F.col(cls)]).cast("int")
-    packs = refs.withColumn("_pack", slot).groupBy(cls, "_pack").agg(
-        F.collect_list(F.struct(F.col(ident).alias("i"), F.col("sig").alias("s"))).alias("_refs")
-    )
-    route = F.array(*[F.struct(F.lit(c).cast(kind).alias(cls), F.lit(n).alias("_pack")) for c, packs_n in sizes for n in range(packs_n)])
-    met = targets.select(ident, "sig", F.inline(route)).join(packs, [cls, "_pack"])
-    others = F.filter("_refs", lambda r: r["i"] != F.col(ident))
-    best = F.slice(F.sort_array(F.transform(others, lambda r: similarity(F.col("sig"), r["s"])), asc=False), 1, 3)
-    partial = met.select(ident, cls, F.explode(best).alias("s"))
-    three = rank.top_per_group(partial, [ident, cls], [F.desc("s")], 3, "_n")
-    return three.groupBy(ident, cls).agg((0.7 * F.max("s") + 0.3 * F.avg("s")).alias("score"))
+    if not sizes:
+        return targets.select(ident, F.lit(None).cast(refs.schema[cls].dataType).alias(cls), F.lit(0.0).alias("score")).limit(0)
+    packs = F.create_map(*[F.lit(x) for pair in sizes for x in pair])
+    key = F.col(cls).cast("bigint").alias("_cls")
+    held = refs.filter(F.col(cls).isNotNull()).select(key, F.pmod(F.xxhash64(ident), packs[F.col(cls)]).cast("int").alias("_pack"), F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("_slot"), F.lit(False).alias("_target"), F.col(ident).cast("bigint").alias("_id"), "sig")
+    route = F.array(*[F.struct(F.lit(c).cast("bigint").alias("_cls"), F.lit(n).alias("_pack")) for c, many in sizes for n in range(many)])
+    asked = targets.select(F.inline(route), F.pmod(F.xxhash64(ident, F.lit(1)), F.lit(SLOTS)).cast("int").alias("_slot"), F.lit(True).alias("_target"), F.col(ident).cast("bigint").alias("_id"), "sig")
+    by = ["_cls", "_pack", "_slot"]
+    partitions = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = held.unionByName(asked.select(*held.columns)).repartition(partitions, *by).sortWithinPartitions(*by, "_target")
+    found = met.mapInArrow(_nearest, "_id long, _cls long, _best array<double>").filter(F.size("_best") > 0)
+    three = found.groupBy("_id", "_cls").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_best")), asc=False), 1, 3).alias("_b"))
+    mean = F.aggregate("_b", F.lit(0.0), lambda x, y: x + y) / F.size("_b")
+    kinds = {c: refs.schema[c].dataType for c in (ident, cls)}
+    return three.select(F.col("_id").cast(kinds[ident]).alias(ident), F.col("_cls").cast(kinds[cls]).alias(cls), (0.7 * F.col("_b")[0] + 0.3 * mean).alias("score"))
 
 
 def near_duplicates(features: DataFrame, cls: str, ident: str, feature: str, weight: str, threshold: float = 0.97) -> DataFrame:

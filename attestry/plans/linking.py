@@ -382,7 +382,7 @@ def product_links(spark, d):
 def signature_class(spark, d):
     bits = F.aggregate(F.transform("embedding", lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
     sigs = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("cls"), bits.alias("sig"))
-    scores = L.class_scores(sigs.select("vec_id", "sig"), sigs, "vec_id", "cls", lambda a, b: 1 - F.bit_count(a.bitwiseXOR(b)) / 64)
+    scores = L.class_scores(sigs.select("vec_id", "sig"), sigs, "vec_id", "cls")
     top = rank.top_two(scores.withColumn("score", F.round("score", 6)), ["vec_id"], "score", "cls")
     margin = F.round("margin", 6)
     decision = rules.decide([((F.col("top_score") >= 0.82) & (margin >= 0.07), "AUTO_IMAGE"), ((F.col("top_score") < 0.7) | (margin < 0.04), "MANUAL_REVIEW")], "REVIEW")

@@ -68,3 +68,20 @@ def test_no_word_of_a_text_becomes_a_row(spark):
     distinct = sum(len(set(t.split())) for _, _, t in rows)
     assert known.heavy.count() < distinct / 5
     assert known.of(known.names).count() == 60
+
+
+def test_class_scores_take_the_three_best_of_every_class(spark, monkeypatch):
+    """Blocks of signatures against pairs one by one, with packs of few references, a class of one member and a class left out."""
+    rnd = random.Random(9)
+    data = [(i, None if i == 7 else 5 if i == 0 else rnd.randrange(3), rnd.getrandbits(64) - (1 << 63)) for i in range(150)]
+    monkeypatch.setattr(L, "PACK", 20)
+    df = spark.createDataFrame(data, "id long, cls long, sig long")
+    want = {}
+    for i, _, s in data:
+        for c in {c for _, c, _ in data if c is not None}:
+            best = sorted((1 - bin((s ^ t) & (2**64 - 1)).count("1") / 64 for j, k, t in data if k == c and j != i), reverse=True)[:3]
+            if best:
+                want[i, c] = round(0.7 * best[0] + 0.3 * sum(best) / len(best), 9)
+    assert (0, 5) not in want
+    got = L.class_scores(df.select("id", "sig"), df, "id", "cls").collect()
+    assert {(r["id"], r["cls"]): round(r["score"], 9) for r in got} == want and len(got) == len(want)
