@@ -342,7 +342,8 @@ def quality_buckets(spark, d):
 def near_copy_tokens(spark, d):
     """Every labelled document against its reading: the text without its last sentence, digits misread."""
     docs = table(spark, d, "documents")
-    words = lambda c: F.transform(F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda w: F.length(w) >= 2), lambda w: F.upper(w))
+    # ASCII letters alone are raised, before the words are cut: a run of two and more is a word
+    words = lambda c: F.regexp_extract_all(F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("[A-Z0-9]{2,}"), F.lit(0))
     read = F.regexp_replace(F.replace("text", F.lit("7"), F.lit("1")), r"\.[^.]*\.[^.]*$", ".")
     return docs.select("doc_id", words(F.col("text")).alias("expected"), words(read).alias("observed"))
 

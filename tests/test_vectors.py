@@ -85,3 +85,17 @@ def test_class_scores_take_the_three_best_of_every_class(spark, monkeypatch):
     assert (0, 5) not in want
     got = L.class_scores(df.select("id", "sig"), df, "id", "cls").collect()
     assert {(r["id"], r["cls"]): round(r["score"], 9) for r in got} == want and len(got) == len(want)
+
+
+def test_token_overlap_calls_no_function_per_token(spark, tmp_path):
+    from attestry.operators import metrics
+    from attestry.plans import aggregates
+
+    rows = [(1, "Ab ab c 77 x1 Straße ı9 AB. last one. end."), (2, ""), (3, None), (3, "a7 b7 a7. x. y.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = aggregates.near_copy_tokens(spark, str(tmp_path))
+    out = metrics.multiset_overlap(tokens, "doc_id", "expected", "observed")
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert tokens.filter("doc_id = 1").head()["expected"] == ["AB", "AB", "77", "X1", "STRA", "AB", "LAST", "ONE", "END"]
+    got = {r["doc_id"]: (r["expected_n"], r["observed_n"], r["matched_n"], r["number_recall"]) for r in out.collect()}
+    assert got == {1: (9, 8, 7, 0.5), 3: (3, 3, 0, 0.0)}
