@@ -64,7 +64,7 @@ def test_no_word_of_a_text_becomes_a_row(spark):
 
     rnd = random.Random(4)
     rows = [(i, "en", " ".join(f"w{rnd.randrange(200)}" for _ in range(400))) for i in range(60)]
-    known = linking.word_vectors(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    known = linking.word_vectors(spark.createDataFrame([*rows, (None, "en", "w1 w2")], "doc_id long, lang string, text string"))
     distinct = sum(len(set(t.split())) for _, _, t in rows)
     assert known.heavy.count() < distinct / 5
     assert known.of(known.names).count() == 60
@@ -83,6 +83,7 @@ def test_class_scores_take_the_three_best_of_every_class(spark, monkeypatch):
             if best:
                 want[i, c] = round(0.7 * best[0] + 0.3 * sum(best) / len(best), 9)
     assert (0, 5) not in want
+    df = df.unionByName(spark.createDataFrame([(None, 1, 5), (None, 2, 0)], df.schema))  # without an id: neither target nor reference
     got = L.class_scores(df.select("id", "sig"), df, "id", "cls").collect()
     assert {(r["id"], r["cls"]): round(r["score"], 9) for r in got} == want and len(got) == len(want)
 
