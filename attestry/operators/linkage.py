@@ -37,7 +37,7 @@ def contains_join(texts: DataFrame, text_id: str, text: str, keys: DataFrame, ke
     characters are ignored. Both ways below give the same pairs.
 
     The keys are counted first. Few keys are searched inside each text row, so no text moves. Many
-    keys are found by their first q-gram: an equi join of the texts' grams with the keys, then the
+    keys are found by their rarest q-gram: an equi join of the texts' grams with the keys, then the
     exact test."""
     words = keys.select(F.col(key).alias("_key")).filter(F.length("_key") >= shortest).distinct()
     few = [r[0] for r in words.limit(IN_ROW_KEYS + 1).collect()]
@@ -48,14 +48,24 @@ def contains_join(texts: DataFrame, text_id: str, text: str, keys: DataFrame, ke
     return gram_containment(texts, text_id, text, words, key, q, shortest)
 
 
+def gram_candidates(texts: DataFrame, text_id: str, text: str, words: DataFrame, q: int = 4, shortest: int = 3) -> DataFrame:
+    """(text id, _key) where the text may hold the key (column ``_key``): it holds one gram of it, the one that fewest texts hold.
+
+    A key with a gram that no text holds is in none, so it goes on no further. Grams travel as hashes, so an exact test has to follow."""
+    short = sorted(r[0] for r in words.select(F.length("_key").alias("n")).filter(f"n >= {shortest} and n < {q}").distinct().collect())
+    of_text = F.flatten(F.array(*[grams(F.col(text), n) for n in [*short, q]]))
+    pieces = texts.select(text_id, F.explode(F.array_distinct(F.transform(of_text, lambda g: F.xxhash64(g)))).alias("_g"))
+    own = F.when(F.length("_key") < q, F.array("_key")).otherwise(grams(F.col("_key"), q))
+    own = words.select("_key", F.explode(F.array_distinct(F.transform(own, lambda g: F.xxhash64(g)))).alias("_g"))
+    held = pieces.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = own.join(held, "_g", "left").groupBy("_key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("b"))
+    anchored = cut_lineage(rarest.filter("b.n > 0").select("_key", F.col("b._g").alias("_g")))
+    return pieces.join(anchored, "_g").select(text_id, "_key")
+
+
 def gram_containment(texts: DataFrame, text_id: str, text: str, words: DataFrame, key: str, q: int = 4, shortest: int = 3) -> DataFrame:
-    """Containment for any number of keys (column ``_key``): grams of the texts meet the keys' first grams."""
-    anchored = words.select("_key", F.substring("_key", 1, q).alias("_g"))
-    sizes = range(min(shortest, q), q + 1)
-    pieces = texts.select(
-        text_id, F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col(text), n) for n in sizes])))).alias("_g")
-    )
-    candidates = pieces.join(anchored, "_g").select(text_id, "_key")
+    """Containment for any number of keys (column ``_key``): the candidates by grams, then the exact test."""
+    candidates = gram_candidates(texts, text_id, text, words, q, shortest)
     checked = candidates.join(texts.select(F.col(text_id), F.col(text).alias("_t")), text_id)
     return checked.filter(F.contains(F.col("_t"), F.col("_key"))).select(text_id, F.col("_key").alias(key)).distinct()
 

@@ -321,22 +321,27 @@ def folder_chain(spark, d):
 def inbound_matching(spark, d):
     turns = table(spark, d, "conversations")
     sent = turns.filter("turn = 0").select("conv_id", X.squash(F.lower(F.get(F.split("text", r"\."), 0))).alias("subj")).filter(F.length("subj") >= 10)
-    sent = sent.groupBy("subj").agg(F.min("conv_id").alias("conv"))
+    # read twice, for either way round
+    sent = cut_lineage(sent.groupBy("subj").agg(F.min("conv_id").alias("conv")))
     inbound = turns.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "conv_id", F.lower("text").alias("body"),
         F.when(F.col("turn") % 2 == 0, X.mail_subject(F.concat(F.get(F.split("text", r"\."), 0), F.lit(" / "), F.coalesce(F.get(F.split("text", r"\."), 1), F.lit(""))))).otherwise(F.concat(F.lit("other "), F.col("turn").cast("string"))).alias("insubj"),
         F.when(F.col("conv_id") % 9 == 0, F.concat(F.lit("ref req-20260630-0000000"), (F.col("conv_id") % 10).cast("string"))).otherwise(F.lit("")).alias("foot"),
     )
-    inside = L.contains_join(inbound, "id", "insubj", sent, "subj", q=8).join(sent, "subj").select("id", "conv")
-    around = L.contains_join(sent.select("conv", F.col("subj").alias("t")), "conv", "t", inbound.select("insubj"), "insubj", q=4, shortest=1)
-    around = around.join(inbound.select("id", "insubj"), "insubj").select("id", "conv")
-    ref = inside.unionByName(around).groupBy("id").agg(F.min("conv").alias("ref"))
+    # subjects meet once each, however many mails have them; the mails' ids come after
+    names = cut_lineage(inbound.select("insubj").distinct())
+    inside = L.contains_join(names, "insubj", "insubj", sent, "subj", q=8).join(sent, "subj").select("insubj", "conv")
+    around = L.contains_join(sent.select("conv", F.col("subj").alias("t")), "conv", "t", names, "insubj", q=4, shortest=1).select("insubj", "conv")
+    named = inside.unionByName(around).groupBy("insubj").agg(F.min("conv").alias("conv"))
+    ref = inbound.select("id", "insubj").join(named, "insubj").groupBy("id").agg(F.min("conv").alias("ref"))
     rid = X.first_code([F.col("foot")], r"(?i)REQ-\d{8}-[0-9A-F]{8}")
-    j = inbound.join(ref, "id", "left").select("id", "ref", "body", rid.alias("rid"))
-    # only mails that nothing else decides are searched for terms of what was sent
-    keyword = F.col("body").rlike("certificate|halal")
+    found = inbound.join(ref, "id", "left").select("id", "ref", rid.alias("rid"), F.col("body").rlike("certificate|halal").alias("keyword"), "body")
+    # only mails that nothing else decides are searched for terms of what was sent; they are read several times, so they are written once
+    open_mail = F.col("rid").isNull() & F.col("ref").isNull() & ~F.col("keyword")
+    j = cut_lineage(found.withColumn("body", F.when(open_mail, F.col("body"))))
+    keyword = F.col("keyword")
     terms = V.reference_terms(turns.filter("turn = 0"))
-    j = j.join(V.held_terms(j.filter(F.col("rid").isNull() & F.col("ref").isNull() & ~keyword), terms, "id", "body"), "id", "left")
+    j = j.join(V.held_terms(j.filter("body is not null").select("id", "body"), terms, "id", "body"), "id", "left")
     status = rules.decide([
         (F.col("rid").isNotNull(), "exact"), (F.col("ref").isNotNull(), "probable"), (keyword | F.col("terms").isNotNull(), "unmatched_candidate"),
     ], "excluded")

@@ -324,6 +324,14 @@ def test_containment_paths_agree(spark):
     assert rows(by_grams) == want
 
 
+def test_keys_that_begin_alike_do_not_meet_every_text(spark):
+    t = spark.range(300).select("id", F.format_string("the text %04d", "id").alias("t"))
+    k = spark.range(300).select(F.format_string("the text %04d", F.col("id") * 2).alias("_key"))
+    candidates = L.gram_candidates(t, "id", "t", k, 4)
+    assert candidates.count() == 150
+    assert rows(L.gram_containment(t, "id", "t", k, "k")) == sorted(((i, f"the text {i:04d}") for i in range(0, 300, 2)), key=str)
+
+
 def test_near_duplicates_are_complete(spark):
     rnd = random.Random(5)
     docs = []
