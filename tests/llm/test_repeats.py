@@ -129,6 +129,21 @@ def test_no_task_gets_all_segments_of_a_common_passage(spark, monkeypatch):
     assert max([n for _, n in dealt[0].groupBy(dealt[0].columns[0]).count().collect()], default=0) <= 20
 
 
+def test_a_common_passage_is_cut_into_blocks_once(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 20)
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, cut = make(3000), []
+    texts = [make(rng.randrange(50)) + passage + make(rng.randrange(50)) for _ in range(60)]
+    hot_blocks = repeats.hot_blocks
+    monkeypatch.setattr(repeats, "hot_blocks", lambda *args: (cut.append(hot_blocks(*args)), cut[-1])[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in repeats.digests(repeats.find(docs)).collect())
+    assert got == [(i, *b) for i, b in enumerate(brute(texts, 400))]
+    # the passage has 163 blocks; only the sides at a text's two ends differ from text to text
+    assert cut[0].count() < 60 * 100
+
+
 def test_empty_table(spark):
     found = repeats.find(spark.createDataFrame([], "doc_id long, text string"))
     assert repeats.digests(found).count() == 0
