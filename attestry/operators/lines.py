@@ -20,9 +20,8 @@ def pages_of(text: Column, marker: str = PAGE_MARKER) -> Column:
     """``array<struct<page, text>>``; a text without markers is one page."""
     bodies = F.split(text, marker, -1)
     marks = F.regexp_extract_all(text, F.lit(marker), F.lit(1))
-    marked = F.transform(
-        marks, lambda m, i: F.struct(m.cast("int").alias("page"), F.get(bodies, i + 1).alias("text"))
-    )
+    # zipped, as what a lambda names is worked out again for each of its elements
+    marked = F.zip_with(marks, F.slice(bodies, 2, 1 << 30), lambda m, t: F.struct(m.cast("int").alias("page"), t.alias("text")))
     whole = F.array(F.struct(F.lit(1).alias("page"), text.alias("text")))
     return F.when(text.rlike(marker), marked).otherwise(whole)
 

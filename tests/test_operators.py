@@ -332,6 +332,20 @@ def test_keys_that_begin_alike_do_not_meet_every_text(spark):
     assert rows(L.gram_containment(t, "id", "t", k, "k")) == sorted(((i, f"the text {i:04d}") for i in range(0, 300, 2)), key=str)
 
 
+def test_pages_of_a_long_text_cut_it_once(spark):
+    import time
+
+    from attestry.operators import lines
+
+    n = 8000
+    docs = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("[PAGE "), i.cast("string"), F.lit("]\nline "), i.cast("string"))), "").alias("t"))
+    docs = docs.withColumn("t", F.concat(F.lit("lead "), "t"))
+    began = time.monotonic()
+    got = docs.select(F.inline(lines.lines_of(F.col("t")))).collect()
+    assert [tuple(r) for r in got] == [(i, 2, f"line {i}") for i in range(1, n + 1)]
+    assert time.monotonic() - began < 15  # cut again for each page, this text takes minutes
+
+
 def test_near_duplicates_are_complete(spark):
     rnd = random.Random(5)
     docs = []
