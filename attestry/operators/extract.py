@@ -236,12 +236,19 @@ def value_evidence(lines: Column, value: Column, field: Column) -> Column:
     .96, else similarity (makers and products only, where it can reach ``FOUND``)."""
     def search(v: Column) -> Column:
         def at(line: Column, i: Column) -> Column:
-            own = X.norm_key(line)
-            dated = (field == "expiry") & F.exists(D.dates_in(line), lambda d: d.cast("string") == v["raw"])
-            score = (
-                F.when(dated, F.lit(1.0)).when((v["key"] != "") & (own == v["key"]), F.lit(1.0)).when((v["key"] != "") & own.contains(v["key"]), F.lit(0.96))
-                .when(field.isin("maker", "product"), X.let(X.product_key(line), lambda k: ladder_from(v["name"], k, FOUND))).otherwise(F.lit(0.0))
-            )
+            # each key once a line; for a line of ASCII alone both keys come from one pass, as the letters that need more care are others
+            capital = F.upper(line)
+            plain = (F.octet_length(line) == F.length(line)) & ~capital.contains("FAMILY OF PRODUCTS")
+            spaced = F.when(plain, F.trim(F.regexp_replace(capital, "[^A-Z0-9]+", " ")))
+            dated = (field == "expiry") & line.rlike("[0-9]") & F.exists(D.dates_in(line), lambda d: d.cast("string") == v["raw"])
+
+            def of_keys(own: Column, name: Column) -> Column:
+                return (
+                    F.when(dated, F.lit(1.0)).when((v["key"] != "") & (own == v["key"]), F.lit(1.0)).when((v["key"] != "") & own.contains(v["key"]), F.lit(0.96))
+                    .when(field.isin("maker", "product"), X.let(F.coalesce(name, X.product_key(line)), lambda k: ladder_from(v["name"], k, FOUND))).otherwise(F.lit(0.0))
+                )
+
+            score = X.let(spaced, lambda k: X.let(F.coalesce(F.replace(k, F.lit(" "), F.lit("")), X.norm_key(line)), lambda own: of_keys(own, k)))
             return F.struct(F.round(score, 6).alias("score"), (-i).alias("neg"))
 
         return F.array_max(F.transform(lines, at))

@@ -346,6 +346,17 @@ def test_pages_of_a_long_text_cut_it_once(spark):
     assert time.monotonic() - began < 15  # cut again for each page, this text takes minutes
 
 
+def test_evidence_of_plain_and_other_lines(spark):
+    from attestry.operators import extract as EX
+
+    lines = ["Solaris Web Co., Ltd.", "Solaris Family of Products Web Co Ltd", "SOLARIS® WEB CO LTD", "Stra\u00dfe 9", "", "Solaris Web"]
+    df = spark.createDataFrame([(i, [x]) for i, x in enumerate(lines)], "i int, l array<string>")
+    evidence = EX.value_evidence(F.col("l"), F.lit("SOLARIS WEB CO LTD"), F.lit("maker"))
+    got = [(r[0], r[1]) for r in df.orderBy("i").select(evidence.alias("e")).select("e.score", "e.found").collect()]
+    assert [f for _, f in got] == [True, True, True, False, False, True]
+    assert got[0][0] == 1.0 and got[2][0] == 1.0
+
+
 def test_near_duplicates_are_complete(spark):
     rnd = random.Random(5)
     docs = []
