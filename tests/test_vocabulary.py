@@ -148,3 +148,47 @@ def test_characters_that_begin_no_term_make_no_row(spark):
     made = likely.select("_near").collect()
     assert 1 <= len(made) < 400 and max(len(r[0]) for r in made) <= 24
     assert [tuple(r) for r in V.phrase_hits(docs, terms).collect()] == [(1, "GREEN APPLES", 8001)]
+
+
+def test_dates_behind_frequent_and_odd_anchors(spark):
+    """Lines are split at literals that cannot overlap themselves, and searched for the others; both find what a search for each place finds."""
+    day = lambda k: f"20{10 + k % 80}-0{1 + k % 9}-1{k % 10}"
+    texts = [
+        "due soon " * 50 + "due " + day(1), "DUE 2020-13-40 due\n" + day(2), "a b a b a " + day(3), "straße due " + day(4), "Kin due " + day(5) + " kin " + day(6),
+        "due", "no anchor " + day(7), "x" * 30 + "due " + "y" * 12 + " " + day(8), "dİe due " + day(9), "due stop " + day(10) + " due " + day(11),
+    ]
+    cases = [("due", 20, None), ("a b a", 17, None), ("kin", 30, None), ("straße", 30, None), ("due", 40, ["stop"]), ("DUE ", 15, None)]
+    rows = [(100 * c + i, f"R{c}", t, "c", "", "m", "LOW") for c in range(len(cases)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id int, issuer string, text string, cert_no string, expiry string, maker string, parse_status string")
+    table = [rule(c, "date_anchor", f"R{c}", "expiry", anchors=[a], window=w, stop_before=s) for c, (a, w, s) in enumerate(cases)]
+
+    def read(anchor, window, stops, text):
+        line = re.sub(r"\s+", " ", text).strip()
+        for m in re.finditer(f"(?i)(?={re.escape(anchor)})", line):
+            piece = line[m.start() : m.start() + max(window, len(anchor))]
+            piece = re.split("(?i)(?<=.)(?:" + "|".join(map(re.escape, stops)) + ")", piece)[0] if stops else piece
+            found = [d for d in re.findall(r"\b(20\d\d)-(\d{1,2})-(\d{1,2})\b", piece) if int(d[1]) <= 12]
+            if found:
+                return "{}-{:0>2}-{:0>2}".format(*found[0])
+        return ""
+
+    got = {r["doc_id"]: r["expiry"] for r in V.apply_rule_table(docs, spark.createDataFrame(table, RULES)).collect()}
+    want = {100 * c + i: read(a.strip(), w, s, t) for c, (a, w, s) in enumerate(cases) for i, t in enumerate(texts)}
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {} and len(got) == len(want) and sum(v != "" for v in want.values()) > 15
+
+
+def test_rules_without_a_phrase_meet_documents_without_a_shuffle_by_issuer(spark):
+    """Issuers are few: rows dealt by issuer would be as many tasks as there are issuers, and an equal pattern is one search."""
+    docs = spark.createDataFrame([(i, "AB"[i % 2], f"qq{i}", "c", "", "m", "LOW") for i in range(6)], "doc_id int, issuer string, text string, cert_no string, expiry string, maker string, parse_status string")
+    table = [rule(k, "code_pattern", "A", patterns=["qq[0-9]"]) for k in range(5)] + [rule(9, "date_anchor", "ALL", "expiry", anchors=["never"]), rule(10, "code_pattern", "UNKNOWN", patterns=["q"]), rule(11, "code_pattern", "ALL", patterns=["qq5"])]
+    done = V.apply_rule_table(docs, spark.createDataFrame(table, RULES))
+    assert "hashpartitioning(coalesce(upper(issuer" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["cert_no"] for r in done.collect()} == {0: "qq0", 1: "c", 2: "qq2", 3: "c", 4: "qq4", 5: "qq5"}
+
+
+def test_a_large_term_table_is_not_sent_to_every_executor(spark, monkeypatch):
+    monkeypatch.setattr(V, "SENT", 10)
+    docs = spark.createDataFrame([(1, "label 7 and label 55 abc")], "doc_id long, text string")
+    hits = V.phrase_hits(docs, spark.createDataFrame([(f"label {k}x",) for k in range(100)] + [("label 55",), ("label 7",)], "term string"))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and sorted(map(tuple, hits.collect())) == [(1, "LABEL 55", 13), (1, "LABEL 7", 1)]
