@@ -37,14 +37,17 @@ def contains_join(texts: DataFrame, text_id: str, text: str, keys: DataFrame, ke
     characters are ignored. Both ways below give the same pairs.
 
     The keys are counted first. Few keys are searched inside each text row, so no text moves. Many
-    keys are found by their rarest q-gram: an equi join of the texts' grams with the keys, then the
-    exact test."""
+    keys, as far as they fit into the longest text, are found by their rarest q-gram: an equi join of the
+    texts' grams with the keys, then the exact test."""
     words = keys.select(F.col(key).alias("_key")).filter(F.length("_key") >= shortest).distinct()
     few = [r[0] for r in words.limit(IN_ROW_KEYS + 1).collect()]
     if len(few) <= IN_ROW_KEYS:
         known = F.array(*[F.lit(k) for k in sorted(few)]).cast("array<string>")
         found = F.filter(known, lambda k: F.contains(F.col(text), k))
         return texts.select(text_id, F.explode(found).alias(key)).distinct()
+    # no text holds a key longer than itself; without these, long keys are not cut into grams at all
+    longest = texts.agg(F.max(F.length(text))).scalar()
+    words = cut_lineage(words.filter(F.length("_key") <= longest))
     return gram_containment(texts, text_id, text, words, key, q, shortest)
 
 

@@ -490,3 +490,12 @@ def test_levels_are_exploded_before_cells_are_cleaned(spark):
     assert rows(long.select("row_pos", "material_no", "depth", "name", "maker")) == [(0, "7", 0, "Salt", "Maker 1"), (0, "7", 2, "Oil", None)]
     found = filters.search_levels(long, "Maker 1", "row_pos", "depth", ["name", "maker"], 5)
     assert rows(found) == [(0, 0, "Salt", "Maker 1")]
+
+
+def test_keys_longer_than_every_text_are_not_cut_into_grams(spark, monkeypatch):
+    cut, whole = [], L.gram_containment
+    monkeypatch.setattr(L, "gram_containment", lambda texts, text_id, text, words, *more: cut.append(words.count()) or whole(texts, text_id, text, words, *more))
+    texts = spark.createDataFrame([(1, "short text of a name"), (2, "xx"), (3, None)], "i long, t string")
+    keys = spark.createDataFrame([(f"key {k} " * 50,) for k in range(600)] + [("text",), ("a name",), ("xx",), ("of a nam",)], "k string")
+    assert rows(L.contains_join(texts, "i", "t", keys, "k", shortest=1)) == [(1, "a name"), (1, "of a nam"), (1, "text"), (2, "xx")]
+    assert L.contains_join(texts.limit(0), "i", "t", keys, "k").count() == 0 and cut == [4, 0]
