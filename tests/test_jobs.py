@@ -223,3 +223,14 @@ def test_keywords_of_a_material_are_distinct_in_its_row(spark):
     out = reshape.weighted_keywords(rows, "k", {"name": 16, "org": 8, "supplier": 6})
     assert sorted(tuple(r) for r in out.collect()) == [(1, "name", "ab", 16), (1, "name", "cd", 16), (1, "org", "yz", 8)]
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_are_kept_in_small_row_groups(spark, monkeypatch):
+    """A task reads and keeps a row group as a whole, so a task's vectors must not be one."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(ML, "GROUP_BYTES", 1 << 16, raising=False)
+    grams = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.xxhash64("id", k).cast("string"))
+    made = ML.hashed(spark.range(0, 2000, 1, 1).withColumn("grams", grams), features=1 << 14)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).num_row_groups for f in made.inputFiles()]
+    assert made.count() == 2000 and len(groups) == 1 and groups[0] >= 4
